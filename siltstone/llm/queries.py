@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, mixing, tokenfiles
+from . import audio, bpe, mixing, tokenfiles, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("n_bytes")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.stored_digests(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_byte_bpe": op3_byte_bpe,
+    "op6_toxicity": op6_toxicity,
     "op7_telephony_audio": op7_telephony_audio,
     "op8_token_files": op8_token_files,
 }
