@@ -55,9 +55,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), tota
 
 
 def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0), total: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: one row for each row of docs."""
-    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sizes = stage(sizes.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    """doc_id, source, size, source_size, target, copies, taken: one row for each row of docs.  A column `row` that numbers the rows is kept."""
+    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *(["row"] if "row" in docs.columns else []))
+    number = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
+    sizes = stage(sizes.withColumn("row", number), "sizes")
     per = stage(targets(sizes, weights, total, cap), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     facts = per.withColumn("whole", F.floor(ratio)).withColumn("p", ratio - F.col("whole")).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "of")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, mixing, neardup, repeats, tokenfiles, toxicity
+from . import ann, audio, bpe, mixing, neardup, repeats, tokenfiles, toxicity
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("n_bytes")
 
 
+def op4_learned_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup(table(spark, sf_dir, "documents"), repeats.WORDS).select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256")
 
@@ -50,6 +54,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_learned_ann": op4_learned_ann,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_telephony_audio": op7_telephony_audio,
