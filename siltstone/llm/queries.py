@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audio, bpe, mixing, neardup, repeats, tokenfiles, toxicity
+from . import ann, audio, bpe, mixing, neardup, quality, repeats, tokenfiles, toxicity
 from .common import table
 
 
+def op1_quality_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -52,6 +56,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_kn": op1_quality_kn,
     "op2_mix_sources": op2_mix_sources,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_learned_ann": op4_learned_ann,
