@@ -34,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, mix64, powers, range_hashes, words_of
+from .common import as_bytes, chunks, mix64, powers, range_hashes, stage, words_of
 
 WORDS, BYTES = ("words", 35, 8), ("bytes", 400, 48)
 #: Symbols that a shard indexes at once, at least.
-BATCH = 400_000
+BATCH = 1_000_000
+#: Windows of a fragment, at most.
+RUN = 1024
 
 
 # ---- step 1: anchors
@@ -79,6 +81,11 @@ def fragments(values: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tu
     last = inside.copy()
     last[:-1] &= ~(inside[1:] & (least[1:] == least[:-1]))
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + length
+    # runs of more than RUN windows (periodic text) are cut, so that no fragment is long
+    pieces = -(-(end - begin - length + 1) // RUN)
+    if pieces.max(initial=1) > 1:
+        begin, stop = np.repeat(begin, pieces) + RUN * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)), np.repeat(end, pieces)
+        end = np.minimum(begin + RUN + length - 1, stop)
     own = row[begin]
     # How often the least string stands in the fragment: two equal windows of one fragment show it first in their
     # left one, where it begins a window, and last in their right one, where it ends a window.
@@ -236,7 +243,7 @@ class Minima:
     """Sparse table over LCP values: where the run of values >= d around a place ends."""
 
     def __init__(self, lcp: np.ndarray):
-        self.tables, k = [lcp.astype(np.int32)], 1
+        self.tables, k = [lcp.astype(np.uint16)], 1
         while 2 * k <= len(lcp):
             last = self.tables[-1]
             self.tables.append(np.minimum(last[:-k], last[k:]))
@@ -369,6 +376,8 @@ def search_shards(texts: DataFrame, unit: str, length: int) -> DataFrame:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("anchor", "frag", "n", "text", "size")]
             for anchor, frag, n, text, size in zip(*columns):
+                if rows and rows[-1][:2] == (anchor, frag):
+                    continue  # rows that repeat id and text share a key, and each of them gave the text
                 if held >= BATCH and rows[-1][0] != anchor:
                     yield settle(rows)
                     rows, held = [], 0
@@ -454,21 +463,25 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").repartition("key")
 
 
-def repeated_spans(docs: DataFrame, kind: tuple[str, int, int]) -> DataFrame:
-    """(key, spans): the repeated parts of each text of keyed docs, as lists of flat (start, end) pairs."""
+def repeated_spans(docs: DataFrame, own: DataFrame, kind: tuple[str, int, int]) -> DataFrame:
+    """(key, spans): the repeated parts of each text, as lists of flat (start, end) pairs; own: keyed(docs)."""
     unit, length, k = kind
-    all_fragments = anchors(docs, unit, length, k)
-    twice = all_fragments.groupBy("anchor").agg(F.sum("seen").alias("c")).where("c > 1").select("anchor")
-    live = all_fragments.join(twice, "anchor")
+    fragments_ = anchors(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text"), unit, length, k)
+    twice = fragments_.groupBy("anchor").agg(F.sum("seen").alias("c")).where("c > 1").select("anchor")
+    live = stage(fragments_.select("key", "anchor", "frag", "start", "size").join(twice, "anchor"), "live")
     each = live.groupBy("anchor", "frag").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start", "size")).alias("at"))
-    wanted = each.groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("anchor", "frag", "n", F.col("at.start").alias("start"), F.col("at.size").alias("size"))).alias("wanted"))
-    # rows that repeat id and text share a key: one of them gives the text
-    texts = cut_texts(docs, wanted, unit).dropDuplicates(["anchor", "frag"])
-    reported = search_shards(texts.repartition("anchor").sortWithinPartitions("anchor"), unit, length)
+    kinds = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    each = stage(each.join(kinds, "anchor"), "texts")
+    # an anchor with one text: its weight alone says that all of it is repeated
+    whole = (F.col("kinds") == 1) & (F.col("n") > 1)
+    wanted = each.where(~whole).groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("anchor", "frag", "n", F.col("at.start").alias("start"), F.col("at.size").alias("size"))).alias("wanted"))
+    texts = cut_texts(own, wanted, unit).repartition("anchor").sortWithinPartitions("anchor", "frag")
+    reported = search_shards(texts, unit, length)
+    reported = reported.unionByName(each.where(whole).select("anchor", "frag", F.array(F.lit(0), F.col("at.size")).alias("spans")))
     hits = live.select("key", "anchor", "frag", "start").join(reported, ["anchor", "frag"])
     return hits.select("key", F.transform("spans", lambda s: s + F.col("start")).alias("spans")).groupBy("key").agg(F.collect_list("spans").alias("spans"))
 
 
 def dedup(docs: DataFrame, kind: tuple[str, int, int], keep_text: bool = False) -> DataFrame:
     own = keyed(docs)
-    return remove(own, repeated_spans(own, kind), kind[0], keep_text)
+    return remove(own, repeated_spans(docs, own, kind), kind[0], keep_text)
