@@ -30,8 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated windows go.  A text that loses words becomes the kept words joined by one space; the others stay
     as they are, and a document that loses every word goes."""
-    own = repeats.keyed(docs)
-    cut = repeats.remove(own, repeats.repeated_spans(own, repeats.WORDS), "words", keep_text=True).where("n_removed > 0")
+    cut = repeats.dedup(docs, repeats.WORDS, keep_text=True).where("n_removed > 0")
     cut = cut.select("key", F.col("kept").cast("string").alias("kept"), (F.col("n_removed") == F.col("n")).alias("gone")).dropDuplicates(["key"])
     rows = docs.withColumn("key", F.xxhash64("doc_id", "text")).join(cut, "key", "left").where("gone IS NULL OR NOT gone")
     return rows.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long"))).withColumn("text", F.coalesce("kept", "text")).select(docs.columns)
