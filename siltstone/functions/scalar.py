@@ -6,10 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import INVALID32, STATE_NAMES
 
-MASK32 = F.lit(0xFFFFFFFF)
+MASK32 = 0xFFFFFFFF
 
 
 def byte_at(data: Column, i: Column | int) -> Column:
@@ -53,7 +54,7 @@ def crc16_bytes(data: bytes, crc: int = 0xFFFF) -> int:
 _TABLE = crc16_table()
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def crc16_fast(data: pd.Series) -> pd.Series:
     """The same checksum over a batch: all rows advance together, one byte position at a time."""
     values = [v if v is not None else b"" for v in data]
@@ -72,7 +73,7 @@ def crc16_fast(data: pd.Series) -> pd.Series:
 
 def hash16(data: Column) -> Column:
     """FNV-1a of 32 bits, folded to 16."""
-    h = F.aggregate(bytes_of(data), F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619)).bitwiseAND(MASK32))
+    h = F.aggregate(bytes_of(data), F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619)).bitwiseAND(F.lit(MASK32)))
     return h.bitwiseXOR(F.shiftrightunsigned(h, 16)).bitwiseAND(F.lit(0xFFFF)).cast("int")
 
 
@@ -83,7 +84,7 @@ def align_up(value: Column, unit: Column | int) -> Column:
 
 def seq_gt(a: Column, b: Column) -> Column:
     """a comes after b on a wrapping 32-bit counter."""
-    return (a - b).bitwiseAND(MASK32).between(1, 0x7FFFFFFF)
+    return (a - b).bitwiseAND(F.lit(MASK32)).between(1, 0x7FFFFFFF)
 
 
 def seq16_gt(a: Column, b: Column) -> Column:
@@ -127,7 +128,7 @@ def hex_prefix(data: Column, n: int = 64) -> Column:
 
 def absolute_time(base: Column, delta: Column, engine: bool = True) -> Column:
     """base + delta modulo 2^32; without a base, the delta (engine) or null (analyser)."""
-    return F.when(base == INVALID32, delta if engine else F.lit(None).cast("long")).otherwise((base + delta).bitwiseAND(MASK32))
+    return F.when(base == INVALID32, delta if engine else F.lit(None).cast("long")).otherwise((base + delta).bitwiseAND(F.lit(MASK32)))
 
 
 def little_endian(data: Column, at: int, size: int) -> Column:

@@ -244,15 +244,15 @@ def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _read(df: DataFrame) -> DataFrame:
-    return df.select(text("key").alias("key"), "status", text("value").alias("value"), F.col("value_len").cast("long").alias("value_len"))
+    return df.select(text("key").alias("key"), "status", text("value").alias("value"), F.coalesce(F.col("value_len").cast("long"), F.lit(0)).alias("value_len"))
 
 
-@query(f"WITH {KV} SELECT k.key, CASE WHEN c.value IS NULL THEN 'NOT_FOUND' ELSE 'OK' END AS status, c.value, strlen(c.value) AS value_len FROM (SELECT '7' AS key) k LEFT JOIN cur c USING (key)")
+@query(f"WITH {KV} SELECT k.key, CASE WHEN c.value IS NULL THEN 'NOT_FOUND' ELSE 'OK' END AS status, c.value, coalesce(strlen(c.value), 0) AS value_len FROM (SELECT '7' AS key) k LEFT JOIN cur c USING (key)")
 def kv_get(spark, sf_dir):
     return _read(kv.get(kv.current(kv_ops(spark, sf_dir)), b"7"))
 
 
-@query(f"WITH {KV} SELECT k.key, CASE WHEN c.value IS NULL THEN 'NOT_FOUND' WHEN strlen(c.value) > 8 THEN 'TOO_LARGE' ELSE 'OK' END AS status, substr(c.value, 1, 8) AS value, strlen(c.value) AS value_len FROM (SELECT cast(c_custkey AS VARCHAR) AS key FROM customer) k LEFT JOIN cur c USING (key)")
+@query(f"WITH {KV} SELECT k.key, CASE WHEN c.value IS NULL THEN 'NOT_FOUND' WHEN strlen(c.value) > 8 THEN 'TOO_LARGE' ELSE 'OK' END AS status, substr(c.value, 1, 8) AS value, coalesce(strlen(c.value), 0) AS value_len FROM (SELECT cast(c_custkey AS VARCHAR) AS key FROM customer) k LEFT JOIN cur c USING (key)")
 def kv_get_truncated(spark, sf_dir):
     return _read(kv.multi_get(kv.current(kv_ops(spark, sf_dir)), _wanted(spark, sf_dir), 8))
 
@@ -262,7 +262,7 @@ def kv_exists(spark, sf_dir):
     return kv.exists(kv.current(kv_ops(spark, sf_dir)), _wanted(spark, sf_dir)).select(text("key").alias("key"))
 
 
-@query(f"WITH {KV} SELECT k.key, CASE WHEN c.value IS NULL THEN 'NOT_FOUND' ELSE 'OK' END AS status, c.value, strlen(c.value) AS value_len FROM (SELECT cast(c_custkey AS VARCHAR) AS key FROM customer) k LEFT JOIN cur c USING (key)")
+@query(f"WITH {KV} SELECT k.key, CASE WHEN c.value IS NULL THEN 'NOT_FOUND' ELSE 'OK' END AS status, c.value, coalesce(strlen(c.value), 0) AS value_len FROM (SELECT cast(c_custkey AS VARCHAR) AS key FROM customer) k LEFT JOIN cur c USING (key)")
 def kv_multiget(spark, sf_dir):
     return _read(kv.multi_get(kv.current(kv_ops(spark, sf_dir)), _wanted(spark, sf_dir)))
 
@@ -429,11 +429,11 @@ def fn_key_status(spark, sf_dir):
     return spark.range(0, 41).select(F.col("id").alias("n"), S.key_status(F.encode(F.expr("repeat('k', cast(id AS int))"), "utf-8")).alias("status"))
 
 
-@query("SELECT n, CASE WHEN n % 3 = 0 THEN n * 5 ELSE (4294967290 + n * 5) & 4294967295 END AS engine_time, CASE WHEN n % 3 = 0 THEN NULL ELSE (4294967290 + n * 5) & 4294967295 END AS tool_time FROM (SELECT unnest(range(0, 60)) AS n)")
+@query("SELECT n, CASE WHEN n % 3 = 0 THEN n * 5 ELSE (4294967290 + n * 5) & 4294967295 END AS engine_time, CASE WHEN n % 3 = 0 THEN -1 ELSE (4294967290 + n * 5) & 4294967295 END AS tool_time FROM (SELECT unnest(range(0, 60)) AS n)")
 def fn_absolute_time(spark, sf_dir):
     base = F.when(F.col("id") % 3 == 0, F.lit(0xFFFFFFFF)).otherwise(F.lit(4294967290))
     delta = F.col("id") * 5
-    return spark.range(0, 60).select(F.col("id").alias("n"), S.absolute_time(base, delta).alias("engine_time"), S.absolute_time(base, delta, engine=False).alias("tool_time"))
+    return spark.range(0, 60).select(F.col("id").alias("n"), S.absolute_time(base, delta).alias("engine_time"), F.coalesce(S.absolute_time(base, delta, engine=False), F.lit(-1)).alias("tool_time"))
 
 
 @query("SELECT props AS s, lower(hex(encode(props[1:4]))) AS prefix FROM (SELECT DISTINCT props FROM events)")
