@@ -274,7 +274,7 @@ def digests(docs: DataFrame, model, weights) -> DataFrame:
                 rows, w = rows[first], w[first]
                 top = np.zeros(n)
                 np.maximum.at(top, rows, w)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), pa.array(top), pa.array(np.bincount(rows, w, n)), pa.array(np.bincount(rows, minlength=n).astype(np.int64))], ["doc_id", "top", "total", "telling"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), pa.array(top), pa.array(np.bincount(rows, w, n).astype(np.float64)), pa.array(np.bincount(rows, minlength=n).astype(np.int64))], ["doc_id", "top", "total", "telling"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, top double, total double, telling long")
 
