@@ -298,7 +298,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     grams = count_grams(docs).toPandas()  # CLASSES^4 rows at most
     model = spark.sparkContext.broadcast(log_model(grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.float64)))
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("part", part_of(F.col("doc_id")))
-    taught = docs.select("doc_id", "text").where(part_of(F.col("doc_id")) < 2).join(known.where("part < 2"), "doc_id")
+    taught = docs.select("doc_id", "text").where(part_of(F.col("doc_id")) < 2).join(known.where("part < 2").hint("shuffle_merge"), "doc_id")
     kinds = {r["toxic"] > 0: r["n"] for r in known.where("part <> 2").groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     share = kinds.get(True, 0) / max(1, sum(kinds.values()))
     table = np.zeros(BUCKETS)
