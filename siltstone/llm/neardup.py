@@ -22,6 +22,7 @@ text, however long.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -31,14 +32,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, mix64, range_hashes, stage, words_of
+from .common import as_bytes, chunks, gather_ranges, mix64, range_hashes, stage, words_of
 
 SHINGLE, BANDS, ROWS, STEP = 5, 32, 3, 16
 SHARE = 75
 MISS = 1e-7
 CELL = 2048
 #: Untested pairs that a member proposes in a round; later rounds propose the next ones.
-PROPOSALS = 16
+PROPOSALS = 64
+#: Pairs of signatures that a worker compares at once.
+PAIRS = 100_000
 
 
 def seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +114,7 @@ def buckets(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "sig").mapInArrow(run, "bucket long, rep long")
 
 
+@functools.cache
 def least_matches() -> list[int]:
     """For 16, 32, ... compared minima, the fewest matches at which P(similarity >= 0.75) is at least MISS."""
     out = []
@@ -202,35 +206,49 @@ def components(edges: DataFrame) -> DataFrame:
 def proposals(members: DataFrame, reps: DataFrame, tested: DataFrame) -> DataFrame:
     """Untested pairs (a, b) across components within buckets, by cells of bounded size; the likeliest of each member."""
 
+    def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Proposals of whole cells, sorted by cell and then role: pairs of many cells are compared together."""
+        column = lambda c: rows.column(c).to_numpy()
+        role, rep, label = column("role"), column("rep"), column("label")
+        sig = as_bytes(rows.column("sig"))[0].view(np.uint32).reshape(-1, BANDS * ROWS)
+        cell = np.cumsum(np.concatenate([[True], (column("bucket")[1:] != column("bucket")[:-1]) | (column("i")[1:] != column("i")[:-1]) | (column("j")[1:] != column("j")[:-1])])) - 1
+        lines = np.flatnonzero(role == 0)
+        begin = np.searchsorted(2 * cell + role, 2 * cell[lines] + 1)
+        count = np.searchsorted(2 * cell + role, 2 * cell[lines] + 2) - begin
+        done = rows.column("tested").combine_chunks() if isinstance(rows.column("tested"), pa.ChunkedArray) else rows.column("tested")
+        for x, y in chunks(np.concatenate([[0], np.cumsum(count)]), PAIRS):
+            a, b = np.repeat(lines[x:y], count[x:y]), gather_ranges(begin[x:y], count[x:y])
+            some = label[a] != label[b]
+            a, b = a[some], b[some]
+            own = done.take(pa.array(lines[x:y]))
+            if own.null_count < len(own):
+                known = own.flatten().to_numpy(zero_copy_only=False)
+                by = np.repeat(rep[lines[x:y]], np.diff(own.offsets.to_numpy()))
+                name = lambda p, q: mix64(p.view(np.uint64) * np.uint64(3)) ^ q.view(np.uint64)
+                fresh = ~np.isin(name(rep[a], rep[b]), name(by, known))
+                a, b = a[fresh], b[fresh]
+            at, matches = surviving(sig[a], sig[b])
+            a, b = a[at], b[at]
+            order = np.lexsort((b, -matches, a))
+            a, b = a[order], b[order]
+            place = np.arange(len(a)) - np.searchsorted(a, a)
+            a, b = rep[a[place < PROPOSALS]], rep[b[place < PROPOSALS]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
     def run(batches):
-        def settle(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-            left = [r for r in rows if r["role"] == 0]
-            right = [r for r in rows if r["role"] == 1]
-            if not left or not right:
-                return
-            sig = lambda x: np.frombuffer(b"".join(r["sig"] for r in x), np.uint32).reshape(-1, BANDS * ROWS)
-            sa, sb = sig(left), sig(right)
-            lb, ib = np.array([r["label"] for r in right]), np.array([r["rep"] for r in right])
-            out = []
-            for k, r in enumerate(left):
-                some = np.flatnonzero(lb != r["label"])
-                if r["tested"]:
-                    some = some[~np.isin(ib[some], r["tested"])]
-                at, matches = surviving(np.broadcast_to(sa[k], (len(some), BANDS * ROWS)), sb[some])
-                for t in np.argsort(-matches, kind="stable")[:PROPOSALS]:
-                    out.append((r["rep"], int(ib[some[at[t]]])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], ["a", "b"])
-
-        held: list[dict] = []
+        held = None
         for batch in batches:
-            for r in batch.to_pylist():
-                if held and (held[-1]["bucket"], held[-1]["i"], held[-1]["j"]) != (r["bucket"], r["i"], r["j"]):
-                    yield from settle(held)
-                    held = []
-                held.append(r)
-        if held:
-            yield from settle(held)
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            keys = [held.column(c).to_numpy() for c in ("bucket", "i", "j")]
+            # the last cell may go on in the next batch
+            whole = int(np.flatnonzero(np.logical_and.reduce([k == k[-1] for k in keys]))[0]) if held.num_rows else 0
+            if whole:
+                yield from settle(held.slice(0, whole).combine_chunks())
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield from settle(held.combine_chunks())
 
     sizes = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
     per = sizes.groupBy("bucket").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
@@ -242,7 +260,7 @@ def proposals(members: DataFrame, reps: DataFrame, tested: DataFrame) -> DataFra
     done = tested.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(tested.select(F.col("b").alias("rep"), F.col("a").alias("other"))).groupBy("rep").agg(F.collect_set("other").alias("tested"))
     lines = lines.join(done, "rep", "left")
     cells = columns.withColumn("tested", F.lit(None).cast("array<bigint>")).unionByName(lines).join(reps.select("rep", "sig"), "rep")
-    dealt = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select("bucket", "i", "j", "role", "rep", "label", "sig", "tested")
+    dealt = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "role").select("bucket", "i", "j", "role", "rep", "label", "sig", "tested")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
