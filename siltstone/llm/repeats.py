@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, chunks, mix64, powers, range_hashes, stage, words_of
 
-WORDS, BYTES = ("words", 35, 8), ("bytes", 400, 48)
+WORDS, BYTES = ("words", 35, 8), ("bytes", 400, 200)
 #: Symbols that a shard indexes at once, at least.
-BATCH = 1_000_000
+BATCH = {"words": 1_000_000, "bytes": 3_000_000}
 #: Windows of a fragment, at most.
 RUN = 1024
 
@@ -121,47 +121,55 @@ def anchors(docs: DataFrame, unit: str, length: int, k: int) -> DataFrame:
 # ---- step 3: the index
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling; only suffixes that are still tied are sorted again.  The values are ranks of symbols."""
+def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix array by doubling, and for each row the least and greatest common prefix with the row before that the rounds have left open.
+
+    The first round sorts by several symbols packed into one integer; later ones sort only suffixes that are still tied.
+    """
     n = len(text)
-    order = np.argsort(text, kind="stable")
-    sorted_keys = text[order]
-    new = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])
+    base = int(text.max()) + 2
+    h = max(1, min(4, int(61 / np.log2(base))))
+    packed = np.zeros(n, np.int64)
+    for k in range(h):
+        packed *= base
+        packed[: max(0, n - k)] += text[k:] + 1
+    order = np.argsort(packed, kind="stable")
+    packed = packed[order]
+    new = np.concatenate([[True], packed[1:] != packed[:-1]])
+    low, high = np.zeros(n, np.int32), np.full(n, h - 1, np.int32)
     rank = np.empty(n + 1, np.int64)
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[order] = head
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank[n] = -1
-    h = 1
+    del packed
     tied = ~(new & np.concatenate([new[1:], [True]]))
     while True:
         at = np.flatnonzero(tied)
         if not len(at):
-            return order
+            return order, low, high
         pos = order[at]
-        group = rank[pos]
-        second = rank[np.minimum(pos + h, n)] + 1
-        # groups are contiguous in `at`, so one stable sort of (group, second) orders them in place
-        key = group * np.int64(n + 2) + second
+        # groups are contiguous in `at`, so one sort of (group, rank h symbols on) orders them in place
+        key = rank[pos] * np.int64(n + 2) + rank[np.minimum(pos + h, n)] + 1
         sub = np.argsort(key, kind="stable")
         pos, key = pos[sub], key[sub]
         order[at] = pos
         fresh = np.concatenate([[True], key[1:] != key[:-1]])
-        start = np.maximum.accumulate(np.where(fresh, at, 0))
-        rank[pos] = start
-        alone = fresh & np.concatenate([fresh[1:], [True]])
-        tied[at[alone]] = False
+        group = key // (n + 2)
+        inside = at[fresh & np.concatenate([[False], group[1:] == group[:-1]])]
+        low[inside], high[inside] = h, 2 * h - 1
+        rank[pos] = np.maximum.accumulate(np.where(fresh, at, 0))
+        tied[at[fresh & np.concatenate([fresh[1:], [True]])]] = False
         h *= 2
 
 
-def common_prefixes(values: np.ndarray, limit: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """LCP of neighbouring suffixes up to `most`, by binary search over prefix hashes; limit: symbols left in the text."""
+def common_prefixes(values: np.ndarray, limit: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarray, most: int) -> np.ndarray:
+    """LCP of neighbouring suffixes up to `most`, by binary search over prefix hashes between low and high; limit: symbols left in the text."""
     n = len(values)
     up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
     a, b = order[:-1], order[1:]
-    high = np.minimum(np.minimum(limit[a], limit[b]), most)
-    low = np.zeros(len(a), np.int64)
+    high = np.minimum(np.minimum(np.minimum(limit[a], limit[b]), high[1:]), most)
+    low = np.minimum(low[1:], high).astype(np.int64)
     while True:
         some = np.flatnonzero(low < high)
         if not len(some):
@@ -231,6 +239,18 @@ class RunLength:
         hit = (run >= 0) & (self.symbol[safe] == c)
         return np.where(hit, self.before[safe] + np.minimum(i - self.starts[safe], self.sizes[safe]), 0)
 
+    def around(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last row before lo, and the first from hi on, whose symbol is c (-1 and n: none)."""
+        last = np.searchsorted(self.keys, c * (self.n + 1) + lo, side="left") - 1
+        safe = np.maximum(last, 0)
+        before = np.where((last >= 0) & (self.symbol[safe] == c), np.minimum(self.starts[safe] + self.sizes[safe], lo) - 1, -1)
+        at = np.searchsorted(self.keys, c * (self.n + 1) + hi, side="right") - 1
+        safe = np.maximum(at, 0)
+        inside = (at >= 0) & (self.symbol[safe] == c) & (self.starts[safe] + self.sizes[safe] > hi)
+        following = np.minimum(at + 1, len(self.keys) - 1)
+        later = np.where((at + 1 < len(self.keys)) & (self.symbol[following] == c), self.starts[following], self.n)
+        return before, np.where(inside, hi, later)
+
     def sample(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Text position of the suffix at the last row before i that is the end of a run of c, or -1."""
         run = np.searchsorted(self.keys, c * (self.n + 1) + i, side="left") - 1
@@ -249,6 +269,16 @@ class Minima:
             self.tables.append(np.minimum(last[:-k], last[k:]))
             k *= 2
 
+    def least(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Minimum of lcp[a..b], b not before a."""
+        k = np.frexp((b - a + 1).astype(np.float64))[1] - 1
+        out = np.empty(len(a), np.int64)
+        for level in np.unique(k):
+            some = np.flatnonzero(k == level)
+            table = self.tables[level]
+            out[some] = np.minimum(table[a[some]], table[b[some] - (1 << int(level)) + 1])
+        return out
+
     def left(self, i: np.ndarray, d: np.ndarray) -> np.ndarray:
         """Largest j <= i with lcp[j] < d."""
         i = i.copy()
@@ -290,9 +320,9 @@ def repeated_windows(values: np.ndarray, bounds: np.ndarray, weights: np.ndarray
     text[bounds[1:] + np.arange(texts)] = np.arange(texts)
     limit = np.zeros(n + texts, np.int64)
     limit[at] = left
-    order = suffix_array(text)
+    order, low, high = suffix_array(text)
     symbols_ = np.maximum(text - (texts - 1), 0)  # 0: any separator; 1..sigma
-    lcp = common_prefixes(np.where(text < texts, np.int64(0), symbols_), limit, order, length)
+    lcp = common_prefixes(np.where(text < texts, np.int64(0), symbols_), limit, order, low, high, length)
     bwt = symbols_[order - 1]
     index = RunLength(bwt, order) if run_length else Wavelet(bwt, sigma)
     minima = Minima(lcp)
@@ -321,8 +351,13 @@ def repeated_windows(values: np.ndarray, bounds: np.ndarray, weights: np.ndarray
             fail = todo[~ok]
             root = got[fail] == 0
             fail = fail[~root]
-            if len(fail):  # a shorter prefix of what matched: the parent interval
-                d = np.maximum(lcp[lo[fail]], lcp[hi[fail]])
+            if len(fail):  # a shorter prefix of what matched
+                if run_length:  # at once the longest that another row with this symbol shares
+                    a, b = lo[fail], hi[fail]
+                    x, y = index.around(c[fail], a, b)
+                    d = np.maximum(np.where(x < 0, 0, minima.least(np.maximum(x + 1, 0), a)), np.where(y >= many, 0, minima.least(b, np.minimum(y, many))))
+                else:  # the parent interval
+                    d = np.maximum(lcp[lo[fail]], lcp[hi[fail]])
                 top = d == 0
                 lo[fail] = np.where(top, 0, minima.left(lo[fail], np.maximum(d, 1)))
                 hi[fail] = np.where(top, many, minima.right(hi[fail], np.maximum(d, 1)))
@@ -378,7 +413,7 @@ def search_shards(texts: DataFrame, unit: str, length: int) -> DataFrame:
             for anchor, frag, n, text, size in zip(*columns):
                 if rows and rows[-1][:2] == (anchor, frag):
                     continue  # rows that repeat id and text share a key, and each of them gave the text
-                if held >= BATCH and rows[-1][0] != anchor:
+                if held >= BATCH[unit] and rows[-1][0] != anchor:
                     yield settle(rows)
                     rows, held = [], 0
                 rows.append((anchor, frag, n, text))
