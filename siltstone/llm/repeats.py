@@ -38,7 +38,7 @@ from .common import as_bytes, chunks, mix64, powers, range_hashes, stage, words_
 
 WORDS, BYTES = ("words", 35, 8), ("bytes", 400, 200)
 #: Symbols that a shard indexes at once, at least.
-BATCH = {"words": 1_000_000, "bytes": 3_000_000}
+BATCH = {"words": 1_000_000, "bytes": 2_000_000}
 #: Windows of a fragment, at most.
 RUN = 1024
 
