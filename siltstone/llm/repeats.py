@@ -16,8 +16,9 @@ Plan
 A text that equals another as a whole needs no search: its weight says that each of its windows is elsewhere.
 
 Nothing is capped: a shard works through its anchors in batches of about BATCH symbols, and an anchor with more texts than that
-is one larger batch.  Hash values of 64 bits stand for content in steps 1 and 2; in step 3 the index holds the texts
-themselves, and the byte index checks every report against the text at the located occurrence.
+is one larger batch.  64-bit hashes stand for
+content in steps 1 and 2, for words in the word index, and where common prefixes are compared.  The suffix samples of the run-length
+transform are kept (`RunLength.sample`) but not used yet: reports are not checked against the text at another occurrence.
 
 Cases: null and empty texts, and texts shorter than a window, lose nothing; repeated rows are documents of their own, so
 a repeated text of at least L symbols goes whole; rows that share a doc_id are kept apart by their text; an
