@@ -22,9 +22,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class stays."""
-    kept = neardup.classes(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One row of each class stays: that with the smallest id, null ids last.  Rows are told apart by their number, as ids
+    may be shared or null; rows without words are copies only if they share an id."""
+    rows = stage(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    classes = neardup.classes(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
+    members = classes.join(rows.select("row", "doc_id"), "row")
+    empty = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
+    kept = members.groupBy(empty.alias("empty"), F.when(empty.isNull(), F.col("component_id")).alias("class"))
+    kept = kept.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")).select("least.row")
+    return rows.join(kept, "row", "left_semi").select(docs.columns)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
