@@ -10,9 +10,11 @@ The model is one of bytes, of order 5, trained on trusted text (labelled quality
   3. Each block asks each shard, in one packed row, for the distinct n-grams of its texts, and gets their log probabilities back
      in that order.  What is moved is the n-grams of a block, not those of every document; shards and groups
      of blocks meet in cells of bounded size.
-  4. A document's perplexity is exp(-mean log probability of its bytes).  It is kept if that is at most the quantile QUANTILE
-     of its language's trusted documents that were set aside from training (a quarter, by the id's crc32; of those of all
-     languages, where a language has none).
+  4. A document's perplexity is exp(-mean log probability of its bytes).  It is kept if that is at most its language's limit:
+     of the quantiles QUANTILES of trusted documents set aside from training (a quarter, by the id's crc32), that with the
+     largest sum of trusted rows kept and bad rows (labelled quality 0, never trained on) rejected, as shares.  A language
+     with fewer than ENOUGH of either takes the limit of all languages together; if these have too few, the quantile
+     QUANTILE of its own set-aside rows (of all languages, where it has none).
 
 What is gathered grows with the corpus: every block sends its n-grams.
 
@@ -34,6 +36,9 @@ from pyspark.sql import functions as F
 from .common import chunks, mix64, stage
 
 ORDER, BLOCK_ROWS, SHARD_GRAMS, GROUP, QUANTILE = 5, 4096, 200_000, 256, 0.995
+QUANTILES = [k / 200 for k in range(160, 200)]
+#: Trusted and bad rows from which a limit is chosen.
+ENOUGH = 30
 #: Stands before each text; no byte of UTF-8.
 PAD = 0xFF
 
@@ -196,6 +201,18 @@ def scored(blocks: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, lang string, n_bytes long, perplexity double")
 
 
+def chosen_limits(base: DataFrame) -> DataFrame:
+    """(pooled, of, best) of rows (lang, perplexity, quality): the limit of each language, and of all (pooled)."""
+    both = base.withColumn("pooled", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("of", F.when(~F.col("pooled"), F.col("lang")))
+    good = both.where("quality = 1").groupBy("pooled", "of").agg(F.percentile_approx("perplexity", QUANTILES, 10_000).alias("at"), F.count(F.lit(1)).alias("n_good"))
+    good = good.select(F.col("pooled").alias("p"), F.col("of").alias("o"), "at", "n_good").where(F.col("n_good") >= ENOUGH)
+    bad = both.where("quality = 0").join(good, (F.col("pooled") == F.col("p")) & F.col("of").eqNullSafe(F.col("o")))
+    # of equal sums the larger limit
+    sums = [F.struct((F.avg((F.col("perplexity") > F.col("at")[k]).cast("double")) + q).alias("sum"), F.first(F.col("at")[k]).alias("limit")) for k, q in enumerate(QUANTILES)]
+    found = bad.groupBy("pooled", "of").agg(F.array_max(F.array(*sums))["limit"].alias("best"), F.count(F.lit(1)).alias("n_bad"))
+    return found.where(F.col("n_bad") >= ENOUGH).select("pooled", "of", "best")
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold, kept: one row for each row of docs."""
     n = docs.select("doc_id").count()
@@ -221,9 +238,13 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shards = max(1, -(-kinds // SHARD_GRAMS)) * 4
     answers = probabilities(requests(dealt, shards), counts, shards, -(-blocks // GROUP), small)
     result = stage(scored(dealt, answers, shards), "perplexity")
-    base = result.where("perplexity IS NOT NULL").join(good.where(set_aside).hint("shuffle_merge"), "doc_id")
-    limits = base.groupBy("lang").agg(F.percentile_approx("perplexity", QUANTILE, 10_000).alias("own"))
-    overall = base.agg(F.percentile_approx("perplexity", QUANTILE, 10_000).alias("all")).first()["all"]
-    out = result.join(limits.withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of")), "left")
-    limit = F.coalesce("own", F.lit(overall).cast("double"))
+    known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).where(set_aside | (F.col("quality") == 0))
+    base = stage(result.where("perplexity IS NOT NULL").join(known.hint("shuffle_merge"), "doc_id").select("lang", "perplexity", "quality"), "known")
+    limits = base.where("quality = 1").groupBy("lang").agg(F.percentile_approx("perplexity", QUANTILE, 10_000).alias("own"))
+    overall = base.where("quality = 1").agg(F.percentile_approx("perplexity", QUANTILE, 10_000).alias("all")).first()["all"]
+    chosen = stage(chosen_limits(base), "limits")
+    pooled = chosen.where("pooled").first()
+    out = result.join(limits.withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
+    out = out.join(chosen.where("NOT pooled"), F.col("lang").eqNullSafe(F.col("of")), "left")
+    limit = F.coalesce("best", F.lit(pooled and pooled["best"]).cast("double"), "own", F.lit(overall).cast("double"))
     return out.select("doc_id", "lang", "n_bytes", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= F.coalesce(limit, F.lit(float("inf"))), F.lit(False)).alias("kept"))

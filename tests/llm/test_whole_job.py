@@ -1,9 +1,12 @@
 """Cases in which a stage once did less than the whole job."""
 
 import random
+import zlib
 
 import pytest
 
+from siltstone.llm import quality
+
 
 def passages(n, words, seed):
     rng = random.Random(seed)
@@ -22,3 +25,18 @@ def test_one_row_of_each_class_reaches_the_end(spark, tmp_path):
     for stage in (pipeline.drop_near_copies, pipeline.drop_passages):
         now = stage(spark, now, str(tmp_path))
         assert sorted(map(str, ((r["doc_id"], r["text"]) for r in now.collect()))) == sorted(map(str, want))
+
+
+def test_labelled_bad_rows_set_the_limit(spark):
+    rng = random.Random(2)
+    make = lambda parts: "".join(rng.choices(parts, k=40))
+    good, junk = ["the ", "cat ", "sat ", "on ", "mat. "], ["teh ", "ctaa", "zzqx", "% #", "tam. "]
+    odd = next(k for k in range(200) if zlib.crc32(str(k).encode()) % 4 == 0)
+    rows = [(k, make(["#@%", "~^&", "QQJ"]) if k == odd else make(good), "en", 1) for k in range(200)] + [(k, make(junk), "en", 0) for k in range(200, 260)]
+    rows += [(k, make(good), "fr", 1) for k in range(300, 308)] + [(308, make(junk), "fr", 0)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[3], 0) for r in rows], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.judge(docs, labels).collect()}
+    assert not any(got[r[0]]["kept"] for r in rows if r[3] == 0) and not got[odd]["kept"]
+    assert sum(got[r[0]]["kept"] for r in rows if r[3] == 1) >= 0.9 * sum(r[3] for r in rows)
+    assert len({(r["lang"], r["threshold"]) for r in got.values()}) == 2
