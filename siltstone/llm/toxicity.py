@@ -1,10 +1,10 @@
 """Toxicity by noisy-channel deobfuscation (operator 6).
 
 1. A character model (4-grams over 28 classes: a-z, any other letter, and the word boundary) is counted over every text.
-2. Spans that may hide a word - letters mixed with digits or symbols, single characters with gaps, letters repeated
-   three times or more - become lattices: each symbol may be one of the letters it is used for or nothing, each
-   repetition one letter or two.  Viterbi decoding under the character model picks the likeliest word.  Restored words
-   are scored beside the words as written.
+2. Spans that may hide a word - letters mixed with digits or symbols, with the words beside them, three or more single
+   characters with gaps, letters repeated three times or more - become lattices: each symbol may be one of the letters
+   it is used for or nothing, each repetition one letter or two, each gap nothing or a word boundary.  Viterbi decoding
+   under the character model picks the likeliest words.  Restored words are scored beside the words as written.
 3. A word's evidence is that of its most telling form (the word, or its first 4, 5 or 6 bytes), hashed to a fixed table.
    The weight of a form is the log odds of the Wilson lower bound of its toxic share, so rare forms say little.
 4. A document is described by its strongest word, the sum over its telling words and their number; a logistic fit on
@@ -38,13 +38,17 @@ THRESHOLD = 0.3
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 #: Log probabilities of the channel: a symbol for a letter, a symbol for nothing, a letter doubled or repeated.
 SWAP, DROP, DOUBLE = -1.0, -4.0, -2.0
+#: The same of a gap that joins and one that parts: between single characters, without white space, and others.
+GAPS = ((-0.5, -1.0), (-1.0, -0.5), (-3.0, -0.05))
+#: So many words on either side of a disguised one may be pieces of it.
+REACH = 2
+#: What is neither a letter nor a symbol for one.
+GAP = re.compile("([^a-z\x80-\U0010ffff" + re.escape("".join(LEET)) + "]+)")
 
 _IS_LETTER = np.zeros(256, bool)
 _IS_LETTER[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _IS_LEET = np.zeros(256, bool)
 _IS_LEET[[ord(c) for c in LEET]] = True
-_IS_DIGIT = np.zeros(256, bool)
-_IS_DIGIT[0x30:0x3A] = True
 _CLASS = np.zeros(256, np.int64)
 _CLASS[0x61:0x7B] = np.arange(1, 27)
 _CLASS[0x80:] = 27
@@ -129,38 +133,48 @@ class Decoder:
     def __init__(self, model: np.ndarray):
         self.model, self.known = model, {}
 
-    def options(self, span: str) -> list[list[tuple[str, float]]]:
-        out = []
-        for m in re.finditer(r"(.)\1*", span, re.DOTALL):
-            c, n = m[1], len(m[0])
-            if "a" <= c <= "z":
-                own = [(c, 0.0)] if n == 1 else [(c + c, 0.0 if n == 2 else DOUBLE), (c, DOUBLE)]
-            elif c in LEET:
-                own = [("", DROP)] + [(x * k, SWAP + (k == 2) * DOUBLE * (n != 2)) for x in LEET[c] for k in ((1,) if n == 1 else (2, 1))]
-            elif ord(c) >= 0x80:
-                own = [(c * min(n, 2), 0.0)]
-            else:
-                own = [("", 0.0)]
-            out.append(own)
-        return out
-
-    def __call__(self, span: str) -> str:
+    def options(self, span: str) -> Iterator[list[tuple[str, float]]]:
+        """The readings of each symbol, repetition or gap; a blank is a word boundary."""
+        parts = GAP.split(span)
+        for i, part in enumerate(parts):
+            if i % 2:
+                alone = len(parts[i - 1]) == len(parts[i + 1]) == 1
+                join, split = GAPS[0 if alone else 2 if re.search(r"[\t-\r ]", part) else 1]
+                yield [("", join), (" ", split)]
+                continue
+            for m in re.finditer(r"(.)\1*", part, re.DOTALL):
+                c, n = m[1], len(m[0])
+                if "a" <= c <= "z":
+                    yield [(c, 0.0)] if n == 1 else [(c + c, 0.0 if n == 2 else DOUBLE), (c, DOUBLE)]
+                elif c in LEET:
+                    yield [("", DROP)] + [(x * k, SWAP + (k == 2) * DOUBLE * (n != 2)) for x in LEET[c] for k in ((1,) if n == 1 else (2, 1))]
+                else:
+                    yield [(c * min(n, 2), 0.0)]
+
+    def __call__(self, span: str) -> list[str]:
+        """The words of the likeliest reading that are not written so in the span."""
         if (got := self.known.get(span)) is not None:
             return got
-        model, beam = self.model, {(0, 0, 0): (0.0, "")}
+        model, beam = self.model, {(0, 0, 0): (0.0, None)}
         for own in self.options(span):
             after: dict = {}
-            for (a, b, c), (score, text) in beam.items():
+            for (a, b, c), (score, path) in beam.items():
                 for add, cost in own:
                     s, x, y, z = score + cost, a, b, c
-                    for letter in add:
-                        k = ord(letter) - 96 if letter < "\x80" else 27
-                        s += float(model[((x * CLASSES + y) * CLASSES + z) * CLASSES + k])
-                        x, y, z = y, z, k
+                    for letter in add.encode():
+                        k = int(_CLASS[letter])
+                        if k or z:
+                            s += float(model[((x * CLASSES + y) * CLASSES + z) * CLASSES + k])
+                            x, y, z = y, z, k
                     if (x, y, z) not in after or after[x, y, z][0] < s:
-                        after[x, y, z] = (s, text + add)
+                        after[x, y, z] = (s, (path, add) if add else path)
             beam = after
-        best = max(beam.items(), key=lambda e: e[1][0] + float(model[((e[0][0] * CLASSES + e[0][1]) * CLASSES + e[0][2]) * CLASSES]))[1][1]
+        end = lambda e: e[1][0] + (float(model[((e[0][0] * CLASSES + e[0][1]) * CLASSES + e[0][2]) * CLASSES]) if e[0][2] else 0.0)
+        path, text = max(beam.items(), key=end)[1][1], []
+        while path is not None:
+            path, add = path
+            text.append(add)
+        best = sorted({*"".join(reversed(text)).split(" ")} - {*GAP.split(span), ""})
         if len(self.known) < 200_000:
             self.known[span] = best
         return best
@@ -170,26 +184,38 @@ def hidden_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     """Where a disguised word may stand, as start and end."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    letter, leet, digit = _IS_LETTER[data], _IS_LEET[data], _IS_DIGIT[data]
-    # a symbol before a letter, or a digit after one, within a run of non-space
+    letter, leet = _IS_LETTER[data], _IS_LEET[data]
+    # a symbol beside a letter, within a run of non-space
     hint = np.zeros(len(data), bool)
     hint[:-1] = leet[:-1] & letter[1:]
-    hint[1:] |= leet[1:] & digit[1:] & letter[:-1]
+    hint[1:] |= leet[1:] & letter[:-1]
     # the third of three equal letters
     hint[2:] |= letter[2:] & (data[2:] < 0x80) & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
     tokens, token_ends = runs(~IS_SPACE[data], offsets)
     upto = np.concatenate([[0], np.cumsum(hint)])
     odd = upto[token_ends] > upto[tokens]
-    # four or more single characters with short gaps
-    starts, ends = runs((letter & (data < 0x80)) | leet, offsets)
+    # with its neighbours, which may be pieces of the same word
+    same = np.diff(np.searchsorted(offsets, tokens, side="right")) == 0
+    near = odd.copy()
+    for _ in range(REACH):
+        some = near.copy()
+        near[1:] |= some[:-1] & same
+        near[:-1] |= some[1:] & same
+    linked = near[1:] & near[:-1] & same
+    first, last = near.copy(), near.copy()
+    first[1:] &= ~linked
+    last[:-1] &= ~linked
+    # three or more single characters with gaps
+    starts, ends = runs(letter | leet, offsets)
     joined = np.zeros(len(starts), bool)
     rows = np.searchsorted(offsets, starts, side="right")
     if len(starts) > 1:
-        single = ends - starts == 1
-        joined[1:] = single[1:] & single[:-1] & (starts[1:] - ends[:-1] <= 2) & (rows[1:] == rows[:-1])
+        begun = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        single = begun[ends] - begun[starts] == 1
+        joined[1:] = single[1:] & single[:-1] & (rows[1:] == rows[:-1])
     opens, closes = runs(joined, np.array([0, len(joined)]))
-    long = closes - opens >= 3
-    return np.concatenate([tokens[odd], starts[opens[long] - 1]]), np.concatenate([token_ends[odd], ends[closes[long] - 1]])
+    long = closes - opens >= 2
+    return np.concatenate([tokens[first], starts[opens[long] - 1]]), np.concatenate([token_ends[last], ends[closes[long] - 1]])
 
 
 def word_forms(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -211,7 +237,7 @@ def words_with_restored(data: np.ndarray, offsets: np.ndarray, decoder: Decoder)
     if len(a):
         raw, texts, own = data.tobytes(), [], []
         for x, y, row in zip(a, b, np.searchsorted(offsets, a, side="right") - 1):
-            if restored := decoder(raw[x:y].decode("utf-8", "replace")):
+            for restored in decoder(raw[x:y].decode("utf-8", "replace")):
                 texts.append(restored.encode())
                 own.append(row)
         if texts:

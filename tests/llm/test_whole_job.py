@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 
-from siltstone.llm import quality
+from siltstone.llm import quality, toxicity
 
 
 def passages(n, words, seed):
@@ -40,3 +40,23 @@ def test_labelled_bad_rows_set_the_limit(spark):
     assert not any(got[r[0]]["kept"] for r in rows if r[3] == 0) and not got[odd]["kept"]
     assert sum(got[r[0]]["kept"] for r in rows if r[3] == 1) >= 0.9 * sum(r[3] for r in rows)
     assert len({(r["lang"], r["threshold"]) for r in got.values()}) == 2
+
+
+def test_gaps_join_or_part_words(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices(["ba", "lo", "mi", "tu", "re", "san"], k=rng.randint(1, 4))) for _ in range(400)]
+    bad = ["gruntox", "such a loser", "idiot", "blödian", "dof"]
+    rows = []
+    for k in range(900):
+        text = [rng.choice([*words, "such a"]) for _ in range(60)]
+        if k % 5 == 0:
+            for _ in range(4):
+                text[rng.randrange(60)] = rng.choice(bad)
+        rows.append((k, " ".join(text), int(k % 5 == 0)))
+    hidden = ["gru nt0x gr unt0x", "such a l o s e r", "idio+", "l - o - s - e - r", "b l ö d i a n", "d o f", "gr u nt0x", "G R U N T O X"]
+    clean = ["balomi turesan! such a tu, re 1 2 3", "m i t u such a", "a b c"]
+    texts = dict(enumerate(hidden, 2000)) | dict(enumerate(clean, 3000))
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, y) for k, _, y in rows], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, labels).collect()}
+    assert {t: got[k] for k, t in texts.items()} == dict.fromkeys(hidden, 1) | dict.fromkeys(clean, 0)
