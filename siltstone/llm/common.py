@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -107,7 +108,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of BASE modulo 2^64, and of its inverse."""
+    """The first n powers of BASE modulo 2^64, and of its inverse: for sums that may collide, never where equality is claimed."""
     have = _POWERS.get(0)
     if have is None or len(have[0]) < n:
         size = 1 << max(16, int(n - 1).bit_length())
@@ -118,13 +119,40 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each range: equal content, equal hash."""
-    n = len(values)
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def load8(data: np.ndarray) -> np.ndarray:
+    """For each place, the eight bytes from it on as one integer (zeros beyond the end); a view of a padded copy."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+#: Ranges of more bytes than this are hashed by a cryptographic hash, one by one.
+LONG_RANGE = 256
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[start:end] (bytes) for each range: equal content, equal hash.
+
+    Eight bytes at a time go through a bijection that is not linear, so no string collides with another by its form alone.
+    Whoever needs certainty compares the bytes.
+    """
+    at, left = load8(data), ends - starts
+    out = mix64(left.astype(np.uint64) + np.uint64(0xD6E8FEB86659FD93))
+    long = np.flatnonzero(left > LONG_RANGE)
+    todo, place, left = (np.arange(len(starts)), starts, left) if not len(long) else ((t := np.flatnonzero(left <= LONG_RANGE)), starts[t], left[t])
+    while len(todo):
+        some = left > 0
+        if not some.all():
+            todo, place, left = todo[some], place[some], left[some]
+            if not len(todo):
+                break
+        value = at[place]
+        short = np.flatnonzero(left < 8)
+        value[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+        out[todo] = mix64((out[todo] ^ value) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        place, left = place + 8, left - 8
+    for k in long:
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,3 +174,21 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     ends = np.flatnonzero(solid & ~after) + 1
     counts = np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
     return starts, ends, counts
+
+
+def names_of_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every word its number among the different words here (by its bytes), the 128-bit digests of those (two integers each),
+    where the words start and end, and how many each row has."""
+    starts, ends, counts = words_of(data, offsets)
+    solid = data[~IS_SPACE[data]]
+    upto = np.concatenate([[0], np.cumsum(ends - starts)])
+    wide = len(solid) >= 1 << 31
+    kind, upto = (pa.large_binary(), upto.astype(np.int64)) if wide else (pa.binary(), upto.astype(np.int32))
+    words = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(upto), pa.py_buffer(solid)]).dictionary_encode()
+    digests = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in words.dictionary.to_pylist()])
+    return words.indices.to_numpy().astype(np.int64), np.frombuffer(digests, "<u8").reshape(-1, 2), starts, ends, counts
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z."""
+    return np.where((data >= 0x41) & (data <= 0x5A), data + np.uint8(0x20), data).astype(np.uint8)

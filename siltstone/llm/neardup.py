@@ -3,26 +3,32 @@
 A document's set holds the distinct shingles of five lower-cased words (the whole sequence, if it is shorter).  Documents
 with 100 * |A & B| >= 75 * |A | B| are linked; classes are the connected components.
 
-  1. Documents with equal sets collapse to one representative (the smallest doc_id).
-  2. Signatures of BANDS x ROWS minima; each band is a bucket.  At similarity 0.75 a pair shares no bucket with
-     probability (1 - 0.75^3)^32 < 3e-8.
-  3. First round: in each bucket every member is paired with the bucket's smallest member only.
+  1. Documents of the same word sequence (128-bit digest) collapse to one node.
+  2. Signatures of BANDS x ROWS minima; each band is a bucket.  At similarity 0.75 a pair shares fewer than two buckets with
+     probability below 7e-7, and none with 3e-8.
+  3. First round: in each bucket every member is paired with the bucket's first member only.
   4. Candidates are compared by batches of 16 minima.  After each batch the posterior probability that the similarity is
-     at least 0.75 (uniform prior) is bounded; below MISS the pair is dropped.  Survivors are verified on their whole sets.
-  5. Verified links give components.  Buckets that still hold several components are compared across components only,
-     in cells of at most CELL x CELL members, and the likeliest untested pairs are verified; this repeats until no
+     at least 0.75 (uniform prior) is bounded; below MISS the pair is dropped, and at once if the sizes alone forbid the link.
+     Survivors are verified on their whole sets, word for word.
+  5. Verified links give components.  What may still join two of them is narrowed before any pair is made: a member stays open
+     only if it shares two buckets with other components, and if enough of its shingles stand in other components at all
+     (an exact bound: a link needs 0.75 / 1.75 of both sizes together in common).  A heavily edited copy falls out here by
+     itself, without being held against the thousands of its group.
+  6. Open members are compared across components within buckets, in cells of at most CELL x CELL members, with the same
+     bounds for each pair; longer signatures (WIDE minima, in the same batches) prune again; the likeliest are verified.  This repeats until no
      untested candidate joins two components.  So no link between components is lost, and a large group of
-     near copies is linked by as many pairs as it has members, not by all of its pairs.
+     near copies is linked by about as many pairs as it has members.
 Classes and links stay in tables; the driver sees counts only.
 
 Cases: a null or empty text has no shingles and is its own class; repeated rows are copies; a null doc_id belongs to the
-class of its set and is never kept; an empty table gives no rows; extra columns are not read; sets hold every shingle of a
-text, however long.
+class of its words, links them as any other and is never kept; an empty table gives no rows; extra columns are not read; sets hold every shingle of a
+text, however long; rows that share an id are told apart by their words; a class without any id has a null component_id.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -32,68 +38,106 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, gather_ranges, mix64, range_hashes, stage, words_of
+from .common import as_bytes, chunks, gather_ranges, lowered, mix64, names_of_words, small, stage
 
 SHINGLE, BANDS, ROWS, STEP = 5, 32, 3, 16
+#: Minima (16 bits each) of the signatures that open members are compared by.
+WIDE = 768
 SHARE = 75
 MISS = 1e-7
-CELL = 2048
-#: Untested pairs that a member proposes in a round; later rounds propose the next ones.
-PROPOSALS = 64
+CELL = 512
+#: Untested pairs that a member proposes in the first round, and how many times as many in each later one.
+PROPOSALS, MORE = 16, 8
 #: Pairs of signatures that a worker compares at once.
-PAIRS = 100_000
+PAIRS = 50_000
 
 
 def seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     x = mix64(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return x[:n] | np.uint64(1), x[n:]
+    return x[0::2] | np.uint64(1), x[1::2]
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each row, sorted within the row, end to end, and where the rows begin."""
-    data = np.where((data >= 0x41) & (data <= 0x5A), data + np.uint8(0x20), data).astype(np.uint8)
-    starts, ends, counts = words_of(data, offsets)
-    words = range_hashes(data, starts, ends)
+def shingle_bounds(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and first word of every shingle of rows of so many words."""
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    n = len(counts)
     sizes = np.where(counts > 0, np.maximum(counts - SHINGLE + 1, 1), 0)
-    row = np.repeat(np.arange(n), sizes)
-    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    first = bounds[:-1][row] + place
-    hashes = range_hashes(words, first, np.minimum(first + SHINGLE, bounds[1:][row]))
-    order = np.lexsort((hashes, row))
-    hashes, row = hashes[order], row[order]
+    row = np.repeat(np.arange(len(counts)), sizes)
+    return row, bounds[:-1][row] + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def distinct(codes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes of each row, sorted, end to end, and where the n rows begin."""
+    order = np.lexsort((codes, row))
+    codes, row = codes[order], row[order]
     new = np.ones(len(row), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
-    hashes, row = hashes[new], row[new]
-    return hashes, np.searchsorted(row, np.arange(n + 1))
+    new[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])
+    return codes[new], np.searchsorted(row[new], np.arange(n + 1))
 
 
-def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Minima of BANDS x ROWS hash functions for each row with shingles (others: zeros), the upper 32 bits."""
+def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each row, sorted within the row, end to end, and where the rows begin."""
+    ids, digests, _, _, counts = names_of_words(lowered(data), offsets)
+    words = np.concatenate([digests[:, 0][ids] if len(ids) else np.zeros(0, np.uint64), np.zeros(SHINGLE, np.uint64)])
+    row, first = shingle_bounds(counts)
+    left = np.cumsum(counts)[row] - first  # words from here to the end of the row
+    hashes = mix64(words[first])
+    for k in range(1, SHINGLE):
+        hashes = np.where(left > k, mix64(hashes * np.uint64(0x9E3779B97F4A7C15) + words[first + k]), hashes)
+    return distinct(hashes, row, len(counts))
+
+
+def exact_shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each text as numbers that are equal only if all their words are."""
+    known: dict[bytes, int] = {}
+    ids, counts = [], []
+    for t in texts:
+        words = t.lower().split()
+        counts.append(len(words))
+        ids += [known.setdefault(w, len(known) + 1) for w in words]
+    ids, counts = np.array([*ids, *[0] * SHINGLE], np.int64), np.array(counts, np.int64)
+    row, first = shingle_bounds(counts)
+    left, base = np.cumsum(counts)[row] - first, len(known) + 1
+    codes, most = ids[first], base
+    for k in range(1, SHINGLE):
+        if most >= (1 << 62) // base:  # name what there is anew
+            some, codes = np.unique(codes, return_inverse=True)
+            most = len(some)
+        codes, most = codes * base + np.where(left > k, ids[first + k], 0), most * base
+    return distinct(codes, row, len(texts))
+
+
+def signatures(hashes: np.ndarray, bounds: np.ndarray, n_minima: int) -> np.ndarray:
+    """The first n_minima minima for each row with shingles (others: zeros), the upper 32 bits."""
     n = len(bounds) - 1
-    out = np.zeros((n, BANDS * ROWS), np.uint32)
+    out = np.zeros((n, n_minima), np.uint32)
     some = np.flatnonzero(np.diff(bounds) > 0)
     if len(some):
         at = bounds[:-1][some]
-        for k, (a, b) in enumerate(zip(*seeds(BANDS * ROWS))):
+        for k, (a, b) in enumerate(zip(*seeds(n_minima))):
             out[some, k] = (np.minimum.reduceat((hashes ^ b) * a, at) >> np.uint64(32)).astype(np.uint32)
     return out
 
 
+def digest_of(text: bytes) -> bytes:
+    """128 bits of the word sequence."""
+    return hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).digest()
+
+
 def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_id, sig) of every row; equal sets have equal set_id."""
+    """(doc_id, n_shingles, words, sig) of every row; `words` is a digest of the word sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = as_bytes(batch.column("text"))
             for i, j in chunks(offsets):
-                hashes, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                sig = signatures(hashes, bounds)
-                sets = range_hashes(hashes, bounds[:-1], bounds[1:]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(bounds).astype(np.int64)), pa.array(sets), pa.array([r.tobytes() for r in sig], pa.binary())], ["doc_id", "n_shingles", "set_id", "sig"])
+                part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                hashes, bounds = shingles(part, own)
+                raw = part.tobytes()
+                same = [digest_of(raw[a:b]) for a, b in zip(own[:-1], own[1:])]
+                sig = signatures(hashes, bounds, BANDS * ROWS)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(bounds).astype(np.int64)), pa.array(same, pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())], ["doc_id", "n_shingles", "words", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, words binary, sig binary")
 
 
 def buckets(reps: DataFrame) -> DataFrame:
@@ -115,50 +159,67 @@ def buckets(reps: DataFrame) -> DataFrame:
 
 
 @functools.cache
-def least_matches() -> list[int]:
+def least_matches(n_minima: int) -> list[int]:
     """For 16, 32, ... compared minima, the fewest matches at which P(similarity >= 0.75) is at least MISS."""
     out = []
-    for n in range(STEP, BANDS * ROWS + 1, STEP):
+    for n in range(STEP, n_minima + 1, STEP):
         # with a uniform prior the similarity is Beta(m + 1, n - m + 1): its upper tail is a binomial sum
-        tail = lambda m, n=n: sum(math.comb(n + 1, k) * 0.75**k * 0.25 ** (n + 1 - k) for k in range(m + 1))
+        tail = lambda m, n=n: sum(math.comb(n + 1, k) * 3**k for k in range(m + 1)) / 4 ** (n + 1)
         out.append(next(m for m in range(n + 1) if tail(m) >= MISS))
     return out
 
 
-def surviving(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs of signatures (rows of a and b): the indices that survive every batch, and their matches."""
-    at, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
-    for k, least in enumerate(least_matches()):
+def surviving(sig_a: np.ndarray, a: np.ndarray, sig_b: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of signatures (rows a of sig_a and b of sig_b): the indices that survive every batch, and their matches."""
+    at, matches = np.arange(len(a)), np.zeros(len(a), np.int32)
+    for k, least in enumerate(least_matches(sig_a.shape[1])):
         part = slice(k * STEP, (k + 1) * STEP)
-        matches = matches + (a[at, part] == b[at, part]).sum(1)
+        matches = matches + np.count_nonzero(sig_a[:, part][a[at]] == sig_b[:, part][b[at]], axis=1)
         keep = matches >= least
-        at, matches = at[keep], matches[keep]
+        if not keep.all():
+            at, matches = at[keep], matches[keep]
     return at, matches
 
 
+def possible(na, nb, shared):
+    """Whether sets of these sizes with at most so many common shingles may be linked: 100 s >= 75 (na + nb - s)."""
+    return (100 + SHARE) * shared >= SHARE * (na + nb)
+
+
+def among(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) stand among the pairs (c, d)."""
+    names, code = np.unique(np.concatenate([a, b, c, d]), return_inverse=True)
+    a, b, c, d = np.split(code, np.cumsum([len(a), len(b), len(c)]))
+    return np.isin(a * len(names) + b, c * len(names) + d)
+
+
 def prune(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose signatures survive."""
+    """Those of pairs (a, b) whose sizes allow a link and whose signatures survive."""
 
     def run(batches):
         for batch in batches:
-            sigs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS) for c in ("sa", "sb")]
-            at, _ = surviving(*sigs)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(at)) for c in ("a", "b")], ["a", "b"])
-
-    both = pairs.join(reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+            for i in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(i, PAIRS)
+                sigs = [np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32).reshape(part.num_rows, -1) for c in ("sa", "sb")]
+                every = np.arange(part.num_rows)
+                at, _ = surviving(sigs[0], every, sigs[1], every)
+                yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(at)) for c in ("a", "b")], ["a", "b"])
+
+    of = lambda x: reps.select(F.col("rep").alias(x), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where(possible(F.col("na"), F.col("nb"), F.least("na", "nb")))
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, blob): texts compressed, to be shipped to where pairs are verified."""
+    """(words, blob): texts compressed, to be shipped to where pairs are verified."""
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([press.compress((t or "").encode()) for t in texts], pa.binary())], ["doc_id", "blob"])
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([digest_of(t) for t in texts], pa.binary()), pa.array([press.compress(t) for t in texts], pa.binary())], ["words", "blob"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, blob binary")
+    return docs.select("text").mapInArrow(run, "words binary, blob binary")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -171,17 +232,17 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 part = batch.slice(i, 128)
                 blobs = [*part.column("ta").to_pylist(), *part.column("tb").to_pylist()]
                 own = {b: k for k, b in enumerate(dict.fromkeys(blobs))}
-                raw = [opens.decompress(b) if b else b"" for b in own]
-                offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-                hashes, bounds = shingles(np.frombuffer(b"".join(raw), np.uint8), offsets)
+                codes, bounds = exact_shingles([opens.decompress(b) if b else b"" for b in own])
                 linked, n = [], part.num_rows
                 for k in range(n):
-                    x, y = (hashes[bounds[t] : bounds[t + 1]] for t in (own[blobs[k]], own[blobs[n + k]]))
+                    x, y = (codes[bounds[t] : bounds[t + 1]] for t in (own[blobs[k]], own[blobs[n + k]]))
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     linked.append(100 * both >= SHARE * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked)], ["a", "b", "linked"])
 
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("blob").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("blob").alias("tb")), "b")
+    some = small(stage(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "needed"))
+    texts = texts.join(some, "rep", "left_semi")
+    both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("blob").alias("ta")), "a").join(texts.select(F.col("rep").alias("b"), F.col("blob").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean")
 
 
@@ -194,8 +255,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = stage(small, "stars")
+        small_ = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        now = stage(small_, "stars")
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (seen["n"], seen["h"]) == mark:
             break
@@ -203,14 +264,74 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()).groupBy("node").agg(F.min("label").alias("label"))
 
 
-def proposals(members: DataFrame, reps: DataFrame, tested: DataFrame) -> DataFrame:
-    """Untested pairs (a, b) across components within buckets, by cells of bounded size; the likeliest of each member."""
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after further links (a, b): only the components that the links touch are settled anew."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    new = stage(components(edges), "relabel")
+    moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return moved.unionByName(new.join(labels.select("node"), "node", "left_anti"))
+
+
+def relabel(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+
+def several(members: DataFrame) -> DataFrame:
+    """The buckets in which members of several components stand."""
+    return members.groupBy("bucket").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("bucket")
+
+
+def open_members(members: DataFrame, texts: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of members (bucket, rep, label): (bucket, rep, n, shared) of those that may be linked across components, and their (rep, wide) signatures."""
+
+    def spread(batches):
+        opens = zstandard.ZstdDecompressor()
+        for batch in batches:
+            raw = [opens.decompress(b) if b else b"" for b in batch.column("blob").to_pylist()]
+            upto = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            ids, label = batch.column("rep").to_numpy(), batch.column("label").to_numpy()
+            for i, j in chunks(upto):
+                hashes, bounds = shingles(data[upto[i] : upto[j]], upto[i : j + 1] - upto[i])
+                each = np.diff(bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i:j], each)), pa.array(np.repeat(label[i:j], each)), pa.array(hashes.view(np.int64))], ["rep", "label", "shingle"])
+
+    def widen(batches):
+        opens = zstandard.ZstdDecompressor()
+        for batch in batches:
+            raw = [opens.decompress(b) if b else b"" for b in batch.column("blob").to_pylist()]
+            upto = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            for i, j in chunks(upto):
+                sig = (signatures(*shingles(data[upto[i] : upto[j]], upto[i : j + 1] - upto[i]), WIDE) & 0xFFFF).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), pa.array([r.tobytes() for r in sig], pa.binary())], ["rep", "wide"])
+
+    meeting = stage(members.join(several(members), "bucket"), "meeting")
+    some = stage(meeting.groupBy("rep", "label").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rep", "label"), "meet")
+    own = stage(texts.join(some, "rep"), "open_texts")
+    spread_ = stage(own.select("rep", "label", "blob").mapInArrow(spread, "rep long, label long, shingle long"), "shingles")
+    common = spread_.groupBy("shingle").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("shingle")
+    shared = spread_.join(common, "shingle").groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
+    bound = stage(shared.join(reps.select("rep", "n"), "rep").where(100 * F.col("shared") >= SHARE * F.col("n")), "bound")
+    left = meeting.join(bound, "rep")
+    least = left.groupBy("bucket").agg(F.min("n").alias("least"), F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("bucket", "least")
+    left = stage(left.join(least, "bucket").where(possible(F.col("n"), F.col("least"), F.col("shared"))).select("bucket", "rep", "n", "shared"), "open")
+    wide = own.join(left.select("rep").distinct(), "rep", "left_semi").select("rep", "blob").mapInArrow(widen, "rep long, wide binary")
+    return left, stage(wide, "wide")
+
+
+def proposals(members: DataFrame, wide: DataFrame, tested: DataFrame, each: int) -> DataFrame:
+    """Untested pairs (a, b) across components within buckets, by cells of bounded size; the `each` likeliest of each member in a cell.
+
+    members: (bucket, rep, label, n, shared).
+    """
 
     def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         """Proposals of whole cells, sorted by cell and then role: pairs of many cells are compared together."""
         column = lambda c: rows.column(c).to_numpy()
-        role, rep, label = column("role"), column("rep"), column("label")
-        sig = as_bytes(rows.column("sig"))[0].view(np.uint32).reshape(-1, BANDS * ROWS)
+        role, rep, label, n, shared = (column(c) for c in ("role", "rep", "label", "n", "shared"))
+        sig = as_bytes(rows.column("wide"))[0].view(np.uint16).reshape(-1, WIDE)
         cell = np.cumsum(np.concatenate([[True], (column("bucket")[1:] != column("bucket")[:-1]) | (column("i")[1:] != column("i")[:-1]) | (column("j")[1:] != column("j")[:-1])])) - 1
         lines = np.flatnonzero(role == 0)
         begin = np.searchsorted(2 * cell + role, 2 * cell[lines] + 1)
@@ -218,21 +339,20 @@ def proposals(members: DataFrame, reps: DataFrame, tested: DataFrame) -> DataFra
         done = rows.column("tested").combine_chunks() if isinstance(rows.column("tested"), pa.ChunkedArray) else rows.column("tested")
         for x, y in chunks(np.concatenate([[0], np.cumsum(count)]), PAIRS):
             a, b = np.repeat(lines[x:y], count[x:y]), gather_ranges(begin[x:y], count[x:y])
-            some = label[a] != label[b]
+            some = (label[a] != label[b]) & possible(n[a], n[b], np.minimum(shared[a], shared[b]))
             a, b = a[some], b[some]
             own = done.take(pa.array(lines[x:y]))
             if own.null_count < len(own):
                 known = own.flatten().to_numpy(zero_copy_only=False)
                 by = np.repeat(rep[lines[x:y]], np.diff(own.offsets.to_numpy()))
-                name = lambda p, q: mix64(p.view(np.uint64) * np.uint64(3)) ^ q.view(np.uint64)
-                fresh = ~np.isin(name(rep[a], rep[b]), name(by, known))
+                fresh = ~among(rep[a], rep[b], by, known)
                 a, b = a[fresh], b[fresh]
-            at, matches = surviving(sig[a], sig[b])
+            at, matches = surviving(sig, a, sig, b)
             a, b = a[at], b[at]
             order = np.lexsort((b, -matches, a))
             a, b = a[order], b[order]
             place = np.arange(len(a)) - np.searchsorted(a, a)
-            a, b = rep[a[place < PROPOSALS]], rep[b[place < PROPOSALS]]
+            a, b = rep[a[place < each]], rep[b[place < each]]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -255,34 +375,41 @@ def proposals(members: DataFrame, reps: DataFrame, tested: DataFrame) -> DataFra
     per = per.select("bucket", F.col("top.label").alias("most"), F.ceil(F.col("all") / CELL).cast("int").alias("columns"), F.ceil((F.col("all") - F.col("top.c")) / CELL).cast("int").alias("lines"))
     open_ = members.join(per, "bucket").withColumn("h", F.xxhash64("rep"))
     # a column cell for every member; a line for those outside the bucket's largest component
-    columns = open_.select("bucket", "rep", "label", F.lit(1).alias("role"), F.pmod("h", "columns").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("j"))
-    lines = open_.where("label <> most").select("bucket", "rep", "label", F.lit(0).alias("role"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("i"), F.pmod("h", "lines").cast("int").alias("j"))
+    columns = open_.select("bucket", "rep", "label", "n", "shared", F.lit(1).alias("role"), F.pmod("h", "columns").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("j"))
+    lines = open_.where("label <> most").select("bucket", "rep", "label", "n", "shared", F.lit(0).alias("role"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("i"), F.pmod("h", "lines").cast("int").alias("j"))
     done = tested.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(tested.select(F.col("b").alias("rep"), F.col("a").alias("other"))).groupBy("rep").agg(F.collect_set("other").alias("tested"))
     lines = lines.join(done, "rep", "left")
-    cells = columns.withColumn("tested", F.lit(None).cast("array<bigint>")).unionByName(lines).join(reps.select("rep", "sig"), "rep")
-    dealt = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "role").select("bucket", "i", "j", "role", "rep", "label", "sig", "tested")
+    cells = columns.withColumn("tested", F.lit(None).cast("array<bigint>")).unionByName(lines).join(wide, "rep")
+    dealt = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "role").select("bucket", "i", "j", "role", "rep", "label", "n", "shared", "wide", "tested")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     described = stage(describe(docs), "sets")
-    reps = described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
-    reps = stage(reps, "reps")
+    # a node for each word sequence, numbered once: rows may share an id, or have none
+    nodes = described.where("n_shingles > 0").groupBy("words").agg(F.min("doc_id").alias("least"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n"))
+    reps = stage(nodes.withColumn("rep", F.monotonically_increasing_id()), "reps")
     bands = buckets(reps)
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lead")).where("c > 1").drop("c")
     members = stage(bands.join(shared, "bucket"), "members")
-    texts = stage(packed(docs).join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").groupBy("doc_id").agg(F.min("blob").alias("blob")), "texts")
+    known = reps.select("words", "rep").join(members.select("rep").distinct(), "rep", "left_semi")
+    texts = stage(packed(docs).join(known, "words").groupBy("rep").agg(F.min("blob").alias("blob")), "texts")
     pairs = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    tested = stage(verify(prune(pairs, reps), texts), "tested")
+    tested = stage(verify(stage(prune(pairs, reps), "pruned"), texts), "tested")
+    labels = stage(components(tested.where("linked").select("a", "b")), "labels")
+    left, wide = open_members(relabel(members.select("bucket", "rep"), labels), texts, reps)
+    each = PROPOSALS
     while True:
-        labels = stage(components(tested.where("linked").select("a", "b")), "labels")
-        labelled = members.select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        more = stage(proposals(labelled, reps, tested.select("a", "b")), "proposed")
+        more = stage(proposals(relabel(left, labels), wide, tested.select("a", "b"), each), "proposed")
+        each *= MORE
         if more.isEmpty():
             break
-        tested = stage(tested.unionByName(verify(more, texts)), "tested")
-    known = reps.select("set_id", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("label", "rep").alias("label"))
-    out = described.select("doc_id", "n_shingles", "set_id").join(known, "set_id", "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))
+        new = stage(verify(more, texts), "tested")
+        labels = stage(joined(labels, new.where("linked").select("a", "b")), "labels")
+        tested = tested.unionByName(new)
+    named = relabel(reps.select("words", "rep", "least"), labels)
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    out = described.select("doc_id", "n_shingles", "words").join(named.select("words", "label").join(least, "label"), "words", "left")
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

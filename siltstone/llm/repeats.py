@@ -5,20 +5,22 @@ also starts anywhere else.  Windows are judged on the input.
 
 Plan
   1. Each window is keyed by the least hash of the k-symbol strings in it (its anchor): equal windows have equal anchors.
-     Neighbouring windows with one anchor form a fragment, kept as (anchor, hash of the fragment, place).
+     Neighbouring windows with one anchor form a fragment, kept as (anchor, 128-bit digest of the fragment, place).
   2. Anchors that occur once in all texts hold no repeated window and go.  Equal fragments collapse to one text with a weight.
   3. The texts are dealt to shards by anchor, so every pair of equal windows meets in one shard.  A shard builds an
-     index of its texts - an FM-index whose Burrows-Wheeler transform is a wavelet matrix of bit vectors with popcount
-     ranks (words), or a run-length Burrows-Wheeler transform with the suffix samples at run ends (bytes) - and streams
-     the texts through it from right to left.  Backward search and, where it fails, the parent interval give each
-     position's matching statistic; where it reaches L with two occurrences (weights count), the window is reported.
+     index of its texts and streams the texts through it for their matching statistics; where these reach L with
+     two occurrences (weights count), the window is reported.
+       words: an FM-index whose Burrows-Wheeler transform is a wavelet matrix of bit vectors with popcount ranks;
+       backward search and, where it fails, the parent interval.
+       bytes: a run-length Burrows-Wheeler transform with the suffixes sampled at run ends, which give the statistics.
   4. Reported intervals go back to every occurrence of the fragment, and the texts are cut.
 A text that equals another as a whole needs no search: its weight says that each of its windows is elsewhere.
 
+Equality is never left to a hash that can be made to collide: fragments are equal by a cryptographic digest of 128 bits (of
+bytes, or of such digests of the words), in an index words are numbered by their bytes and common prefixes are compared symbol by symbol.
+
 Nothing is capped: a shard works through its anchors in batches of about BATCH symbols, and an anchor with more texts than that
-is one larger batch.  64-bit hashes stand for
-content in steps 1 and 2, for words in the word index, and where common prefixes are compared.  The suffix samples of the run-length
-transform are kept (`RunLength.sample`) but not used yet: reports are not checked against the text at another occurrence.
+is one larger batch.
 
 Cases: null and empty texts, and texts shorter than a window, lose nothing; repeated rows are documents of their own, so
 a repeated text of at least L symbols goes whole; rows that share a doc_id are kept apart by their text; an
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, mix64, powers, range_hashes, stage, words_of
+from .common import as_bytes, chunks, load8, mix64, names_of_words, powers, stage, words_of
 
 WORDS, BYTES = ("words", 35, 8), ("bytes", 400, 200)
 #: Symbols that a shard indexes at once, at least.
@@ -47,12 +49,12 @@ RUN = 1024
 # ---- step 1: anchors
 
 
-def symbols(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all texts, where each text's begin, and the bytes from which to which each stands."""
+def layout(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each text's symbols begin, and from which byte to which each symbol stands (words only)."""
     if unit == "bytes":
-        return data, offsets, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return offsets, np.zeros(0, np.int64), np.zeros(0, np.int64)
     starts, ends, counts = words_of(data, offsets)
-    return range_hashes(data, starts, ends), np.concatenate([[0], np.cumsum(counts)]), starts, ends
+    return np.concatenate([[0], np.cumsum(counts)]), starts, ends
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -65,11 +67,14 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def fragments(values: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(row, anchor, hash, start, size, times the anchor stands in it) of each fragment; start within the row."""
+    """(row, anchor, first symbol, one past the last, times the anchor stands in it) of each fragment.
+
+    Anchors come from sums that may collide: then different windows meet under one anchor, which costs time and changes nothing.
+    """
     n = len(values)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none, none, none
+        return none, none, none, none, none
     up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
@@ -87,7 +92,6 @@ def fragments(values: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tu
     if pieces.max(initial=1) > 1:
         begin, stop = np.repeat(begin, pieces) + RUN * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)), np.repeat(end, pieces)
         end = np.minimum(begin + RUN + length - 1, stop)
-    own = row[begin]
     # How often the least string stands in the fragment: two equal windows of one fragment show it first in their
     # left one, where it begins a window, and last in their right one, where it ends a window.
     w = length - k + 1
@@ -99,88 +103,97 @@ def fragments(values: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tu
     a, b, c = upto(opening), upto(closing), upto(both)
     stop = end - length + 1
     seen = a[stop] - a[begin] + b[stop] - b[begin] - (c[stop] - c[np.minimum(begin + w - 1, stop)])
-    content = mix64((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return own, least[begin].view(np.int64), content.view(np.int64), begin - bounds[own], end - begin, np.maximum(seen, 1)
+    return row[begin], least[begin].view(np.int64), begin, end, np.maximum(seen, 1)
+
+
+def digests_of(content: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits, as two integers, of each content[begin:end]."""
+    view = memoryview(content)
+    return np.frombuffer(b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist())]), "<i8").reshape(-1, 2)
 
 
 def anchors(docs: DataFrame, unit: str, length: int, k: int) -> DataFrame:
-    """(key, anchor, frag, start, size, seen) of every fragment of docs (doc_id, key, text)."""
+    """(key, anchor, f1, f2, start, size, seen) of every fragment of docs (doc_id, key, text); f1, f2: the digest of its symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = as_bytes(batch.column("text"))
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             for i, j in chunks(offsets):
-                values, bounds, _, _ = symbols(unit, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                row, anchor, frag, start, size, seen = fragments(values, bounds, length, k)
+                part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                if unit == "bytes":
+                    values, content, width = part, part.tobytes(), 1
+                else:
+                    ids, names, _, _, counts = names_of_words(part, bounds)
+                    whole = names[ids]
+                    values, content, width, bounds = whole[:, 0], whole.tobytes(), 16, np.concatenate([[0], np.cumsum(counts)])
+                row, anchor, begin, end, seen = fragments(values, bounds, length, k)
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[i:j][row]), pa.array(anchor), pa.array(frag), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(np.minimum(seen, 2).astype(np.int32))], ["key", "anchor", "frag", "start", "size", "seen"])
+                    frag = digests_of(content, width * begin, width * end)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[i:j][row]), pa.array(anchor), pa.array(frag[:, 0]), pa.array(frag[:, 1]), pa.array((begin - bounds[row]).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(np.minimum(seen, 2).astype(np.int32))], ["key", "anchor", "f1", "f2", "start", "size", "seen"])
 
-    return docs.mapInArrow(run, "key long, anchor long, frag long, start int, size int, seen int")
+    return docs.mapInArrow(run, "key long, anchor long, f1 long, f2 long, start int, size int, seen int")
 
 
 # ---- step 3: the index
 
 
-def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix array by doubling, and for each row the least and greatest common prefix with the row before that the rounds have left open.
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Suffix array by doubling of symbols from 1 on; each 0 is a separator of its own, in order of place, and the last symbol is one.
 
     The first round sorts by several symbols packed into one integer; later ones sort only suffixes that are still tied.
     """
     n = len(text)
-    base = int(text.max()) + 2
-    h = max(1, min(4, int(61 / np.log2(base))))
-    packed = np.zeros(n, np.int64)
-    for k in range(h):
-        packed *= base
-        packed[: max(0, n - k)] += text[k:] + 1
-    order = np.argsort(packed, kind="stable")
-    packed = packed[order]
-    new = np.concatenate([[True], packed[1:] != packed[:-1]])
-    low, high = np.zeros(n, np.int32), np.full(n, h - 1, np.int32)
-    rank = np.empty(n + 1, np.int64)
+    bits = max(1, int(text.max()).bit_length())
+    packed, h = text.astype(np.int64), 1
+    low = (np.int64(1) << bits) - 1
+    while 2 * h * bits <= 62:
+        following = np.concatenate([packed[h:], np.zeros(min(h, n), np.int64)])[:n]
+        packed = (packed << (h * bits)) | np.where(packed & low, following, 0)
+        h *= 2
+    ended = (packed & low) == 0
+    order = np.argsort(packed)
+    same = packed[order]
+    new = np.concatenate([[True], same[1:] != same[:-1]])
+    # equal strings that end with their text stand by place
+    some = np.flatnonzero(ended[order])
+    order[some] = order[some][np.lexsort((order[some], same[some]))]
+    new |= ended[order]
+    del packed, same
+    rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[n] = -1
-    del packed
-    tied = ~(new & np.concatenate([new[1:], [True]]))
-    while True:
-        at = np.flatnonzero(tied)
-        if not len(at):
-            return order, low, high
+    at = np.flatnonzero(~(new & np.concatenate([new[1:], [True]])))
+    while len(at):
         pos = order[at]
         # groups are contiguous in `at`, so one sort of (group, rank h symbols on) orders them in place
-        key = rank[pos] * np.int64(n + 2) + rank[np.minimum(pos + h, n)] + 1
-        sub = np.argsort(key, kind="stable")
+        key = rank[pos] * np.int64(n) + rank[pos + h]
+        sub = np.argsort(key)
         pos, key = pos[sub], key[sub]
         order[at] = pos
         fresh = np.concatenate([[True], key[1:] != key[:-1]])
-        group = key // (n + 2)
-        inside = at[fresh & np.concatenate([[False], group[1:] == group[:-1]])]
-        low[inside], high[inside] = h, 2 * h - 1
         rank[pos] = np.maximum.accumulate(np.where(fresh, at, 0))
-        tied[at[fresh & np.concatenate([fresh[1:], [True]])]] = False
+        at = at[~(fresh & np.concatenate([fresh[1:], [True]]))]
         h *= 2
-
-
-def common_prefixes(values: np.ndarray, limit: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarray, most: int) -> np.ndarray:
-    """LCP of neighbouring suffixes up to `most`, by binary search over prefix hashes between low and high; limit: symbols left in the text."""
-    n = len(values)
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    a, b = order[:-1], order[1:]
-    high = np.minimum(np.minimum(np.minimum(limit[a], limit[b]), high[1:]), most)
-    low = np.minimum(low[1:], high).astype(np.int64)
-    while True:
-        some = np.flatnonzero(low < high)
-        if not len(some):
-            break
-        mid = (low[some] + high[some] + 1) >> 1
-        x, y = a[some], b[some]
-        same = (total[x + mid] - total[x]) * down[x] == (total[y + mid] - total[y]) * down[y]
-        low[some[same]] = mid[same]
-        high[some[~same]] = mid[~same] - 1
-    return np.concatenate([[0], low, [0]])
+    return order
+
+
+def common_prefixes(values: np.ndarray, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """How many symbols of values agree from a and from b on, at most limit: the symbols themselves are compared, bytes by eights."""
+    out = np.zeros(len(a), np.int64)
+    eights = values.dtype == np.uint8
+    at = load8(values) if eights else values
+    todo = np.flatnonzero(limit > 0)
+    while len(todo):
+        x, y = at[a[todo] + out[todo]], at[b[todo] + out[todo]]
+        if eights:
+            odd = x ^ y
+            step = np.where(odd == 0, 8, np.bitwise_count((odd & (~odd + np.uint64(1))) - np.uint64(1)) >> 3)
+            out[todo] += step
+            todo = todo[(step == 8) & (out[todo] < limit[todo])]
+        else:
+            out[todo] += x == y
+            todo = todo[(x == y) & (out[todo] < limit[todo])]
+    return np.minimum(out, limit)
 
 
 class Wavelet:
@@ -216,48 +229,36 @@ class Wavelet:
 
 
 class RunLength:
-    """A run-length Burrows-Wheeler transform: runs ordered by symbol, and the suffix sampled at the end of each run."""
+    """A run-length Burrows-Wheeler transform with the suffix sampled at both ends of each run.
 
-    def __init__(self, bwt: np.ndarray, order: np.ndarray):
-        n = len(bwt)
-        ends = np.flatnonzero(np.concatenate([bwt[1:] != bwt[:-1], [True]]))
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        symbol = bwt[ends].astype(np.int64)
-        by = np.argsort(symbol, kind="stable")
-        self.n = n
-        self.keys = symbol[by] * (n + 1) + starts[by]
-        self.starts, self.sizes = starts[by], (ends - starts + 1)[by]
-        first = np.concatenate([[True], symbol[by][1:] != symbol[by][:-1]])
-        upto = np.cumsum(self.sizes) - self.sizes
-        self.before = upto - np.maximum.accumulate(np.where(first, upto, 0))
-        self.symbol = symbol[by]
-        #: Text position of the last row of each run.
-        self.samples = order[ends][by]
+    A separator counts as a run of its own.  At a border between two runs the last suffix of the one and the first of the next are
+    neighbours, and their common prefix is read off the text at these two places.  Everywhere else a suffix and its neighbour both go
+    on from the suffixes one place to the left (their symbol before is the same), so the common prefix is one less.  The samples
+    alone thus give each place's matching statistic: the longest prefix that also starts elsewhere.
+    """
 
-    def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        run = np.searchsorted(self.keys, c * (self.n + 1) + i, side="left") - 1
-        safe = np.maximum(run, 0)
-        hit = (run >= 0) & (self.symbol[safe] == c)
-        return np.where(hit, self.before[safe] + np.minimum(i - self.starts[safe], self.sizes[safe]), 0)
-
-    def around(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The last row before lo, and the first from hi on, whose symbol is c (-1 and n: none)."""
-        last = np.searchsorted(self.keys, c * (self.n + 1) + lo, side="left") - 1
-        safe = np.maximum(last, 0)
-        before = np.where((last >= 0) & (self.symbol[safe] == c), np.minimum(self.starts[safe] + self.sizes[safe], lo) - 1, -1)
-        at = np.searchsorted(self.keys, c * (self.n + 1) + hi, side="right") - 1
-        safe = np.maximum(at, 0)
-        inside = (at >= 0) & (self.symbol[safe] == c) & (self.starts[safe] + self.sizes[safe] > hi)
-        following = np.minimum(at + 1, len(self.keys) - 1)
-        later = np.where((at + 1 < len(self.keys)) & (self.symbol[following] == c), self.starts[following], self.n)
-        return before, np.where(inside, hi, later)
-
-    def sample(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """Text position of the suffix at the last row before i that is the end of a run of c, or -1."""
-        run = np.searchsorted(self.keys, c * (self.n + 1) + i, side="left") - 1
-        safe = np.maximum(run, 0)
-        hit = (run >= 0) & (self.symbol[safe] == c) & (self.starts[safe] + self.sizes[safe] <= i)
-        return np.where(hit, self.samples[safe], -1)
+    def __init__(self, bwt: np.ndarray, order: np.ndarray):
+        border = np.concatenate([[True], (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)])
+        first = np.flatnonzero(border)
+        last = np.concatenate([first[1:], [len(bwt)]]) - 1
+        self.n = len(bwt)
+        self.symbol, self.size = bwt[first], last - first + 1
+        self.first, self.last = order[first], order[last]
+
+    def border_prefixes(self, values: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """The common prefix at each border: the end of a run, and the start of the next."""
+        a, b = self.last[:-1], self.first[1:]
+        return common_prefixes(values, a, b, np.minimum(limit[a], limit[b]))
+
+    def matching(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place, the common prefix with the suffix before it in order, and with the one after it; shared: border_prefixes."""
+        sides = []
+        for places, known in ((self.first, np.concatenate([[0], shared])), (self.last, np.concatenate([shared, [0]]))):
+            at_sample = np.full(self.n, -1, np.int64)
+            at_sample[places] = known
+            sampled = np.maximum.accumulate(np.where(at_sample >= 0, np.arange(self.n), 0))
+            sides.append(np.maximum(at_sample[sampled] - (np.arange(self.n) - sampled), 0))
+        return sides[0], sides[1]
 
 
 class Minima:
@@ -270,16 +271,6 @@ class Minima:
             self.tables.append(np.minimum(last[:-k], last[k:]))
             k *= 2
 
-    def least(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Minimum of lcp[a..b], b not before a."""
-        k = np.frexp((b - a + 1).astype(np.float64))[1] - 1
-        out = np.empty(len(a), np.int64)
-        for level in np.unique(k):
-            some = np.flatnonzero(k == level)
-            table = self.tables[level]
-            out[some] = np.minimum(table[a[some]], table[b[some] - (1 << int(level)) + 1])
-        return out
-
     def left(self, i: np.ndarray, d: np.ndarray) -> np.ndarray:
         """Largest j <= i with lcp[j] < d."""
         i = i.copy()
@@ -312,28 +303,38 @@ def repeated_windows(values: np.ndarray, bounds: np.ndarray, weights: np.ndarray
     left = bounds[1:][row] - np.arange(n)
     heavy = weights >= 2
     found[heavy[row] & (left >= length)] = True
-    # the indexed text: a separator of its own after each text, below all symbols
-    distinct, dense = np.unique(values, return_inverse=True)
-    sigma = len(distinct)
+    light = ~heavy & (sizes >= length)
+    if not light.any():
+        return found
+    # the indexed text: a separator after each text, below all symbols
+    if values.dtype == np.uint8:
+        used = np.bincount(values, minlength=256) > 0
+        dense, sigma = np.cumsum(used)[values] - 1, int(used.sum())
+    else:
+        distinct, dense = np.unique(values, return_inverse=True)
+        sigma = len(distinct)
     at = np.arange(n) + row
-    text = np.empty(n + texts, np.int64)
-    text[at] = dense + texts
-    text[bounds[1:] + np.arange(texts)] = np.arange(texts)
+    text = np.zeros(n + texts, np.int64)
+    text[at] = dense + 1
     limit = np.zeros(n + texts, np.int64)
     limit[at] = left
-    order, low, high = suffix_array(text)
-    symbols_ = np.maximum(text - (texts - 1), 0)  # 0: any separator; 1..sigma
-    lcp = common_prefixes(np.where(text < texts, np.int64(0), symbols_), limit, order, low, high, length)
-    bwt = symbols_[order - 1]
-    index = RunLength(bwt, order) if run_length else Wavelet(bwt, sigma)
-    minima = Minima(lcp)
-    counts = np.bincount(symbols_, minlength=sigma + 1)
+    order = suffix_array(text)
+    bwt = text[order - 1]
+    runs = RunLength(bwt, order)
+    plain = np.zeros(n + texts, values.dtype)
+    plain[at] = values
+    before_, after_ = runs.matching(runs.border_prefixes(plain, limit))
+    if run_length:
+        # the texts that stand once are streamed: a window is repeated if the match from its place on is as long
+        found |= (np.maximum(before_, after_)[at] >= length) & light[row]
+        return found
+    lcp = np.concatenate([np.minimum(before_[order], length), [0]])
+    index, minima = Wavelet(bwt, sigma), Minima(lcp)
+    counts = np.bincount(text, minlength=sigma + 1)
     before = np.cumsum(counts) - counts
     # stream the texts that stand once, all together, from their ends
-    walk = np.flatnonzero(~heavy & (sizes >= length))
+    walk = np.flatnonzero(light)
     walk = walk[np.argsort(-sizes[walk], kind="stable")]
-    if not len(walk):
-        return found
     many = len(text)
     lo, hi, got = np.zeros(len(walk), np.int64), np.full(len(walk), many, np.int64), np.zeros(len(walk), np.int64)
     end = bounds[1:][walk]
@@ -350,15 +351,9 @@ def repeated_windows(values: np.ndarray, bounds: np.ndarray, weights: np.ndarray
             fits = todo[ok]
             lo[fits], hi[fits], got[fits] = x[ok], y[ok], got[fits] + 1
             fail = todo[~ok]
-            root = got[fail] == 0
-            fail = fail[~root]
-            if len(fail):  # a shorter prefix of what matched
-                if run_length:  # at once the longest that another row with this symbol shares
-                    a, b = lo[fail], hi[fail]
-                    x, y = index.around(c[fail], a, b)
-                    d = np.maximum(np.where(x < 0, 0, minima.least(np.maximum(x + 1, 0), a)), np.where(y >= many, 0, minima.least(b, np.minimum(y, many))))
-                else:  # the parent interval
-                    d = np.maximum(lcp[lo[fail]], lcp[hi[fail]])
+            fail = fail[got[fail] > 0]
+            if len(fail):  # a shorter prefix of what matched: the parent interval
+                d = np.maximum(lcp[lo[fail]], lcp[hi[fail]])
                 top = d == 0
                 lo[fail] = np.where(top, 0, minima.left(lo[fail], np.maximum(d, 1)))
                 hi[fail] = np.where(top, many, minima.right(hi[fail], np.maximum(d, 1)))
@@ -396,40 +391,44 @@ def spans(found: np.ndarray, bounds: np.ndarray, length: int) -> list[np.ndarray
 
 
 def search_shards(texts: DataFrame, unit: str, length: int) -> DataFrame:
-    """(anchor, frag, spans) of fragments (anchor, frag, n, text): what of each fragment is repeated."""
+    """(anchor, f1, f2, spans) of fragments (anchor, f1, f2, n, text, size): what of each fragment is repeated."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])]).astype(np.int64)
-        values, bounds, _, _ = symbols(unit, data, offsets)
-        found = repeated_windows(values, bounds, np.array([r[2] for r in rows]), length, unit == "bytes")
-        some = [(r[0], r[1], s.tolist()) for r, s in zip(rows, spans(found, bounds, length)) if len(s)]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.int64()), pa.array([x[2] for x in some], pa.list_(pa.int32()))], ["anchor", "frag", "spans"])
+        if unit == "bytes":
+            values, bounds = data, offsets
+        else:
+            values, _, _, _, counts = names_of_words(data, offsets)
+            bounds = np.concatenate([[0], np.cumsum(counts)])
+        found = repeated_windows(values, bounds, np.array([r[4] for r in rows]), length, unit == "bytes")
+        some = [(*r[:3], s.tolist()) for r, s in zip(rows, spans(found, bounds, length)) if len(s)]
+        return pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in some], pa.int64()) for k in range(3)), pa.array([x[3] for x in some], pa.list_(pa.int32()))], ["anchor", "f1", "f2", "spans"])
 
     def run(batches):
         rows: list[tuple] = []
         held = 0
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("anchor", "frag", "n", "text", "size")]
-            for anchor, frag, n, text, size in zip(*columns):
-                if rows and rows[-1][:2] == (anchor, frag):
+            columns = [batch.column(c).to_pylist() for c in ("anchor", "f1", "f2", "text", "n", "size")]
+            for anchor, f1, f2, text, n, size in zip(*columns):
+                if rows and rows[-1][:3] == (anchor, f1, f2):
                     continue  # rows that repeat id and text share a key, and each of them gave the text
                 if held >= BATCH[unit] and rows[-1][0] != anchor:
                     yield settle(rows)
                     rows, held = [], 0
-                rows.append((anchor, frag, n, text))
+                rows.append((anchor, f1, f2, text, n))
                 held += size
         if rows:
             yield settle(rows)
 
-    return texts.mapInArrow(run, "anchor long, frag long, spans array<int>")
+    return texts.mapInArrow(run, "anchor long, f1 long, f2 long, spans array<int>")
 
 
 # ---- the whole plan
 
 
 def cut_texts(docs: DataFrame, wanted: DataFrame, unit: str) -> DataFrame:
-    """(anchor, frag, n, text, size): the bytes of the wanted fragments (key, list of anchor, frag, n, start, size)."""
+    """(anchor, f1, f2, n, text, size): the bytes of the wanted fragments (key, list of anchor, f1, f2, n, start, size)."""
 
     def run(batches):
         for batch in batches:
@@ -437,7 +436,7 @@ def cut_texts(docs: DataFrame, wanted: DataFrame, unit: str) -> DataFrame:
             lists = batch.column("wanted")
             for i, j in chunks(offsets):
                 part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                _, bounds, starts, ends = symbols(unit, part, own)
+                bounds, starts, ends = layout(unit, part, own)
                 own_lists = lists.slice(i, j - i)
                 flat, ranges = own_lists.flatten(), np.diff(own_lists.offsets.to_numpy())
                 if not len(flat):
@@ -446,9 +445,9 @@ def cut_texts(docs: DataFrame, wanted: DataFrame, unit: str) -> DataFrame:
                 first = np.repeat(bounds[:-1], ranges) + start
                 a, b = (first, first + size) if unit == "bytes" else (starts[first], ends[first + size - 1])
                 raw = part.tobytes()
-                yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("frag"), flat.field("n"), pa.array([raw[x:y] for x, y in zip(a, b)], pa.binary()), pa.array(size.astype(np.int32))], ["anchor", "frag", "n", "text", "size"])
+                yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in ("anchor", "f1", "f2", "n")), pa.array([raw[x:y] for x, y in zip(a, b)], pa.binary()), pa.array(size.astype(np.int32))], ["anchor", "f1", "f2", "n", "text", "size"])
 
-    return docs.join(wanted, "key").select("text", "wanted").mapInArrow(run, "anchor long, frag long, n long, text binary, size int")
+    return docs.join(wanted, "key").select("text", "wanted").mapInArrow(run, "anchor long, f1 long, f2 long, n long, text binary, size int")
 
 
 def remove(docs: DataFrame, spans_of: DataFrame, unit: str, keep_text: bool = False) -> DataFrame:
@@ -460,7 +459,7 @@ def remove(docs: DataFrame, spans_of: DataFrame, unit: str, keep_text: bool = Fa
             lists = batch.column("spans")
             for i, j in chunks(offsets):
                 part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                _, bounds, starts, ends = symbols(unit, part, own)
+                bounds, starts, ends = layout(unit, part, own)
                 total = int(bounds[-1])
                 mark = np.zeros(total + 1, np.int32)
                 own_lists = lists.slice(i, j - i).to_pylist()
@@ -504,17 +503,17 @@ def repeated_spans(docs: DataFrame, own: DataFrame, kind: tuple[str, int, int])
     unit, length, k = kind
     fragments_ = anchors(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text"), unit, length, k)
     twice = fragments_.groupBy("anchor").agg(F.sum("seen").alias("c")).where("c > 1").select("anchor")
-    live = stage(fragments_.select("key", "anchor", "frag", "start", "size").join(twice, "anchor"), "live")
-    each = live.groupBy("anchor", "frag").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start", "size")).alias("at"))
+    live = stage(fragments_.select("key", "anchor", "f1", "f2", "start", "size").join(twice, "anchor"), "live")
+    each = live.groupBy("anchor", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start", "size")).alias("at"))
     kinds = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     each = stage(each.join(kinds, "anchor"), "texts")
     # an anchor with one text: its weight alone says that all of it is repeated
     whole = (F.col("kinds") == 1) & (F.col("n") > 1)
-    wanted = each.where(~whole).groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("anchor", "frag", "n", F.col("at.start").alias("start"), F.col("at.size").alias("size"))).alias("wanted"))
-    texts = cut_texts(own, wanted, unit).repartition("anchor").sortWithinPartitions("anchor", "frag")
+    wanted = each.where(~whole).groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("anchor", "f1", "f2", "n", F.col("at.start").alias("start"), F.col("at.size").alias("size"))).alias("wanted"))
+    texts = cut_texts(own, wanted, unit).repartition("anchor").sortWithinPartitions("anchor", "f1", "f2")
     reported = search_shards(texts, unit, length)
-    reported = reported.unionByName(each.where(whole).select("anchor", "frag", F.array(F.lit(0), F.col("at.size")).alias("spans")))
-    hits = live.select("key", "anchor", "frag", "start").join(reported, ["anchor", "frag"])
+    reported = reported.unionByName(each.where(whole).select("anchor", "f1", "f2", F.array(F.lit(0), F.col("at.size")).alias("spans")))
+    hits = live.select("key", "anchor", "f1", "f2", "start").join(reported, ["anchor", "f1", "f2"])
     return hits.select("key", F.transform("spans", lambda s: s + F.col("start")).alias("spans")).groupBy("key").agg(F.collect_list("spans").alias("spans"))
 
 

@@ -77,6 +77,25 @@ def test_indexes_find_every_window(texts, length, run_length, weights):
     assert repeats.repeated_windows(values, bounds, np.array(weights[: len(texts)]), length, run_length).tolist() == want
 
 
+def thue_morse(a, b, rounds=11):
+    """Two different words that many sums modulo a power of two cannot tell apart."""
+    for _ in range(rounds):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_made_to_collide_stay_apart(spark):
+    for a, b in (thue_morse("a", "b"), thue_morse("abcdefgh", "ijklmnop", 8)):
+        rest = [f"w{k}" for k in range(34)]
+        texts = [" ".join([a, *rest]), " ".join([b, *rest]), a, b]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert all(r["n_removed"] == 0 for r in repeats.dedup(docs, repeats.WORDS).collect())
+        got = {r["doc_id"]: r["n_removed"] for r in repeats.dedup(docs, repeats.BYTES).collect()}
+        assert [got[k] for k in range(4)] == [x[1] for x in removed(texts, 400, False)]
+    # the two texts differ in one of 30 shingles and are near copies; the single words are not
+    assert {r["doc_id"]: r["component_id"] for r in neardup.classes(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
 def shingle_sets(texts):
     lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     out = []
@@ -123,7 +142,8 @@ def test_pruning_keeps_pairs_at_the_threshold():
 
 
 def repeats_free(a, b):
-    return neardup.surviving(a, b)
+    every = np.arange(len(a))
+    return neardup.surviving(a, every, b, every)
 
 
 def test_toxicity(spark):
