@@ -26,12 +26,12 @@ def bytes_of(data: Column) -> Column:
 
 
 def crc16(data: Column, seed: Column | int = 0xFFFF) -> Column:
-    """CRC-16/MODBUS: reflected polynomial A001, no final xor; `seed` continues an earlier checksum."""
+    """CRC-16/MODBUS: reflected polynomial A001, no final xor; `seed` continues an earlier checksum.  One table lookup for each byte."""
     start = seed if isinstance(seed, Column) else F.lit(seed)
-    eight = F.array([F.lit(k) for k in range(8)])
+    table = F.array(*[F.lit(int(v)) for v in crc16_table()])
 
     def step(crc: Column, byte: Column) -> Column:
-        return F.aggregate(eight, crc.bitwiseXOR(byte), lambda c, _: F.when(c.bitwiseAND(1) == 1, F.shiftright(c, 1).bitwiseXOR(F.lit(0xA001).cast("long"))).otherwise(F.shiftright(c, 1)))
+        return F.shiftright(crc, 8).bitwiseXOR(F.get(table, crc.bitwiseXOR(byte).bitwiseAND(F.lit(0xFF)).cast("int")).cast("long"))
 
     return F.aggregate(bytes_of(data), start.cast("long"), step).cast("int")
 
@@ -45,20 +45,18 @@ def crc16_table() -> np.ndarray:
 
 
 def crc16_bytes(data: bytes, crc: int = 0xFFFF) -> int:
-    table = _TABLE
+    """The checksum of one string; `crc` continues an earlier one."""
     for b in data:
-        crc = (crc >> 8) ^ int(table[(crc ^ b) & 0xFF])
+        crc = (crc >> 8) ^ int(_TABLE[(crc ^ b) & 0xFF])
     return crc
 
 
 _TABLE = crc16_table()
 
 
-@F.pandas_udf(T.IntegerType())
-def crc16_fast(data: pd.Series) -> pd.Series:
-    """The same checksum over a batch: all rows advance together, one byte position at a time."""
-    values = [v if v is not None else b"" for v in data]
-    sizes = np.array([len(v) for v in values])
+def crc16_many(values: list[bytes]) -> np.ndarray:
+    """The checksums of a batch: all strings advance together, one byte position at a time."""
+    sizes = np.array([len(v) for v in values], np.int64)
     order = np.argsort(-sizes, kind="stable")
     joined = np.frombuffer(b"".join(values), np.uint8)
     starts = (np.cumsum(sizes) - sizes)[order]
@@ -68,6 +66,13 @@ def crc16_fast(data: pd.Series) -> pd.Series:
         crc[:live] = (crc[:live] >> 8) ^ _TABLE[(crc[:live] ^ joined[starts[:live] + k]) & 0xFF]
     out = np.empty(len(values), np.int64)
     out[order] = crc
+    return out
+
+
+@F.pandas_udf(T.IntegerType())
+def crc16_fast(data: pd.Series) -> pd.Series:
+    """The same checksum over a batch."""
+    out = crc16_many([v if v is not None else b"" for v in data])
     return pd.Series(out).where(~data.isna().reset_index(drop=True)).astype("Int32").set_axis(data.index)
 
 
@@ -106,10 +111,6 @@ def kv_record_size(key_len: Column, value_len: Column, gran: Column | int = 1) -
     return F.lit(16) + align_up(key_len, gran) + align_up(value_len, gran)
 
 
-def ts_record_size(data_len: Column, gran: Column | int = 1) -> Column:
-    return F.lit(12) + align_up(data_len, gran)
-
-
 def state_name(state: Column) -> Column:
     out = None
     for value, name in STATE_NAMES.items():
@@ -141,6 +142,16 @@ def bloom_bits(h: Column) -> Column:
     return F.array(h.bitwiseAND(F.lit(0xFF)), F.shiftright(h, 8).bitwiseAND(F.lit(0xFF)))
 
 
+def bloom_filter(hashes: Column) -> Column:
+    """An aggregate: the filter of 256 bits, as the sorted set of its positions."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(bloom_bits(hashes)))))
+
+
+def bloom_maybe(positions: Column, h: Column) -> Column:
+    """Whether a filter may hold a hash: false is certain."""
+    return F.forall(bloom_bits(h), lambda bit: F.array_contains(positions, bit))
+
+
 def ring_next(sector: Column, sectors: Column | int) -> Column:
     return F.pmod(sector + 1, sectors if isinstance(sectors, Column) else F.lit(sectors))
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import key_status, kv_record_size
 from ..schema import G16, VALUE_MAX, Geometry
-from .prefix import CHUNK, running_sum
+from .packing import next_fit
+from .prefix import CHUNK
 
 
 def validated(ops: DataFrame, geometry: Geometry = G16) -> DataFrame:
@@ -42,15 +43,22 @@ def versions(ops: DataFrame) -> DataFrame:
 
 
 def get(now: DataFrame, key: bytes, capacity: int | None = None) -> DataFrame:
-    """(key, status, value, value_len) of one key; a short buffer gets a prefix and TOO_LARGE, with the full length."""
+    """(key, status, value, value_len) of one key of one store; a short buffer gets a prefix and TOO_LARGE, with the full length."""
     keys = now.sparkSession.createDataFrame([(bytearray(key),)], "key binary")
     return multi_get(now, keys, capacity)
 
 
+def in_store(now: DataFrame, keys: DataFrame) -> tuple[DataFrame, list[str]]:
+    """What to join keys on: store and key if the keys name their store, else the key (now is then a single store)."""
+    on = ["series", "key"] if "series" in keys.columns else ["key"]
+    return now.select(*on, "value"), on
+
+
 def multi_get(now: DataFrame, keys: DataFrame, capacity: int | None = None) -> DataFrame:
-    """The same for every row of keys (key binary); absent keys are NOT_FOUND, invalid ones PARAM or TOO_LARGE."""
-    found = keys.join(now.select("key", "value"), "key", "left")
-    return read(found, capacity)
+    """The same for every row of keys (key binary, and series where now holds several stores); absent keys are NOT_FOUND, invalid
+    ones PARAM or TOO_LARGE."""
+    values, on = in_store(now, keys)
+    return read(keys.join(values, on, "left"), capacity)
 
 
 def read(found: DataFrame, capacity: int | None, crc_ok: Column | None = None) -> DataFrame:
@@ -60,24 +68,23 @@ def read(found: DataFrame, capacity: int | None, crc_ok: Column | None = None) -
     keyed = key_status(F.col("key"))
     status = F.when(keyed != "OK", keyed).when(F.col("value").isNull(), "NOT_FOUND").when(bad, "CRC").when(short, "TOO_LARGE").otherwise("OK")
     value = F.col("value") if capacity is None else F.substring("value", 1, capacity)
-    return found.select("key", status.alias("status"), F.when(~bad, value).alias("value"), n.alias("value_len"))
+    return found.select(*(["series"] if "series" in found.columns else []), "key", status.alias("status"), F.when(~bad, value).alias("value"), n.alias("value_len"))
 
 
 def exists(now: DataFrame, keys: DataFrame) -> DataFrame:
     """Those of keys that are present."""
-    return keys.join(now.select("key"), "key", "left_semi")
+    values, on = in_store(now, keys)
+    return keys.join(values, on, "left_semi")
 
 
 def place(ops: DataFrame, geometry: Geometry = G16, chunk: int = CHUNK) -> DataFrame:
-    """Adds sector and offset to sets: the log laid out end to end, a sector being as many bytes as it holds."""
-    sets = validated(ops, geometry).where("op = 'set' AND status = 'OK'")
-    laid = running_sum(sets, ["series"], "seq", "record_size", "_upto", chunk)
-    before = F.col("_upto") - F.col("record_size")
-    return laid.withColumn("sector", F.floor(before / geometry.kv_cap)).withColumn("offset", geometry.kv_start + before % geometry.kv_cap).drop("_upto", "status")
+    """Adds sector and offset to sets: a record that does not fit the rest of the sector opens the next one."""
+    sets = validated(ops, geometry).where("op = 'set' AND status = 'OK'").drop("status").withColumn("epoch", F.lit(0))
+    return next_fit(sets, "seq", "record_size", geometry.kv_cap, geometry.kv_start, chunk).drop("epoch")
 
 
 def page(now: DataFrame, after: tuple[int, int] | None, n: int, key_capacity: int = 33, value_capacity: int | None = None) -> DataFrame:
-    """The next n live records in physical order after a (sector, offset); keys and values cut to the caller's buffers."""
+    """The next n live records of one store in physical order after a (sector, offset); keys and values cut to the caller's buffers."""
     rows = now if after is None else now.where((F.col("sector") > after[0]) | ((F.col("sector") == after[0]) & (F.col("offset") > after[1])))
     value = F.col("value") if value_capacity is None else F.substring("value", 1, value_capacity)
     return rows.orderBy("sector", "offset").limit(n).select("sector", "offset", F.substring("key", 1, key_capacity - 1).alias("key"), value.alias("value"))

@@ -6,13 +6,12 @@ positional: order is (sector, offset), never time, since time restarts with each
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import G16, INVALID32, TIME_MAX, TS_RECORD_HEADER, VALID, Geometry
+from .packing import next_fit
 from .prefix import CHUNK, running_sum
 
 
@@ -68,68 +67,13 @@ def pack_fixed(log: DataFrame, data_len: int, geometry: Geometry = G16, chunk: i
     return numbered.withColumn("sector", F.floor(i / each)).withColumn("offset", geometry.ts_start + (i % each) * size).drop("_1", "_i").withColumn("record_size", F.lit(size))
 
 
-def _walk(sizes: np.ndarray, at: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Next-fit from several fill levels at once: sectors opened and the fill level at the end, for each start.
-
-    Starts that reach the same level stay together, so they are merged as they meet.
-    """
-    levels, own = np.unique(at, return_inverse=True)
-    opened, shift = np.zeros(len(levels), np.int64), np.zeros(len(at), np.int64)
-    for k, size in enumerate(sizes):
-        over = levels + size > cap
-        opened, levels = opened + over, np.where(over, size, levels + size)
-        if len(levels) > 1 and (k < 64 or k % 64 == 0):
-            merged, back = np.unique(levels, return_inverse=True)
-            if len(merged) < len(levels):
-                shift, own = shift + opened[own], back[own]
-                levels, opened = merged, np.zeros(len(merged), np.int64)
-    return shift + opened[own], levels[own]
-
-
 def pack_next_fit(log: DataFrame, geometry: Geometry = G16, chunk: int = CHUNK) -> DataFrame:
-    """Adds record_size, sector and offset: a record opens a sector when it does not fit the current one.
-
-    The rule is a fold over the series.  It is split: every chunk tells, for each fill level it may start at, how many sectors
-    it opens and the level it ends at (the starts soon fall together); those summaries are folded in order; then each chunk
-    is laid out from its known start.  Each epoch begins in a new sector, an empty one included.
-    """
-    cap, start, gran = geometry.ts_cap, geometry.ts_start, geometry.gran
+    """Adds record_size, sector and offset: a record opens a sector when it does not fit the current one; so does each epoch."""
     if "epoch" not in log.columns:
         log = log.withColumn("epoch", F.lit(0))
-    log = log.withColumn("_c", F.expr(f"arrival div {chunk}")).withColumn("record_size", (F.lit(TS_RECORD_HEADER) + F.ceil(F.length("data") / gran) * gran).cast("int"))
-    keys = ["series", "epoch", "_c"]
-
-    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("arrival", kind="stable")
-        opened, level = _walk(pdf["record_size"].to_numpy(np.int64), np.arange(cap + 1), cap)
-        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"opened": [opened.astype(np.int32).tobytes()], "level": [level.astype(np.int32).tobytes()]})
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        sector, fill, out, epoch = 0, 0, [], None
-        for row in pdf.sort_values(["epoch", "_c"]).itertuples(index=False):
-            if row.epoch != epoch:
-                sector, fill = (int(row.epoch) - int(epoch) + sector if epoch is not None else int(row.epoch)), 0
-                epoch = row.epoch
-            out.append((row.series, row.epoch, row[2], sector, fill))
-            opened, level = np.frombuffer(row.opened, np.int32), np.frombuffer(row.level, np.int32)
-            sector, fill = sector + int(opened[fill]), int(level[fill])
-        return pd.DataFrame(out, columns=["series", "epoch", "_c", "_sector", "_fill"])
-
-    def lay(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("arrival", kind="stable")
-        sector, fill = int(right["_sector"].iloc[0]), int(right["_fill"].iloc[0])
-        sectors, offsets = np.empty(len(left), np.int64), np.empty(len(left), np.int64)
-        for k, size in enumerate(left["record_size"].to_numpy(np.int64)):
-            if fill + size > cap:
-                sector, fill = sector + 1, 0
-            sectors[k], offsets[k] = sector, start + fill
-            fill += size
-        return pd.DataFrame({"series": left["series"], "arrival": left["arrival"], "sector": sectors, "offset": offsets})
-
-    narrow = log.select(*keys, "arrival", "record_size")
-    folded = narrow.groupBy(*keys).applyInPandas(summary, "series string, epoch int, _c long, opened binary, level binary").groupBy("series").applyInPandas(fold, "series string, epoch int, _c long, _sector long, _fill long")
-    places = narrow.groupBy(*keys).cogroup(folded.groupBy(*keys)).applyInPandas(lay, "series string, arrival long, sector long, offset long")
-    return log.drop("_c").join(places, ["series", "arrival"])
+    gran = geometry.gran
+    sized = log.withColumn("record_size", (F.lit(TS_RECORD_HEADER) + F.ceil(F.length("data") / gran) * gran).cast("int"))
+    return next_fit(sized, "arrival", "record_size", geometry.ts_cap, geometry.ts_start, chunk)
 
 
 def retain(log: DataFrame, sectors: int) -> DataFrame:
@@ -156,11 +100,21 @@ def place() -> Column:
 
 def latest(log: DataFrame) -> DataFrame:
     """The last record by position of each series (not the one with the greatest time)."""
-    return log.groupBy("series").agg(F.max_by(F.struct("time", "data", "sector", "offset"), place()).alias("r")).select("series", "r.*")
+    return log.groupBy("series").agg(F.max_by(F.struct("time", "data", "sector", "offset", *(["crc_ok"] if "crc_ok" in log.columns else [])), place()).alias("r")).select("series", "r.*")
 
 
 def oldest(log: DataFrame) -> DataFrame:
-    return log.groupBy("series").agg(F.min_by(F.struct("time", "data", "sector", "offset"), place()).alias("r")).select("series", "r.*")
+    return log.groupBy("series").agg(F.min_by(F.struct("time", "data", "sector", "offset", *(["crc_ok"] if "crc_ok" in log.columns else [])), place()).alias("r")).select("series", "r.*")
+
+
+def read_one(series: DataFrame, found: DataFrame, buffer: int) -> DataFrame:
+    """(series, status, time, data, data_len) of latest or oldest for every asked series: NOT_FOUND without a record, CRC (no bytes) where
+    `crc_ok` fails, TOO_LARGE with the bytes that fit the buffer."""
+    rows = series.select("series").distinct().join(found, "series", "left")
+    bad = ~F.coalesce(F.col("crc_ok"), F.lit(True))
+    n = F.length("data")
+    status = F.when(F.col("data").isNull(), "NOT_FOUND").when(bad, "CRC").when(n > buffer, "TOO_LARGE").otherwise("OK")
+    return rows.select("series", status.alias("status"), F.when(~bad, F.col("time")).alias("time"), F.when(~bad, F.substring("data", 1, buffer)).alias("data"), n.alias("data_len"))
 
 
 def read_status(buffer: int, length: Column, crc_ok: Column) -> Column:
@@ -168,9 +122,13 @@ def read_status(buffer: int, length: Column, crc_ok: Column) -> Column:
     return F.when(~crc_ok, "CRC").when(length > buffer, "TOO_LARGE").otherwise("OK")
 
 
-def span(log: DataFrame) -> DataFrame:
-    """oldest and newest time by position; both invalid where a series is empty."""
-    return log.groupBy("series").agg(F.min_by("time", place()).alias("oldest"), F.max_by("time", place()).alias("newest"))
+def span(log: DataFrame, series: DataFrame | None = None) -> DataFrame:
+    """series, oldest and newest time by position; both are INVALID32 for a series (of the given ones) that holds no record."""
+    found = log.groupBy("series").agg(F.min_by("time", place()).alias("oldest"), F.max_by("time", place()).alias("newest"))
+    if series is not None:
+        found = series.select("series").distinct().join(found, "series", "left")
+    none = F.lit(INVALID32).cast("long")
+    return found.select("series", F.coalesce("oldest", none).alias("oldest"), F.coalesce("newest", none).alias("newest"))
 
 
 def count_valid(log: DataFrame) -> DataFrame:
@@ -198,7 +156,8 @@ def role(sector: Column, head: Column, tail: Column) -> Column:
 
 
 def take(rows: DataFrame, n: int) -> DataFrame:
-    """The first n rows by position: a callback that stops after n."""
-    return rows.orderBy("sector", "offset").limit(n)
+    """The first n rows of each series by position: a callback that stops after n."""
+    at = F.row_number().over(W.partitionBy("series").orderBy("sector", "offset"))
+    return rows.withColumn("_at", at).where(F.col("_at") <= n).drop("_at")  # Spark keeps n rows of each partition before it shuffles
 
 

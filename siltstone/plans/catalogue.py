@@ -88,9 +88,10 @@ PACK = REP + """, walk AS (SELECT i, 0::BIGINT AS sector, 20::BIGINT AS off, 12
  UNION ALL SELECT r.i, CASE WHEN w.off + w.size + 12 + r.len > 4096 THEN w.sector + 1 ELSE w.sector END, CASE WHEN w.off + w.size + 12 + r.len > 4096 THEN 20 ELSE w.off + w.size END, 12 + r.len FROM walk w JOIN rep r ON r.i = w.i + 1),
  log AS (SELECT r.arrival, r.props, r.len, r.time, w.sector, w.off, w.size FROM rep r JOIN walk w USING (i))"""
 KV = "kv AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'set' END AS op, cast(user_id AS VARCHAR) AS key, props AS value FROM events), newest AS (SELECT key, max(seq) AS seq FROM kv GROUP BY key), cur AS (SELECT kv.* FROM kv JOIN newest USING (key, seq) WHERE op = 'set')"
-LAID = KV + """, sized AS (SELECT *, 16 + strlen(key) + strlen(value) AS size FROM kv WHERE op = 'set'),
- pre AS (SELECT *, sum(size) OVER (ORDER BY seq) - size AS before FROM sized),
- laid AS (SELECT p.seq, p.key, p.value, p.size, (before // 4080)::BIGINT AS sector, (16 + before % 4080)::BIGINT AS off, c.seq IS NOT NULL AS live FROM pre p LEFT JOIN cur c ON c.seq = p.seq),
+LAID = KV + """, sized AS (SELECT *, 16 + strlen(key) + strlen(value) AS size, row_number() OVER (ORDER BY seq) AS i FROM kv WHERE op = 'set'),
+ steps AS (SELECT i, 0::BIGINT AS sector, 16::BIGINT AS off, size FROM sized WHERE i = 1
+ UNION ALL SELECT r.i, CASE WHEN w.off + w.size + r.size > 4096 THEN w.sector + 1 ELSE w.sector END, CASE WHEN w.off + w.size + r.size > 4096 THEN 16 ELSE w.off + w.size END, r.size FROM steps w JOIN sized r ON r.i = w.i + 1),
+ laid AS (SELECT p.seq, p.key, p.value, p.size, t.sector, t.off, c.seq IS NOT NULL AS live FROM sized p JOIN steps t USING (i) LEFT JOIN cur c ON c.seq = p.seq),
  bytes AS (SELECT sector, sum(CASE WHEN live THEN size ELSE 0 END)::BIGINT AS live_bytes, sum(CASE WHEN live THEN 0 ELSE size END)::BIGINT AS garbage_bytes, max(off + size)::BIGINT AS write_off FROM laid GROUP BY sector),
  sec AS (SELECT sector::INT AS sector, CASE WHEN sector % 11 = 5 THEN 'ERASED' WHEN sector = 0 THEN 'ACTIVE' ELSE 'SEALED' END AS status, CASE WHEN sector % 11 = 5 THEN 16 ELSE write_off END AS write_off, CASE WHEN sector % 11 = 5 THEN 0 ELSE garbage_bytes END AS garbage_bytes, (sector * 37) % 113 AS erase_cnt FROM bytes)"""
 CAND = LAID + """, tot AS (SELECT count(*) FILTER (status = 'ERASED') AS erased, min(erase_cnt) AS min_ec, max(erase_cnt) AS max_ec, coalesce(max(CASE WHEN sector = 0 AND status = 'ACTIVE' THEN 4096 - write_off END), 0) AS room FROM sec),
@@ -112,11 +113,13 @@ def ts_append_repair_by_user(spark, sf_dir):
     return ts.repair(ts_ops(spark, sf_dir, "user_id")).where("status = 'OK'").select("series", "arrival", "time")
 
 
-@query("SELECT CASE WHEN strlen(props) BETWEEN 1 AND 9 THEN 'OK' ELSE 'TOO_LARGE' END AS status, count(*) AS n FROM events GROUP BY 1")
+@query("WITH o AS (SELECT event_id AS i, CASE WHEN event_id % 7 = 0 THEN NULL ELSE repeat(props, 1 + event_id % 500) END AS data, CASE WHEN event_id = 40 THEN 4294967293 ELSE event_id END AS t FROM events), f AS (SELECT *, strlen(data) BETWEEN 1 AND 4064 AS fine FROM o), n AS (SELECT *, row_number() OVER (ORDER BY i) AS k FROM f WHERE fine), r AS (SELECT i, k + greatest(0, max(t - k) OVER (ORDER BY i)) AS time FROM n) SELECT CASE WHEN data IS NULL THEN 'PARAM' WHEN NOT fine THEN 'TOO_LARGE' WHEN time > 4294967294 THEN 'TIME_EXHAUSTED' ELSE 'OK' END AS status, count(*) AS n FROM f LEFT JOIN r USING (i) GROUP BY 1")
 def ts_append_status(spark, sf_dir):
-    """Payload limits: with sectors that hold payloads of up to nine bytes."""
-    n = F.length("data")
-    return ts_ops(spark, sf_dir).groupBy(F.when(n.between(1, 9), "OK").otherwise("TOO_LARGE").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    """Every status of an append: payloads of 1 to 500 copies of props, every seventh missing, and one time near the end of the counter."""
+    k = F.col("event_id")
+    data = F.when(k % 7 != 0, F.encode(F.expr("repeat(props, cast(1 + event_id % 500 AS int))"), "utf-8"))
+    ops = events(spark, sf_dir).select(F.lit("all").alias("series"), k.alias("arrival"), F.lit("append").alias("op"), F.when(k == 40, F.lit(4294967293)).otherwise(k).alias("req_time"), data.alias("data"))
+    return ts.repair(ops).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {REP} SELECT arrival, time, props AS data FROM rep WHERE time BETWEEN {FROM} AND {TO}")
@@ -275,7 +278,7 @@ def kv_current_orders(spark, sf_dir):
     return kv.current(ops).select("key", "seq", "value")
 
 
-@query(f"WITH {LAID} SELECT sector, off AS \"offset\", key, substr(value, 1, 6) AS value FROM laid WHERE live AND (sector > 2 OR (sector = 2 AND off > 100)) ORDER BY sector, off LIMIT 20")
+@query(f"WITH RECURSIVE {LAID} SELECT sector, off AS \"offset\", key, substr(value, 1, 6) AS value FROM laid WHERE live AND (sector > 2 OR (sector = 2 AND off > 100)) ORDER BY sector, off LIMIT 20")
 def kv_iterate_page(spark, sf_dir):
     """The iterator's second page: twenty live records after a position; the limit is the page."""
     return kv.page(kv_laid(spark, sf_dir).where("live"), (2, 100), 20, value_capacity=6).select("sector", "offset", text("key").alias("key"), text("value").alias("value"))
@@ -289,12 +292,12 @@ def kv_delete_effect(spark, sf_dir):
     return kv.newest(ops).where("op = 'delete'").join(hidden, ["series", "key"]).select(text("key").alias("key"), "seq", "versions")
 
 
-@query(f"WITH {LAID} SELECT seq, key, live FROM laid")
+@query(f"WITH RECURSIVE {LAID} SELECT seq, key, live FROM laid")
 def kv_versions(spark, sf_dir):
     return kv.versions(kv_ops(spark, sf_dir)).select("seq", text("key").alias("key"), "live")
 
 
-@query(f"WITH {LAID} SELECT sector, live_bytes, garbage_bytes, write_off FROM bytes")
+@query(f"WITH RECURSIVE {LAID} SELECT sector, live_bytes, garbage_bytes, write_off FROM bytes")
 def kv_garbage_by_sector(spark, sf_dir):
     return kv.sector_bytes(kv_laid(spark, sf_dir)).select("sector", "live_bytes", "garbage_bytes", F.col("write_off").cast("long").alias("write_off"))
 
@@ -304,12 +307,12 @@ def kv_space_info(spark, sf_dir):
     return kv.space(kv.validated(kv.current(kv_ops(spark, sf_dir))))
 
 
-@query(f"WITH {LAID} SELECT min(erase_cnt) AS min_erase, max(erase_cnt) AS max_erase, (sum(erase_cnt) // count(*))::BIGINT AS avg_erase, max(erase_cnt) - min(erase_cnt) AS spread FROM sec")
+@query(f"WITH RECURSIVE {LAID} SELECT min(erase_cnt) AS min_erase, max(erase_cnt) AS max_erase, (sum(erase_cnt) // count(*))::BIGINT AS avg_erase, max(erase_cnt) - min(erase_cnt) AS spread FROM sec")
 def kv_wear_info(spark, sf_dir):
     return kv.wear(kv_sectors(spark, sf_dir))
 
 
-@query(f"WITH {LAID} SELECT sector, write_off * 100 // 4096 AS used_pct, garbage_bytes * 100 // write_off AS garbage_pct, 4096 - write_off AS free_bytes FROM sec")
+@query(f"WITH RECURSIVE {LAID} SELECT sector, write_off * 100 // 4096 AS used_pct, garbage_bytes * 100 // write_off AS garbage_pct, 4096 - write_off AS free_bytes FROM sec")
 def kv_sector_usage(spark, sf_dir):
     return metrics.usage(kv_sectors(spark, sf_dir), 4096)
 
@@ -337,27 +340,27 @@ def _gc(rows: DataFrame) -> DataFrame:
 _COLS = "sector, erase_cnt, garbage_bytes, live, score"
 
 
-@query(f"WITH {CAND} SELECT {_COLS} FROM cand WHERE mine AND live = 0 AND garbage_bytes > 0")
+@query(f"WITH RECURSIVE {CAND} SELECT {_COLS} FROM cand WHERE mine AND live = 0 AND garbage_bytes > 0")
 def gc_zero_live(spark, sf_dir):
     return _gc(gc.zero_live(gc.candidates(kv_sectors(spark, sf_dir), 0)))
 
 
-@query(f"WITH {CAND} SELECT {_COLS} FROM cand WHERE mine AND garbage_bytes > 0 AND gpct >= threshold AND live <= avail")
+@query(f"WITH RECURSIVE {CAND} SELECT {_COLS} FROM cand WHERE mine AND garbage_bytes > 0 AND gpct >= threshold AND live <= avail")
 def gc_scored(spark, sf_dir):
     return _gc(gc.scored(gc.candidates(kv_sectors(spark, sf_dir), 0)))
 
 
-@query(f"WITH {CAND} SELECT {_COLS} FROM cand WHERE mine AND garbage_bytes > 0 AND live <= avail")
+@query(f"WITH RECURSIVE {CAND} SELECT {_COLS} FROM cand WHERE mine AND garbage_bytes > 0 AND live <= avail")
 def gc_forced(spark, sf_dir):
     return _gc(gc.forced(gc.candidates(kv_sectors(spark, sf_dir), 0)))
 
 
-@query(f"WITH {CAND}, l AS (SELECT sector FROM cand WHERE mine ORDER BY erase_cnt, sector LIMIT 1) SELECT {_COLS} FROM cand WHERE sector = (SELECT sector FROM l) AND max_ec - min_ec >= 100 AND live <= avail")
+@query(f"WITH RECURSIVE {CAND}, l AS (SELECT sector FROM cand WHERE mine ORDER BY erase_cnt, sector LIMIT 1) SELECT {_COLS} FROM cand WHERE sector = (SELECT sector FROM l) AND max_ec - min_ec >= 100 AND live <= avail")
 def gc_wear_level(spark, sf_dir):
     return _gc(gc.wear_level(gc.candidates(kv_sectors(spark, sf_dir), 0)))
 
 
-@query(f"""WITH {CAND}, l AS (SELECT sector FROM cand WHERE mine ORDER BY erase_cnt, sector LIMIT 1), v AS (
+@query(f"""WITH RECURSIVE {CAND}, l AS (SELECT sector FROM cand WHERE mine ORDER BY erase_cnt, sector LIMIT 1), v AS (
  SELECT 1 AS phase, erase_cnt AS k, sector FROM cand WHERE mine AND live = 0 AND garbage_bytes > 0
  UNION ALL SELECT 2, -score, sector FROM cand WHERE mine AND garbage_bytes > 0 AND gpct >= threshold AND live <= avail
  UNION ALL SELECT 3, -garbage_bytes, sector FROM cand WHERE mine AND garbage_bytes > 0 AND live <= avail
@@ -367,12 +370,12 @@ def gc_victim(spark, sf_dir):
     return gc.victim(kv_sectors(spark, sf_dir), 0)
 
 
-@query(f"WITH {LAID} SELECT sector, erase_cnt FROM sec WHERE status = 'ERASED' ORDER BY erase_cnt, sector LIMIT 1")
+@query(f"WITH RECURSIVE {LAID} SELECT sector, erase_cnt FROM sec WHERE status = 'ERASED' ORDER BY erase_cnt, sector LIMIT 1")
 def gc_next_sector(spark, sf_dir):
     return gc.next_sector(kv_sectors(spark, sf_dir))
 
 
-@query(f"WITH {LAID} SELECT count(*) FILTER (status = 'ERASED') < 3 AS needed, count(*) FILTER (status = 'ERASED') AS erased FROM sec")
+@query(f"WITH RECURSIVE {LAID} SELECT count(*) FILTER (status = 'ERASED') < 3 AS needed, count(*) FILTER (status = 'ERASED') AS erased FROM sec")
 def gc_needed(spark, sf_dir):
     return gc.needed(kv_sectors(spark, sf_dir))
 

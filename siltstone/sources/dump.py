@@ -1,8 +1,8 @@
 """Raw storage images as DataFrames: sectors, records, current state and anomalies.
 
-An image is read by Spark's binaryFile source, so any path that Spark reads will do, and is cut into sectors there; a sector is
-walked by itself (records are chained only within one), so sectors are parsed in parallel.  One pass emits tagged rows; the views
-below select from them.
+An image is read by Spark's binaryFile source, so any path that Spark reads will do, and is cut into sectors that are dealt to
+all tasks; records are chained only within a sector.  The one Python step finds where records begin and end (`layout.spans`) and sums
+their payloads up; every field, status, check and anomaly is a Column expression over the header's bytes.
 """
 
 from __future__ import annotations
@@ -12,24 +12,20 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import crc16_bytes
-from ..schema import INVALID32, KEY_MAX, KV_RECORD_MAGIC, KV_SECTOR_MAGIC, STATE_NAMES, TS_RECORD_MAGIC, TS_SECTOR_MAGIC, VALID, VALUE_MAX, align
+from ..functions.scalar import crc16_many, hex_prefix, little_endian, lower_hex, state_name
+from ..schema import INVALID32, VALID, VALUE_MAX
+from .layout import LAYOUTS, TS, Layout, checked, spans
 
-ROWS = (
-    "type string, kind string, sector int, offset long, status string, magic long, version int, erase_cnt long, create_seq long, seq long, time_base long, count int, end_off int, hdr_crc int, hdr_crc_calc int, hdr_crc_ok boolean, "
-    "state int, state_name string, key_len int, value_len int, key_hash int, data_len int, time_delta long, time long, data_crc int, data_crc_calc int, crc_ok boolean, key string, key_hex string, value_hex string, data_hex string, "
-    "record_size int, length long, reason string, severity string, message string, engine_ok boolean, raw_hex_prefix string"
-)
-_COLUMNS = [c.strip().split()[0] for c in ROWS.split(",")]
+SPANS = "sector int, type string, at int, until int, head binary, first binary, second binary, calc int, blank boolean"
 
 
 @dataclass(frozen=True)
 class Image:
-    """Where an image is and how it is laid out."""
+    """Where an image is and how it is laid out.  base_addr is where the partition begins on its device: offsets do not contain it."""
 
     path: str
     kind: str = "auto"
@@ -40,137 +36,157 @@ class Image:
 
 
 def from_manifest(spark: SparkSession, manifest: str, **overrides) -> Image:
-    """An image from a JSON manifest (kind, input, sector_size, write_gran, base_addr, total_size); arguments win.
+    """An image from a JSON manifest (kind, input or input_path, sector_size, write_gran, base_addr, total_size); arguments win.
 
     A relative input is taken from the manifest's folder.
     """
     fields = json.loads("\n".join(r["value"] for r in spark.read.text(manifest, wholetext=True).collect()))
     number = lambda v: int(v, 0) if isinstance(v, str) else v
-    path = fields.get("input", "")
+    path = fields.get("input") or fields.get("input_path", "")
+    if not path and not overrides.get("path"):
+        raise ValueError("an image needs an input path")
     if path and "://" not in path and not path.startswith("/"):
         path = f"{manifest.rsplit('/', 1)[0]}/{path}" if "/" in manifest else path
-    made = Image(path, fields.get("kind", "auto"), number(fields.get("sector_size", 4096)), number(fields.get("write_gran", 0)), number(fields.get("base_addr", 0)), number(fields.get("total_size")))
+    made = Image(path, str(fields.get("kind", "auto")).lower(), *(number(fields.get(k, d)) for k, d in (("sector_size", 4096), ("write_gran", 0), ("base_addr", 0), ("total_size", None))))
     return replace(made, **{k: v for k, v in overrides.items() if v is not None})
 
 
 def sectors(spark: SparkSession, image: Image) -> DataFrame:
-    """(sector, raw): the image cut into sectors, as many as its total size says; what is missing is short."""
+    """(sector, raw): the image cut into sectors, as many as its total size says, dealt to as many tasks as Spark shuffles to.
+
+    The file's bytes are cut in one projection and dropped before rows are made, so what is copied grows with the image alone.
+    """
     raw = spark.read.format("binaryFile").load(image.path).select("content", "length")
     total = F.lit(image.total_size).cast("long") if image.total_size is not None else F.col("length")
     n = F.floor(total / image.sector_size)
-    cut = raw.select("content", F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))).alias("sector"))
-    return cut.select(F.col("sector").cast("int").alias("sector"), F.substring("content", (F.col("sector") * image.sector_size + 1).cast("int"), F.lit(image.sector_size)).alias("raw"))
+    piece = lambda i: F.struct(i.cast("int").alias("sector"), F.substring("content", (i * image.sector_size + 1).cast("int"), F.lit(image.sector_size)).alias("raw"))
+    cut = raw.select(F.transform(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>")), piece).alias("cut"))
+    return cut.select(F.inline("cut")).repartition("sector")
+
+
+def checked_size(spark: SparkSession, image: Image, size: int) -> Image:
+    """The image, if it is exactly as large as the partition that it is loaded into; else an error."""
+    found = spark.read.format("binaryFile").load(image.path).agg(F.sum("length")).first()[0]
+    if found != size:
+        raise ValueError(f"{image.path} holds {found} bytes, the partition {size}")
+    return image
+
+
+def save(cut: DataFrame, path: str) -> None:
+    """Write sectors (sector, raw) as one image file; sectors stream through the driver in order, a few at a time."""
+    spark = cut.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        for row in cut.orderBy("sector").toLocalIterator():
+            out.write(bytes(row["raw"]))
+    finally:
+        out.close()
+
+
+def kinds(cut: DataFrame) -> DataFrame:
+    """One row: how many sectors show each kind's magic number."""
+    head = F.substring("raw", 1, 4)
+    return cut.agg(*[F.count(F.when(head == F.lit(bytearray(struct.pack("<I", layout.magic))), 1)).alias(kind) for kind, layout in LAYOUTS.items()])
 
 
 def detect(spark: SparkSession, image: Image) -> str:
     """The kind by the sectors' magic numbers; key-value on a tie; an error if there is none."""
     if image.kind != "auto":
         return image.kind
-    head = F.substring("raw", 1, 4)
-    votes = sectors(spark, image).agg(*[F.count(F.when(head == F.lit(bytearray(struct.pack("<I", m))), 1)).alias(k) for k, m in (("kv", KV_SECTOR_MAGIC), ("ts", TS_SECTOR_MAGIC))]).first()
-    if not votes["kv"] and not votes["ts"]:
+    votes = kinds(sectors(spark, image)).first().asDict()
+    if not any(votes.values()):
         raise ValueError(f"no known sector in {image.path}")
-    return "kvdb" if votes["kv"] >= votes["ts"] else "tsdb"
-
-
-def _hex(data: bytes, most: int = 64) -> str:
-    return data[:most].hex()
-
-
-def walk_kv(sector: int, raw: bytes, size: int, gran: int) -> Iterator[dict]:
-    """Tagged rows of one key-value sector."""
-    base = sector * size
-    if len(raw) < size:
-        yield {"type": "anomaly", "severity": "error", "message": "short sector", "sector": sector}
-        return
-    magic, version, crc, erase_cnt, create_seq = struct.unpack_from("<IHHII", raw)
-    blank = raw.count(0xFF) == size
-    calc = crc16_bytes(raw[8:16], crc16_bytes(raw[:6]))
-    status = "ERASED" if blank else "KVDB" if magic == KV_SECTOR_MAGIC else "CORRUPT"
-    yield {"type": "sector_header", "sector": sector, "offset": base, "status": status, "magic": magic, "version": version, "erase_cnt": erase_cnt, "create_seq": create_seq, "hdr_crc": crc, "hdr_crc_calc": calc, "hdr_crc_ok": crc == calc, "raw_hex_prefix": _hex(raw[:16])}
-    if status == "CORRUPT":
-        yield {"type": "anomaly", "severity": "warn", "message": "invalid KVDB sector header", "sector": sector}
-    if status != "KVDB":
-        return
-    at, tail = align(16, gran), len(raw.rstrip(b"\xff"))
-    while at + 16 <= size:
-        if at >= tail:
-            yield {"type": "erased_tail", "sector": sector, "offset": base + at, "length": size - at}
-            return
-        mark, state, key_len, _, value_len, key_hash, seq, crc, _ = struct.unpack_from("<BBBBHHIHH", raw, at)
-        if mark != KV_RECORD_MAGIC or key_len > KEY_MAX:
-            yield {"type": "scan_error", "sector": sector, "offset": base + at, "reason": "invalid record header", "raw_hex_prefix": _hex(raw[at : at + 16])}
-            yield {"type": "anomaly", "severity": "warn", "message": "invalid KVDB record header", "sector": sector, "offset": base + at}
-            at += align(16, gran)
-            continue
-        value_at = at + 16 + align(key_len, gran)
-        after = value_at + align(value_len, gran)
-        if after > size:
-            yield {"type": "anomaly", "severity": "warn", "message": "KVDB record exceeds sector", "sector": sector, "offset": base + at}
-            return
-        key, value = raw[at + 16 : at + 16 + key_len], raw[value_at : value_at + value_len]
-        calc = crc16_bytes(value, crc16_bytes(key))
-        yield {
-            "type": "record", "sector": sector, "offset": base + at, "state": state, "state_name": STATE_NAMES.get(state, "UNKNOWN"), "key_len": key_len, "value_len": value_len, "key_hash": key_hash, "seq": seq, "data_crc": crc, "data_crc_calc": calc,
-            "crc_ok": crc == calc, "key": key.decode("utf-8", "replace"), "key_hex": key.hex(), "value_hex": value.hex(), "record_size": after - at, "engine_ok": 1 <= key_len and value_len <= VALUE_MAX and state in STATE_NAMES, "raw_hex_prefix": _hex(raw[at:after]),
-        }
-        if state == VALID and crc != calc:
-            yield {"type": "anomaly", "severity": "error", "message": "KVDB VALID record CRC mismatch", "sector": sector, "offset": base + at}
-        at = after
-
-
-def walk_ts(sector: int, raw: bytes, size: int, gran: int) -> Iterator[dict]:
-    """Tagged rows of one time-series sector; a sealed one is read up to its end offset."""
-    base = sector * size
-    if len(raw) < 20:
-        yield {"type": "anomaly", "severity": "error", "message": "short sector", "sector": sector}
-        return
-    magic, erase_cnt, time_base, seq, count, end_off, crc = struct.unpack_from("<IIIHHHH", raw)
-    calc, blank = crc16_bytes(raw[:18]), raw.count(0xFF) == len(raw)
-    sealed = crc == calc and count != 0xFFFF and end_off != 0xFFFF
-    status = "ERASED" if blank else "CORRUPT" if magic != TS_SECTOR_MAGIC else "SEALED" if sealed else "ACTIVE_EMPTY" if time_base == INVALID32 else "ACTIVE"
-    yield {"type": "sector_header", "sector": sector, "offset": base, "status": status, "magic": magic, "erase_cnt": erase_cnt, "time_base": time_base, "seq": seq, "count": count, "end_off": end_off, "hdr_crc": crc, "hdr_crc_calc": calc, "hdr_crc_ok": crc == calc, "raw_hex_prefix": _hex(raw[:20])}
-    if status == "CORRUPT":
-        yield {"type": "anomaly", "severity": "warn", "message": "invalid TSDB sector header", "sector": sector}
-    if status in ("ERASED", "CORRUPT"):
-        return
-    at, tail, stop = align(20, gran), len(raw.rstrip(b"\xff")), min(size, len(raw), end_off if status == "SEALED" else size)
-    while at + 12 <= stop:
-        if at >= tail:
-            yield {"type": "erased_tail", "sector": sector, "offset": base + at, "length": size - at}
-            return
-        mark, state, data_len, delta, crc, _ = struct.unpack_from("<BBHIHH", raw, at)
-        if mark != TS_RECORD_MAGIC:
-            yield {"type": "scan_error", "sector": sector, "offset": base + at, "reason": "invalid record header", "raw_hex_prefix": _hex(raw[at : at + 12])}
-            yield {"type": "anomaly", "severity": "warn", "message": "invalid TSDB record header", "sector": sector, "offset": base + at}
-            at += align(12, gran)
-            continue
-        after = at + 12 + align(data_len, gran)
-        if after > size:
-            yield {"type": "anomaly", "severity": "warn", "message": "TSDB record exceeds sector", "sector": sector, "offset": base + at}
-            return
-        data = raw[at + 12 : at + 12 + data_len]
-        calc = crc16_bytes(data)
-        time = None if time_base == INVALID32 else (time_base + delta) & 0xFFFFFFFF
-        yield {
-            "type": "record", "sector": sector, "offset": base + at, "state": state, "state_name": STATE_NAMES.get(state, "UNKNOWN"), "data_len": data_len, "time_base": time_base, "time_delta": delta, "time": time, "data_crc": crc, "data_crc_calc": calc,
-            "crc_ok": crc == calc, "data_hex": data.hex(), "record_size": after - at, "engine_ok": data_len >= 1, "raw_hex_prefix": _hex(raw[at:after]),
-        }
-        if state == VALID and crc != calc:
-            yield {"type": "anomaly", "severity": "error", "message": "TSDB VALID record CRC mismatch", "sector": sector, "offset": base + at}
-        at = after
+    return max(LAYOUTS, key=lambda kind: votes[kind])
 
 
-def parse(cut: DataFrame, kind: str, sector_size: int = 4096, write_gran: int = 0) -> DataFrame:
-    """All tagged rows of sectors (sector, raw)."""
-    walk = walk_kv if kind == "kvdb" else walk_ts
+def find_spans(cut: DataFrame, layout: Layout, sector_size: int, gran: int, engine: bool = False) -> DataFrame:
+    """SPANS of every sector (sector, raw): its header and what stands in it."""
+    wanted = layout.least_header or sector_size
+    count_at, end_at = (layout.positions("header").get(c, (0, 0))[0] for c in ("count", "end_off"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [r | {"kind": kind} for s, raw in zip(pdf["sector"], pdf["raw"]) for r in walk(int(s), bytes(raw), sector_size, 1 << write_gran)]
-            yield pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
-
-    return cut.mapInPandas(run, ROWS)
+    def of_sector(sector: int, raw: bytes, header_crc: int) -> Iterator[tuple]:
+        if len(raw) < wanted:
+            yield sector, "short", 0, len(raw), b"", b"", b"", b"", False
+            return
+        blank = not raw.strip(b"\xff")
+        yield sector, "sector_header", 0, layout.header_size, raw[: layout.header_size], b"", b"", checked(raw, layout), blank
+        if blank or struct.unpack_from("<I", raw)[0] != layout.magic:
+            return
+        stop = min(sector_size, len(raw))
+        if layout is TS:  # a sealed sector says where it ends
+            count, end = (struct.unpack_from("<H", raw, p)[0] for p in (count_at, end_at))
+            if header_crc == struct.unpack_from("<H", raw, 18)[0] and 0xFFFF not in (count, end):
+                stop = min(stop, end)
+        for what, begin, until, parts in spans(raw, layout, gran, sector_size, stop, engine):
+            first, second = (*parts, b"", b"")[:2]
+            yield sector, what, begin, until, raw[begin:until][: 64 if what != "record" else None], first, second, first + second, False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = [bytes(r) if r is not None else b"" for r in batch.column("raw").to_pylist()]
+            crcs = crc16_many([checked(r, layout) for r in raws])
+            rows = [row for sector, raw, crc in zip(batch.column("sector").to_pylist(), raws, crcs) for row in of_sector(sector, raw, int(crc))]
+            columns = [list(c) for c in zip(*rows)] or [[] for _ in range(9)]
+            columns[7] = crc16_many(columns[7]).tolist()
+            kinds_ = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds_)], [c.split()[0] for c in SPANS.split(", ")])
+
+    return cut.select("sector", "raw").mapInArrow(run, SPANS)
+
+
+def parse(cut: DataFrame, kind: str, sector_size: int = 4096, write_gran: int = 0, engine: bool = False) -> DataFrame:
+    """A row for every span of sectors (sector, raw), with the fields of its type; the others are null."""
+    layout = LAYOUTS[kind]
+    found = find_spans(cut, layout, sector_size, 1 << write_gran, engine)
+    is_header, is_record = F.col("type") == "sector_header", F.col("type") == "record"
+    at = {("header", n): p for n, p in layout.positions("header").items()} | {("record", n): p for n, p in layout.positions("record").items()}
+
+    def field(of: str, name: str, kind_: str = "long") -> Column:
+        where = is_header if of == "header" else is_record
+        return F.when(where, little_endian(F.col("head"), *at[of, name])).cast(kind_) if (of, name) in at else F.lit(None).cast(kind_)
+
+    header_crc, data_crc, state = field("header", "hdr_crc", "int"), field("record", "data_crc", "int"), field("record", "state", "int")
+    magic, calc, base = field("header", "magic"), F.col("calc"), F.when(is_header, field("header", "time_base")).otherwise(F.lit(None).cast("long"))
+    if kind == "kvdb":
+        status = F.when(F.col("blank"), "ERASED").when(magic == layout.magic, "KVDB").otherwise("CORRUPT")
+        engine_ok = field("record", "key_len").between(1, 32) & (field("record", "value_len") <= VALUE_MAX) & state.isin(0xFF, 0xFE, 0xFC)
+    else:
+        sealed = (header_crc == calc) & (field("header", "count") != 0xFFFF) & (field("header", "end_off") != 0xFFFF)
+        status = F.when(F.col("blank"), "ERASED").when(magic != layout.magic, "CORRUPT").when(sealed, "SEALED").when(base == INVALID32, "ACTIVE_EMPTY").otherwise("ACTIVE")
+        engine_ok = field("record", "data_len") >= 1
+    only = lambda where, column: F.when(where, column)
+    rows = found.select(
+        "type", F.lit(kind).alias("kind"), "sector", (F.col("sector").cast("long") * sector_size + F.col("at")).alias("offset"), only(is_header, status).alias("status"), magic.alias("magic"), field("header", "version", "int").alias("version"),
+        *[field("header", c).alias(c) for c in ("erase_cnt", "create_seq")], F.coalesce(field("record", "seq"), field("header", "seq")).alias("seq"), base.alias("time_base"), field("header", "count", "int").alias("count"), field("header", "end_off", "int").alias("end_off"),
+        header_crc.alias("hdr_crc"), only(is_header, calc).alias("hdr_crc_calc"), only(is_header, header_crc == calc).alias("hdr_crc_ok"),
+        state.alias("state"), only(is_record, state_name(state)).alias("state_name"), *[field("record", c, "int").alias(c) for c in ("key_len", "value_len", "key_hash", "data_len")], field("record", "time_delta").alias("time_delta"),
+        data_crc.alias("data_crc"), only(is_record, calc).alias("data_crc_calc"), only(is_record, data_crc == calc).alias("crc_ok"),
+        *([only(is_record, F.decode("first", "utf-8")).alias("key"), only(is_record, lower_hex(F.col("first"))).alias("key_hex"), only(is_record, lower_hex(F.col("second"))).alias("value_hex"), F.lit(None).cast("string").alias("data_hex")] if kind == "kvdb" else [*[F.lit(None).cast("string").alias(c) for c in ("key", "key_hex", "value_hex")], only(is_record, lower_hex(F.col("first"))).alias("data_hex")]),
+        only(is_record, F.col("until") - F.col("at")).alias("record_size"), only(F.col("type") == "erased_tail", (F.col("until") - F.col("at")).cast("long")).alias("length"), only(F.col("type") == "scan_error", F.lit("invalid record header")).alias("reason"), only(is_record, engine_ok).alias("engine_ok"),
+        only(F.col("type").isin("sector_header", "record", "scan_error"), hex_prefix(F.substring(F.col("head"), F.lit(1), F.when(F.col("type") == "scan_error", layout.record_size).otherwise(64)), 64)).alias("raw_hex_prefix"),
+    )
+    if kind == "kvdb":
+        return rows.withColumn("time", F.lit(None).cast("long"))
+    # a record's time needs its sector's base: one row for each sector
+    bases = rows.where(is_header).select("sector", F.col("time_base").alias("_base"))
+    rows = rows.join(bases, "sector", "left").withColumn("time_base", F.when(is_header | is_record, F.col("_base")))
+    return rows.withColumn("time", F.when(is_record & (F.col("_base") != INVALID32), (F.col("_base") + F.col("time_delta")).bitwiseAND(F.lit(0xFFFFFFFF)))).drop("_base")
+
+
+def anomalies_of(rows: DataFrame, kind: str) -> DataFrame:
+    """(severity, message, sector, offset) of what is wrong with parsed rows."""
+    label, what = LAYOUTS[kind].label, F.col("type")
+    cases = [
+        (what == "short", "error", "short sector", False),
+        ((what == "sector_header") & (F.col("status") == "CORRUPT"), "warn", f"invalid {label} sector header", False),
+        (what == "scan_error", "warn", f"invalid {label} record header", True),
+        (what == "overflow", "warn", f"{label} record exceeds sector", True),
+        ((F.col("state") == VALID) & ~F.col("crc_ok"), "error", f"{label} VALID record CRC mismatch", True),
+    ]
+    message = F.coalesce(*[F.when(c, F.struct(F.lit(severity).alias("severity"), F.lit(text).alias("message"), F.lit(placed).alias("placed"))) for c, severity, text, placed in cases])
+    found = rows.select("sector", "offset", message.alias("m")).where("m IS NOT NULL")
+    return found.select("m.severity", "m.message", "sector", F.when(F.col("m.placed"), F.col("offset")).alias("offset"))
 
 
 @dataclass(frozen=True)
@@ -182,7 +198,7 @@ class Dump:
 
     @property
     def observable(self) -> DataFrame:
-        return self.rows.where("type <> 'anomaly'").drop("severity", "message").orderBy("offset")
+        return self.rows.where("type NOT IN ('short', 'overflow')").orderBy("offset")
 
     @property
     def records(self) -> DataFrame:
@@ -190,7 +206,7 @@ class Dump:
 
     @property
     def anomalies(self) -> DataFrame:
-        return self.rows.where("type = 'anomaly'").select("severity", "message", "sector", "offset")
+        return anomalies_of(self.rows, self.kind)
 
     @property
     def valid(self) -> DataFrame:
@@ -203,10 +219,11 @@ class Dump:
 
     @property
     def summary(self) -> DataFrame:
-        count = lambda t: F.count(F.when(F.col("type") == t, 1))
-        good = (F.col("type") == "record") & (F.col("state") == 254) & F.col("crc_ok")
+        good = (F.col("type") == "record") & (F.col("state") == VALID) & F.col("crc_ok")
         current = F.countDistinct(F.when(good, F.col("key_hex"))) if self.kind == "kvdb" else F.count(F.when(good, 1))
-        return self.rows.agg(F.lit(self.kind).alias("kind"), F.countDistinct("sector").alias("sectors"), count("record").alias("records"), current.alias("valid_current" if self.kind == "kvdb" else "valid_records"), count("anomaly").alias("anomalies"))
+        wrong = self.anomalies.agg(F.count(F.lit(1)).alias("anomalies"))
+        counts = self.rows.agg(F.lit(self.kind).alias("kind"), F.countDistinct("sector").alias("sectors"), F.count(F.when(F.col("type") == "record", 1)).alias("records"), current.alias("valid_current" if self.kind == "kvdb" else "valid_records"))
+        return counts.crossJoin(F.broadcast(wrong))  # one row each
 
 
 def open_image(spark: SparkSession, image: Image) -> Dump:
@@ -220,8 +237,21 @@ def verify(dump: Dump, strict: bool = False) -> str:
     return "OK" if bad.isEmpty() else "FAILED"
 
 
+def engine_scan(dump_rows: DataFrame, recover: bool = False, most: int | None = None) -> DataFrame:
+    """Records of a scan: without `recover` cut-off writes are passed over; after `most` records it stops."""
+    rows = dump_rows.where("type = 'record'")
+    rows = rows if recover else rows.where("state <> 255")
+    return rows if most is None else rows.orderBy("offset").limit(most)
+
+
+def shown(view: DataFrame) -> DataFrame:
+    """view with the columns that hold a value anywhere."""
+    counts = view.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in view.columns]).first()
+    return view.select(*[c for c in view.columns if counts[c]])
+
+
 def export(dump: Dump, out: str) -> None:
-    """Every view as JSON lines, the tables as CSV too; one folder for each."""
+    """Every view as JSON lines, the tables as CSV too (with the columns that occur); one folder for each."""
     views = {"summary": dump.summary, "anomalies": dump.anomalies, "observable_dataset": dump.observable, "valid_dataset": dump.valid, ("kv_records" if dump.kind == "kvdb" else "ts_records"): dump.records}
     if dump.kind == "kvdb":
         views["kv_current"] = dump.valid
@@ -229,4 +259,4 @@ def export(dump: Dump, out: str) -> None:
         if name not in ("kv_records", "ts_records"):
             view.write.mode("overwrite").json(f"{out}/{name}.json")
         if name not in ("summary", "anomalies", "kv_current"):
-            view.write.mode("overwrite").csv(f"{out}/{name}.csv", header=True)
+            shown(view).write.mode("overwrite").csv(f"{out}/{name}.csv", header=True)

@@ -51,20 +51,32 @@ def test_repair_and_epochs_equal_the_model(spark):
         assert repaired(spark, rows, chunk) == model(rows)
 
 
-@given(st.lists(st.integers(1, 900), max_size=60), st.integers(1, 9))
-@settings(max_examples=40, deadline=None)
-def test_walk_from_every_level(sizes, step):
+def packed(sizes, cap, sector, fill):
+    out = []
+    for z in sizes:
+        if fill + z > cap:
+            sector, fill = sector + 1, 0
+        out.append((sector, fill))
+        fill += z
+    return out, sector, fill
+
+
+@given(st.lists(st.lists(st.integers(1, 20), min_size=1, max_size=30), min_size=1, max_size=4), st.integers(20, 60))
+@settings(max_examples=60, deadline=None)
+def test_composed_steps_equal_a_fold(runs, cap):
     import numpy as np
 
-    starts = np.arange(0, 901, step)
-    opened, level = ts._walk(np.array(sizes, np.int64), starts, 900)
-    for s, o, f in zip(starts, opened, level):
-        n, fill = 0, s
-        for z in sizes:
-            if fill + z > 900:
-                n, fill = n + 1, 0
-            fill += z
-        assert (n, fill) == (o, f)
+    from siltstone.operators import packing
+
+    whole = None
+    for sizes in runs:
+        one = packing.steps_of(np.array(sizes), cap)
+        whole = one if whole is None else whole.then(one)
+    opened, level = packing.Steps.unpack(whole.pack())(np.arange(cap + 1))
+    for fill in range(cap + 1):
+        assert packed(sum(runs, []), cap, 0, fill)[1:] == (opened[fill], level[fill])
+        sector, offset = packing.place_from(np.array(runs[0]), cap, 3, fill)
+        assert list(zip(sector, offset)) == packed(runs[0], cap, 3, fill)[0]
 
 
 def test_next_fit_by_chunks_equals_a_fold(spark):
