@@ -10,7 +10,8 @@
      vectors may be equal) is many tasks.  A block ranks its vectors for its queries by exact double distances.
      A query that found too few vectors is searched again in every part.
 
-What is fitted and broadcast is bounded by SAMPLE and PARTS.  Cases: vectors that are null, zero, of another length than the
+The method is the same at every size; tables of fewer than two parts of LEAST vectors are one part.  What is fitted and broadcast is
+bounded by SAMPLE and PARTS.  Cases: rows with a null id, and vectors that are null, zero, of another length than the
 most frequent one, or that hold null or non-finite components take no part; rows that share an id are distinct
 candidates, but none of them answers a query of that id; ties go to the smaller id; an empty table gives no rows; extra
 columns are not read.
@@ -18,6 +19,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-SAMPLE, PARTS, BLOCK, EXHAUSTIVE, GRAPH_K, HIDDEN, RECALL = 4096, 64, 4096, 2048, 10, 64, 0.96
+SAMPLE, PARTS, BLOCK, GRAPH_K, HIDDEN, RECALL = 4096, 64, 4096, 10, 64, 0.96
+#: Vectors of the sample that a part holds at least: fewer cannot be told apart.
+LEAST = 8
 
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -165,40 +169,44 @@ def routed(rows: DataFrame, model, top: int) -> DataFrame:
 
 
 def ranked(cells: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): within each cell the k nearest candidates of each query, by exact distances."""
-
-    def run(batches):
-        def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            queries, own = [r for r in rows if r[3]], [r for r in rows if not r[3]]
-            if not queries or not own:
-                return
-            ids, x = np.array([r[2] for r in own]), np.array([r[4] for r in own])
-            out: list[tuple] = []
-            for i in range(0, len(queries), 64):
-                q = np.array([r[4] for r in queries[i : i + 64]])
-                d = distances(q, x)
-                for row, y, dist in zip(queries[i : i + 64], q, d):
-                    dist[ids == row[2]] = np.inf
-                    n = min(k, int(np.isfinite(dist).sum()))
-                    if not n:
-                        continue
+    """(query_id, vec_id, score): within each cell the k nearest candidates of each query, by exact distances.
+
+    A cell's candidates (a block) come first and are held; its queries, however many, pass by.
+    """
+
+    def settle(ids: np.ndarray, x: np.ndarray, asked: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(q), 256):
+            found = []
+            for query, y, dist in zip(asked[i : i + 256], q[i : i + 256], distances(q[i : i + 256], x)):
+                dist[ids == query] = np.inf
+                n = min(k, int(np.isfinite(dist).sum()))
+                if n:
                     edge = np.partition(dist, n - 1)[n - 1]
                     some = np.flatnonzero(dist <= edge + 1e-9 * (1 + edge + (y * y).sum()))
                     score = np.sqrt(((x[some] - y) ** 2).sum(1))
                     best = np.lexsort((ids[some], score))[:n]
-                    out += [(row[2], int(ids[some[b]]), float(score[b])) for b in best]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["query_id", "vec_id", "score"])
+                    found.append((np.full(n, query), ids[some[best]], score[best]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "vec_id", "score"])
 
-        held: list[tuple] = []
+    def run(batches):
+        now, ids, x = None, [], []
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "vec_id", "query", "v"))):
-                if held and held[-1][:2] != r[:2]:
-                    yield from settle(held)
-                    held = []
-                held.append(r)
-        if held:
-            yield from settle(held)
+            if not batch.num_rows:
+                continue
+            part, block, vec, query = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "block", "vec_id", "query"))
+            v = _array(batch)
+            edges = np.flatnonzero((part[1:] != part[:-1]) | (block[1:] != block[:-1]) | (query[1:] != query[:-1])) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(part)]):
+                if now != (part[a], block[a]):
+                    now, ids, x = (part[a], block[a]), [], []
+                if not query[a]:
+                    ids.append(vec[a:b])
+                    x.append(v[a:b])
+                elif ids:
+                    if len(ids) > 1:
+                        ids, x = [np.concatenate(ids)], [np.concatenate(x)]
+                    yield from settle(ids[0], x[0], vec[a:b], v[a:b])
 
     return cells.mapInArrow(run, "query_id long, vec_id long, score double")
 
@@ -208,7 +216,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     spark = vectors.sparkSession
     all_ = usable(vectors)
     n = all_.count()
-    parts = 1 if n <= EXHAUSTIVE else int(min(PARTS, max(8, -(-n // BLOCK))))
+    # a power of the table's size, so that parts and their sizes grow together; bounded by what the sample can tell apart
+    parts = max(1, min(PARTS, min(n, SAMPLE) // LEAST, 1 << max(3, round(math.log2(max(n, 1)) / 2.5))))
     sample = [r["v"] for r in all_.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()] if parts > 1 else []
     router, probes = fit(np.array(sample), parts)
     model = spark.sparkContext.broadcast(router)
@@ -219,7 +228,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
 
     def search(queries: DataFrame, top: int) -> DataFrame:
         asked = routed(queries, model, top).join(blocks, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", F.lit(True).alias("query"), "v")
-        dealt = candidates.unionByName(asked).repartition("part", "block").sortWithinPartitions("part", "block")
+        dealt = candidates.unionByName(asked).repartition("part", "block").sortWithinPartitions("part", "block", "query")
         w = W.partitionBy("query_id").orderBy("score", "vec_id")
         return ranked(dealt, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

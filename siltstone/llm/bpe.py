@@ -4,7 +4,7 @@ Both run the tokenizers library over Arrow batches.  A text is first cut where A
 space follows another ASCII character and where an ASCII mark follows a Latin letter: no match of either
 pre-tokenizer's pattern crosses such a place, so each piece can be encoded by itself.  The pieces of a batch are
 dictionary-encoded and the library sees every distinct piece once for as long as the worker
-remembers it (CACHE_PIECES), the rest being array work.
+remembers it (CACHE_BYTES), the rest being array work.
 
 Cases: a null text counts as empty and has no ids; repeated rows are encoded one by one; other
 columns, whatever their names, are not read; an empty table gives an empty result; a text of any
@@ -25,12 +25,26 @@ from pyspark.sql import DataFrame
 
 from .common import IS_SPACE, as_bytes, chunks, gather_ranges
 
-#: Distinct pieces that a worker remembers; then it starts anew.
-CACHE_PIECES = 800_000
+#: Bytes (the objects' own included) of pieces that a worker remembers in each of its two memories; then that one starts anew.
+CACHE_BYTES = 96_000_000
 
 _LOADED: dict = {}
 
 
+class Memory(dict):
+    """Ids by piece, forgotten as a whole before they take more than CACHE_BYTES."""
+
+    held = 0
+
+    def learn(self, piece: bytes, ids: bytes) -> bytes:
+        self.held += len(piece) + len(ids) + 200
+        if self.held > CACHE_BYTES:
+            self.clear()
+            self.held = 0
+        self[piece] = ids
+        return ids
+
+
 def _library():
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import tokenizers
@@ -100,8 +114,7 @@ class ByteBpe:
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(tokens), np.uint8)
-        self.cache: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.cache, self.parts = Memory(), Memory()
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece, as native uint32 bytes.
@@ -110,8 +123,6 @@ class ByteBpe:
         matches, so the model gets them at once and remembers the parts.  Any other piece is split by the library.
         """
         out, rest, parts = [b""] * len(pieces), [], self.parts
-        if len(parts) > CACHE_PIECES:
-            parts.clear()
         for i, piece in enumerate(pieces):
             if m := PLAIN(piece):
                 lead, word, marks = m.groups()
@@ -119,7 +130,7 @@ class ByteBpe:
                     out[i] = self._ids(piece)
                     continue
                 keys = (b" " + word, marks) if lead == b" " else (lead, word, marks)
-                out[i] = b"".join([parts.get(k) or parts.setdefault(k, self._ids(k)) for k in keys if k])
+                out[i] = b"".join([parts.get(k) or parts.learn(k, self._ids(k)) for k in keys if k])
             else:
                 rest.append(i)
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False), strict=True):
@@ -150,17 +161,14 @@ class WordBpe:
         lib = _library()
         self.tokenizer = lib.Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.cache: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.cache, self.parts = Memory(), Memory()
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece, as native uint32 bytes.  Letters and the marks after them are words of their own to the pattern."""
         out, rest, parts = [b""] * len(pieces), [], self.parts
-        if len(parts) > CACHE_PIECES:
-            parts.clear()
         for i, piece in enumerate(pieces):
             if (m := PLAIN(piece.lstrip())) and b"<|" not in piece:
-                out[i] = b"".join([parts.get(k) or parts.setdefault(k, self._ids(k)) for k in m.groups() if k])
+                out[i] = b"".join([parts.get(k) or parts.learn(k, self._ids(k)) for k in m.groups() if k])
             else:
                 rest.append(i)
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False), strict=True):
@@ -221,11 +229,10 @@ def encode_rows(bpe, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     array = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
     coded = array.dictionary_encode()
     codes, distinct, cache = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), bpe.cache
-    if len(cache) > CACHE_PIECES:
-        cache.clear()
-    if missing := [p for p in distinct if p not in cache]:
-        cache.update(zip(missing, bpe.encode_pieces(missing)))
-    values = [cache[p] for p in distinct]
+    values = [cache.get(p) for p in distinct]
+    if missing := [i for i, v in enumerate(values) if v is None]:
+        for i, ids in zip(missing, bpe.encode_pieces([distinct[i] for i in missing])):
+            values[i] = cache.learn(distinct[i], ids)
     lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
     flat = np.frombuffer(b"".join(values), np.uint32)
     begins = np.cumsum(lengths) - lengths

@@ -26,15 +26,23 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACE_BYTES)] = True
 
 
+#: The name of a row number, private enough not to meet a column of the input.
+ROW = "_siltstone_row"
+#: One column chunk at a time is read into the heap, not several into direct buffers that stay with the reading threads.
+READ = {"parquet.hadoop.vectored.io.enabled": "false"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.options(**READ).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (local runs)."""
+    """The cluster's checkpoint folder; a temporary one only where none is set and all executors are on this machine."""
     if not (root := spark.conf.get("spark.checkpoint.dir", None)):
         root = spark.conf.get("siltstone.local.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="siltstone-")
             spark.conf.set("siltstone.local.dir", root)
     return f"{root.rstrip('/')}/siltstone-{spark.sparkContext.applicationId}"
@@ -44,7 +52,12 @@ def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.options(**READ).schema(df.schema).parquet(path)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row (ROW), staged so that it stays the same however often it is read."""
+    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
 def drop_stages(spark: SparkSession) -> None:
@@ -176,17 +189,25 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, counts
 
 
-def names_of_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every word its number among the different words here (by its bytes), the 128-bit digests of those (two integers each),
-    where the words start and end, and how many each row has."""
+def word_numbers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every word its number among the different words here (by its bytes), and how many words each row has."""
     starts, ends, counts = words_of(data, offsets)
     solid = data[~IS_SPACE[data]]
     upto = np.concatenate([[0], np.cumsum(ends - starts)])
-    wide = len(solid) >= 1 << 31
-    kind, upto = (pa.large_binary(), upto.astype(np.int64)) if wide else (pa.binary(), upto.astype(np.int32))
+    kind, upto = (pa.large_binary(), upto.astype(np.int64)) if len(solid) >= 1 << 31 else (pa.binary(), upto.astype(np.int32))
     words = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(upto), pa.py_buffer(solid)]).dictionary_encode()
-    digests = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in words.dictionary.to_pylist()])
-    return words.indices.to_numpy().astype(np.int64), np.frombuffer(digests, "<u8").reshape(-1, 2), starts, ends, counts
+    return words.indices.to_numpy().astype(np.int64), counts
+
+
+def single_spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """data with one space between words, and where the words (starts, ends) stand in it."""
+    keep = ~IS_SPACE[data]
+    after = ends[ends < len(data)]
+    keep[after] = True
+    out = data[keep]
+    out[IS_SPACE[out]] = 0x20
+    upto = np.concatenate([[0], np.cumsum(keep)])
+    return out.tobytes(), upto[starts], upto[starts] + ends - starts
 
 
 def lowered(data: np.ndarray) -> np.ndarray:

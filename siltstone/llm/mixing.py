@@ -4,10 +4,10 @@ Each source gets a target number of words: the total, shared by weight, never ab
 has, the excess reshared among the others.  The water level of that sharing has a closed form over the
 sources in the order in which they reach their caps, so no loop is needed.
 
-A document's expected number of copies is its source's target over its source's size (times its own relative
-weight, if a weight column is given).  The whole part of it is allocated with certainty.  The fraction p is an
+A document's expected number of copies is its source's target over its source's size; with a column of relative
+weights, its weight's share of the target instead, at most `cap`.  The whole part of it is allocated with certainty.  The fraction p is an
 inclusion probability: documents are ranked by (u / (1 - u)) / (p / (1 - p)), u a uniform number hashed from
-the doc_id, and taken in that order until the words that are left for the source are filled, so the sample's
+id and text, and taken in that order until the words that are left for the source are filled, so the sample's
 size is fixed.  The one further document whose size comes nearest the remaining gap closes it.
 
 Where the boundary falls in a source is found by two histograms of the rank (4,096 buckets, then 4,096
@@ -16,7 +16,8 @@ is thus never gathered in one task.  Everything is DataFrame operations.
 
 Cases: a null text has size 0 and is never repeated beyond whole copies of nothing (taken 0); a null source is a
 source, the last; repeated rows are documents of their own (ties are broken by size and a row number given once); an
-empty table gives no rows; sources of size 0 have target 0; extra columns are ignored.
+empty table gives no rows; sources of size 0 have target 0; extra columns, whatever their names, are ignored;
+without a usable weight a document is not taken, and where weights meet the cap a source may stay below its target.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ from .common import WORD, small, stage
 LEVELS = 4096
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A number in (0, 1) hashed from the id: 52 bits of an MD5."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def uniform(doc_id: Column, text: Column, seed: str) -> Column:
+    """A number in (0, 1) hashed from id and text, so that rows that share an id (or have none) draw their own: 52 bits of an MD5."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
@@ -54,19 +55,30 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), tota
     return per.select("source", F.col("source_size").cast("long").alias("source_size"), "weight", F.when(F.col("first").isNull() | (F.col("place") < F.col("first.place")), F.col("full")).otherwise(F.col("first.level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0), total: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: one row for each row of docs.  A column `row` that numbers the rows is kept."""
-    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *(["row"] if "row" in docs.columns else []))
-    number = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
-    sizes = stage(sizes.withColumn("row", number), "sizes")
-    per = stage(targets(sizes, weights, total, cap), "targets")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    facts = per.withColumn("whole", F.floor(ratio)).withColumn("p", ratio - F.col("whole")).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "of")
-    u = uniform(F.col("doc_id"), seed)
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0), total: float = 1.5, cap: float = 2.0, seed: str = "mix", number: str | None = None, weight: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken: one row for each row of docs.
+
+    number: a column that numbers the rows, returned under its name.  weight: a column of relative weights (none or below 0: 0).
+    """
+    own = F.lit(1.0) if weight is None else F.greatest(F.coalesce(F.nanvl(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"), own.alias("weight"), (F.col(number) if number else F.monotonically_increasing_id()).alias("row"))
+    sizes = stage(sizes, "sizes")
+    shares = sizes.groupBy("source").agg(F.sum(F.col("weight") * F.col("size")).alias("heavy")).withColumnRenamed("source", "weighed")
+    per = targets(sizes, weights, total, cap).withColumnRenamed("weight", "share")
+    facts = stage(per.join(shares, F.col("source").eqNullSafe(F.col("weighed"))).select(F.col("source").alias("of"), "source_size", "target", "heavy"), "targets")
+    # the copies expected of a row; with equal weights the source's target over its size
+    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    if weight is not None:
+        expected = F.when(F.col("heavy") > 0, F.least(F.col("target") * F.col("weight") / F.col("heavy"), F.lit(float(cap)))).otherwise(0.0)
+    rows = sizes.join(small(facts), F.col("source").eqNullSafe(F.col("of"))).drop("of", "heavy", "weight").withColumn("ratio", expected)
+    rows = rows.withColumn("whole", F.floor("ratio")).withColumn("p", F.col("ratio") - F.col("whole"))
+    u = F.col("u")
     odds = F.when((F.col("p") > 0) & (F.col("p") < 1), (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
-    rows = sizes.join(small(facts), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("odds", odds).withColumn("v", F.col("odds") / (1 + F.col("odds")))
-    rows = stage(rows.withColumn("b1", F.floor(F.col("v") * LEVELS)).withColumn("b2", F.floor((F.col("v") * LEVELS - F.col("b1")) * LEVELS)), "ranked")
-    drawn = rows.where("odds IS NOT NULL AND need > 0")
+    rows = rows.withColumn("odds", odds).withColumn("v", F.col("odds") / (1 + F.col("odds")))
+    rows = stage(rows.withColumn("b1", F.floor(F.col("v") * LEVELS)).withColumn("b2", F.floor((F.col("v") * LEVELS - F.col("b1")) * LEVELS)).drop("u", "ratio", "p", "v"), "ranked")
+    # what the whole copies leave open of each source's target
+    open_ = rows.groupBy("source").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("need")).withColumnRenamed("source", "of")
+    drawn = rows.where("odds IS NOT NULL").join(small(stage(open_, "open")), F.col("source").eqNullSafe(F.col("of"))).drop("of").where("need > 0")
 
     def crossing(histogram: DataFrame, bucket: str) -> DataFrame:
         """For each source the bucket in which the words reach the need, and the words before it."""
@@ -95,4 +107,4 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0), total:
     early = marked.where(f"edge1 IS NULL OR NOT ({late} OR (b1 = edge1 AND b2 = edge2))").select("row")
     chosen = early.unionByName(boundary.where("fits").select("row")).unionByName(closer).withColumn("drawn", F.lit(1))
     out = rows.join(chosen, "row", "left").withColumn("copies", F.col("whole") + F.coalesce("drawn", F.lit(0)))
-    return out.select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), "row")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), *([F.col("row").alias(number)] if number else []))

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, gather_ranges, lowered, mix64, names_of_words, small, stage
+from .common import as_bytes, chunks, gather_ranges, lowered, mix64, range_hashes, small, stage, words_of
 
 SHINGLE, BANDS, ROWS, STEP = 5, 32, 3, 16
 #: Minima (16 bits each) of the signatures that open members are compared by.
@@ -66,23 +66,29 @@ def shingle_bounds(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distinct(codes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different codes of each row, sorted, end to end, and where the n rows begin."""
-    order = np.lexsort((codes, row))
-    codes, row = codes[order], row[order]
+    """The different codes of each row (rows ascend), sorted, end to end, and where the n rows begin."""
+    bounds = np.searchsorted(row, np.arange(n + 1))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        codes[a:b].sort()
     new = np.ones(len(row), bool)
     new[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])
-    return codes[new], np.searchsorted(row[new], np.arange(n + 1))
+    return codes[new], np.concatenate([[0], np.cumsum(new)])[bounds]
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row, sorted within the row, end to end, and where the rows begin."""
-    ids, digests, _, _, counts = names_of_words(lowered(data), offsets)
-    words = np.concatenate([digests[:, 0][ids] if len(ids) else np.zeros(0, np.uint64), np.zeros(SHINGLE, np.uint64)])
+    data = lowered(data)
+    starts, ends, counts = words_of(data, offsets)
+    words = np.concatenate([range_hashes(data, starts, ends), np.zeros(SHINGLE, np.uint64)])
     row, first = shingle_bounds(counts)
     left = np.cumsum(counts)[row] - first  # words from here to the end of the row
     hashes = mix64(words[first])
+    short = np.flatnonzero(left < SHINGLE)  # texts of fewer words
+    few, least = hashes[short], left[short]
     for k in range(1, SHINGLE):
-        hashes = np.where(left > k, mix64(hashes * np.uint64(0x9E3779B97F4A7C15) + words[first + k]), hashes)
+        hashes = mix64(hashes * np.uint64(0x9E3779B97F4A7C15) + words[first + k])
+        few = np.where(least > k, mix64(few * np.uint64(0x9E3779B97F4A7C15) + words[first[short] + k]), few)
+    hashes[short] = few
     return distinct(hashes, row, len(counts))
 
 

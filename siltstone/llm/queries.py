@@ -71,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Pareto order sampling in SQL: the same hash, odds and order; the boundary by a plain running sum.
 MIX_SQL = r"""
 WITH sizes AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')) AS digest, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 src AS (SELECT source, sum(size)::DOUBLE AS s FROM sizes GROUP BY source),
 ranked AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, 2.0 * s AS full_s FROM src),
 placed AS (SELECT *, row_number() OVER o AS place,
@@ -81,8 +81,8 @@ lim AS (SELECT min(place) AS p, arg_min(lvl, place) AS l FROM placed WHERE lvl *
 tgt AS (SELECT source, s::BIGINT AS source_size, CASE WHEN p IS NULL OR place < p THEN full_s ELSE l * w END AS target FROM placed, lim),
 facts AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio FROM tgt),
 facts2 AS (SELECT *, floor(ratio)::BIGINT AS whole, ratio - floor(ratio) AS p, target - floor(ratio) * source_size AS need FROM facts),
-u AS (SELECT z.*, f.source_size, f.target, f.whole, f.p, f.need,
-  (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS r
+u AS (SELECT z.doc_id, z.source, z.size, f.source_size, f.target, f.whole, f.p, f.need,
+  (('0x' || substr(digest, 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS r
   FROM sizes z JOIN facts2 f ON z.source IS NOT DISTINCT FROM f.source),
 q AS (SELECT *, CASE WHEN p > 0 AND p < 1 AND need > 0 THEN (r / (1 - r)) / (p / (1 - p)) END AS odds, row_number() OVER () AS row_id FROM u),
 run AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id, size, row_id ROWS UNBOUNDED PRECEDING) AS upto FROM q WHERE odds IS NOT NULL),

@@ -17,13 +17,13 @@ Plan
 A text that equals another as a whole needs no search: its weight says that each of its windows is elsewhere.
 
 Equality is never left to a hash that can be made to collide: fragments are equal by a cryptographic digest of 128 bits (of
-bytes, or of such digests of the words), in an index words are numbered by their bytes and common prefixes are compared symbol by symbol.
+the bytes, or of the words with one space between), in an index words are numbered by their bytes and common prefixes are compared symbol by symbol.
 
 Nothing is capped: a shard works through its anchors in batches of about BATCH symbols, and an anchor with more texts than that
 is one larger batch.
 
 Cases: null and empty texts, and texts shorter than a window, lose nothing; repeated rows are documents of their own, so
-a repeated text of at least L symbols goes whole; rows that share a doc_id are kept apart by their text; an
+a repeated text of at least L symbols goes whole; rows that share a doc_id are kept apart by their text or number; an
 empty table gives no rows; extra columns are not read; words stay as written, the kept ones joined by one space.
 """
 
@@ -37,11 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, load8, mix64, names_of_words, powers, stage, words_of
+from .common import as_bytes, chunks, load8, mix64, powers, range_hashes, single_spaced, stage, word_numbers, words_of
 
 WORDS, BYTES = ("words", 35, 8), ("bytes", 400, 200)
 #: Symbols that a shard indexes at once, at least.
 BATCH = {"words": 1_000_000, "bytes": 2_000_000}
+#: Bytes of text whose hashes are worked out at once: their arrays stay near the processor.
+NEAR = 500_000
 #: Windows of a fragment, at most.
 RUN = 1024
 
@@ -119,17 +121,17 @@ def anchors(docs: DataFrame, unit: str, length: int, k: int) -> DataFrame:
         for batch in batches:
             data, offsets = as_bytes(batch.column("text"))
             keys = batch.column("key").to_numpy(zero_copy_only=False)
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, NEAR):
                 part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 if unit == "bytes":
-                    values, content, width = part, part.tobytes(), 1
+                    values, content = part, part.tobytes()
                 else:
-                    ids, names, _, _, counts = names_of_words(part, bounds)
-                    whole = names[ids]
-                    values, content, width, bounds = whole[:, 0], whole.tobytes(), 16, np.concatenate([[0], np.cumsum(counts)])
+                    bounds, starts, ends = layout(unit, part, bounds)
+                    values = range_hashes(part, starts, ends)
+                    content, starts, ends = single_spaced(part, starts, ends)
                 row, anchor, begin, end, seen = fragments(values, bounds, length, k)
                 if len(row):
-                    frag = digests_of(content, width * begin, width * end)
+                    frag = digests_of(content, begin, end) if unit == "bytes" else digests_of(content, starts[begin], ends[end - 1])
                     yield pa.RecordBatch.from_arrays([pa.array(keys[i:j][row]), pa.array(anchor), pa.array(frag[:, 0]), pa.array(frag[:, 1]), pa.array((begin - bounds[row]).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(np.minimum(seen, 2).astype(np.int32))], ["key", "anchor", "f1", "f2", "start", "size", "seen"])
 
     return docs.mapInArrow(run, "key long, anchor long, f1 long, f2 long, start int, size int, seen int")
@@ -399,7 +401,7 @@ def search_shards(texts: DataFrame, unit: str, length: int) -> DataFrame:
         if unit == "bytes":
             values, bounds = data, offsets
         else:
-            values, _, _, _, counts = names_of_words(data, offsets)
+            values, counts = word_numbers(data, offsets)
             bounds = np.concatenate([[0], np.cumsum(counts)])
         found = repeated_windows(values, bounds, np.array([r[4] for r in rows]), length, unit == "bytes")
         some = [(*r[:3], s.tolist()) for r, s in zip(rows, spans(found, bounds, length)) if len(s)]
@@ -493,15 +495,16 @@ def remove(docs: DataFrame, spans_of: DataFrame, unit: str, keep_text: bool = Fa
     return joined.mapInArrow(run, "doc_id long, n long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, key long" * keep_text)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, key, text), dealt by a key of id and text.  Every use reads these same columns, so Spark deals them once."""
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").repartition("key")
+def keyed(docs: DataFrame, number: str | None = None) -> DataFrame:
+    """(doc_id, key, text): the key is the row's number, or made of the id and a digest of the text."""
+    key = F.col(number) if number else F.xxhash64("doc_id", F.sha2("text", 256))
+    return docs.select("doc_id", key.alias("key"), "text")
 
 
 def repeated_spans(docs: DataFrame, own: DataFrame, kind: tuple[str, int, int]) -> DataFrame:
-    """(key, spans): the repeated parts of each text, as lists of flat (start, end) pairs; own: keyed(docs)."""
+    """(key, spans): the repeated parts of each text, as lists of flat (start, end) pairs; own: keyed docs, dealt by key."""
     unit, length, k = kind
-    fragments_ = anchors(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text"), unit, length, k)
+    fragments_ = anchors(docs, unit, length, k)
     twice = fragments_.groupBy("anchor").agg(F.sum("seen").alias("c")).where("c > 1").select("anchor")
     live = stage(fragments_.select("key", "anchor", "f1", "f2", "start", "size").join(twice, "anchor"), "live")
     each = live.groupBy("anchor", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start", "size")).alias("at"))
@@ -517,6 +520,8 @@ def repeated_spans(docs: DataFrame, own: DataFrame, kind: tuple[str, int, int])
     return hits.select("key", F.transform("spans", lambda s: s + F.col("start")).alias("spans")).groupBy("key").agg(F.collect_list("spans").alias("spans"))
 
 
-def dedup(docs: DataFrame, kind: tuple[str, int, int], keep_text: bool = False) -> DataFrame:
-    own = keyed(docs)
-    return remove(own, repeated_spans(docs, own, kind), kind[0], keep_text)
+def dedup(docs: DataFrame, kind: tuple[str, int, int], keep_text: bool = False, number: str | None = None) -> DataFrame:
+    """doc_id, n, n_removed, n_spans, kept_sha256 of every row (and key and kept text); number: a column that numbers the rows."""
+    rows = keyed(docs, number)
+    own = rows.repartition("key")  # every later use reads these columns, so Spark deals them once
+    return remove(own, repeated_spans(rows, own, kind), kind[0], keep_text)

@@ -283,8 +283,8 @@ def weights_of(toxic: np.ndarray, clean: np.ndarray, share: float, z: float = 3.
     return np.maximum(0.0, np.log(low / (1 - low)) - np.log(share / (1 - share)))
 
 
-def digests(docs: DataFrame, model, weights) -> DataFrame:
-    """(doc_id, top, total, telling): each text's strongest word, the sum over its distinct telling words, their number."""
+def digests(docs: DataFrame, model, weights, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, top, total, telling, and what to keep): each text's strongest word, the sum over its distinct telling words, their number."""
 
     def run(batches):
         decoder, table = Decoder(model.value), np.append(weights.value, 0.0)
@@ -300,9 +300,10 @@ def digests(docs: DataFrame, model, weights) -> DataFrame:
                 rows, w = rows[first], w[first]
                 top = np.zeros(n)
                 np.maximum.at(top, rows, w)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), pa.array(top), pa.array(np.bincount(rows, w, n).astype(np.float64)), pa.array(np.bincount(rows, minlength=n).astype(np.int64))], ["doc_id", "top", "total", "telling"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), pa.array(top), pa.array(np.bincount(rows, w, n).astype(np.float64)), pa.array(np.bincount(rows, minlength=n).astype(np.int64)), *(batch.column(c).slice(i, n) for c in keep)], ["doc_id", "top", "total", "telling", *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, top double, total double, telling long")
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, "doc_id long, top double, total double, telling long" + kept)
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -318,8 +319,8 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return b
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, telling: one row for each row of docs."""
+def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted, telling, and the columns to keep: one row for each row of docs."""
     spark = docs.sparkSession
     grams = count_grams(docs).toPandas()  # CLASSES^4 rows at most
     model = spark.sparkContext.broadcast(log_model(grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.float64)))
@@ -332,7 +333,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         forms = form_counts(taught, model).where("toxic >= 3 AND toxic > clean").toPandas()  # BUCKETS rows at most
         if len(forms):
             table[forms["bucket"].to_numpy()] = weights_of(forms["toxic"].to_numpy(np.float64), forms["clean"].to_numpy(np.float64), share)
-    described = stage(digests(docs, model, spark.sparkContext.broadcast(table)), "digests")
+    described = stage(digests(docs, model, spark.sparkContext.broadcast(table), keep), "digests")
     x = [F.col("top"), F.log1p("total"), F.log1p("telling")]
     sample = described.where(part_of(F.col("doc_id")) == 3).join(known.where("part = 3"), "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", *[c.alias(f"x{k}") for k, c in enumerate(x)], (F.col("toxic") > 0).cast("int").alias("y")).orderBy("h", "doc_id").limit(FIT_ROWS).toPandas()
     if sample["y"].nunique() == 2:
@@ -341,4 +342,4 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         b = np.array([0, 0, 0, np.log(max(share, 1e-9) / max(1 - share, 1e-9))])
     logit = F.lit(float(b[3])) + F.lit(float(b[0])) * x[0] + F.lit(float(b[1])) * x[1] + F.lit(float(b[2])) * x[2]
     value = (1 / (1 + F.exp(-F.least(F.greatest(logit, F.lit(-30.0)), F.lit(30.0))))) if kinds else F.lit(0.0)
-    return described.select("doc_id", (part_of(F.col("doc_id")) == 2).alias("held_out"), value.alias("score"), "telling").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return described.select("doc_id", (part_of(F.col("doc_id")) == 2).alias("held_out"), value.alias("score"), "telling", *keep).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
