@@ -3,6 +3,9 @@ mixed to target weights, and what is left is encoded by byte-level BPE.
 
 Each stage takes the documents that the one before kept, decides on all of them, and all but the last return the columns of
 documents.  Stages are written as Parquet in the shared folder and read again.
+
+Cases: rows are told apart by a number of their own, so null and shared ids, repeated rows and columns of any further name pass
+through every stage; an empty table passes through as one; ties are settled by id and then by row.
 """
 
 from __future__ import annotations
@@ -11,42 +14,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, mixing, neardup, repeats, toxicity
-from siltstone.llm.common import stage, table
+from siltstone.llm.common import ROW, numbered, stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the toxicity score rejects go; a row without an id or text is judged as any other."""
-    scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
-    bad = scored.where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.doc_id), "left_anti")
+    """Rows whose own text the toxicity score rejects go; rows without a text are judged as empty ones."""
+    rows = numbered(docs)
+    bad = toxicity.score(rows, table(spark, sf_dir, "labels"), keep=(ROW,)).where("predicted = 1").select(ROW)
+    return rows.join(bad, ROW, "left_anti").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class stays: that with the smallest id, null ids last.  Rows are told apart by their number, as ids
-    may be shared or null; rows without words are copies only if they share an id."""
-    rows = stage(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    classes = neardup.classes(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
-    members = classes.join(rows.select("row", "doc_id"), "row")
+    """One row of each class stays: that with the smallest id, null ids last, then the first row.  A row without words
+    is a copy only of rows without words that share its id."""
+    rows = numbered(docs)
+    classes = neardup.classes(rows.select(F.col(ROW).alias("doc_id"), "text")).withColumnRenamed("doc_id", ROW)
+    members = classes.join(rows.select(ROW, "doc_id"), ROW)
     empty = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
-    kept = members.groupBy(empty.alias("empty"), F.when(empty.isNull(), F.col("component_id")).alias("class"))
-    kept = kept.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")).select("least.row")
-    return rows.join(kept, "row", "left_semi").select(docs.columns)
+    kept = members.groupBy((F.col("n_shingles") == 0).alias("none"), empty.alias("empty"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("class"))
+    kept = kept.agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW)).alias("least")).select(f"least.{ROW}")
+    return rows.join(kept, ROW, "left_semi").select(docs.columns)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of repeated windows go.  A text that loses words becomes the kept words joined by one space; the others stay
-    as they are, and a document that loses every word goes."""
-    cut = repeats.dedup(docs, repeats.WORDS, keep_text=True).where("n_removed > 0")
-    cut = cut.select("key", F.col("kept").cast("string").alias("kept"), (F.col("n_removed") == F.col("n")).alias("gone")).dropDuplicates(["key"])
-    rows = docs.withColumn("key", F.xxhash64("doc_id", "text")).join(cut, "key", "left").where("gone IS NULL OR NOT gone")
-    return rows.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long"))).withColumn("text", F.coalesce("kept", "text")).select(docs.columns)
+    """Words of repeated windows go.  A text that loses words becomes the kept words joined by one space, n_chars its new
+    length; the others stay as they are, and a document that loses every word goes."""
+    rows = numbered(docs)
+    cut = repeats.dedup(rows, repeats.WORDS, keep_text=True, number=ROW).where("n_removed > 0")
+    cut = cut.select(F.col("key").alias(ROW), F.col("kept").cast("string").alias(f"{ROW}_text"), (F.col("n_removed") == F.col("n")).alias(f"{ROW}_gone"))
+    rows = rows.join(cut, ROW, "left").where(f"{ROW}_gone IS NULL OR NOT {ROW}_gone")
+    new = F.col(f"{ROW}_text")
+    changed = {"text": F.coalesce(new, F.col("text")), "n_chars": F.when(new.isNull(), F.col("n_chars")).otherwise(F.length(new).cast("long"))}
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    rows = stage(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    taken = mixing.mix(rows).where("copies > 0").select("row", "copies")
-    return rows.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    """Each row as often as the mix takes it."""
+    rows = numbered(docs)
+    taken = mixing.mix(rows, number=ROW).where("copies > 0").select(ROW, F.col("copies").alias(f"{ROW}_copies"))
+    return rows.join(taken, ROW).withColumn(f"{ROW}_copy", F.explode(F.sequence(F.lit(1), F.col(f"{ROW}_copies")))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
