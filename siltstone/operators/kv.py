@@ -90,6 +90,20 @@ def page(now: DataFrame, after: tuple[int, int] | None, n: int, key_capacity: in
     return rows.orderBy("sector", "offset").limit(n).select("sector", "offset", F.substring("key", 1, key_capacity - 1).alias("key"), value.alias("value"))
 
 
+def generation(ops: DataFrame) -> DataFrame:
+    """series, generation: the number of changes so far.  An iterator notes it, and is out of date once it has moved."""
+    return ops.groupBy("series").agg(F.count(F.lit(1)).alias("generation"))
+
+
+def next_page(ops: DataFrame, now: DataFrame, noted: int, after: tuple[int, int] | None, n: int, **cut) -> tuple[str, DataFrame]:
+    """(status, page) of an iterator that noted a generation: BUSY and no rows if the store has changed since, ITER_END past the last record."""
+    row = generation(ops).agg(F.sum("generation").alias("g")).first()
+    if (row["g"] or 0) != noted:
+        return "BUSY", page(now, after, 0, **cut)
+    rows = page(now, after, n, **cut)
+    return ("ITER_END" if rows.isEmpty() else "OK"), rows
+
+
 def sector_bytes(laid: DataFrame) -> DataFrame:
     """live_bytes, garbage_bytes and write_off of each sector of placed versions (with `live`)."""
     size = F.col("record_size")

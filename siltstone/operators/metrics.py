@@ -21,6 +21,25 @@ def latency(df: DataFrame, group: str, ns: Column) -> DataFrame:
     return total.join(p95, group).select(group, "samples", F.expr("sum div samples").alias("avg_us"), "min_us", "max_us", "p95_us", F.expr("samples * 1000000 div sum").alias("ops_per_s"))
 
 
+KV_COUNTERS = ("read_ops", "write_ops", "delete_ops", "gc_runs", "gc_reclaimed_bytes", "gc_migrated_recs", "flash_errors", "crc_errors", "corrupt_sectors")
+TS_COUNTERS = ("write_ops", "read_ops", "sector_rotations", "records_lost", "flash_errors", "crc_errors", "data_gaps")
+
+
+def counters(events: DataFrame, names: tuple[str, ...], since: Column | None = None) -> DataFrame:
+    """series and a column for each counter, from events (series, at, counter, amount).
+
+    A reset is an event of counter 'reset': only what comes after a series' last one counts.  since: a condition on events instead.
+    """
+    if since is None:
+        last = events.groupBy("series").agg(F.max(F.when(F.col("counter") == "reset", F.col("at"))).alias("_reset"))
+        counted = events.join(last, "series").where("_reset IS NULL OR at > _reset")
+        every = last.select("series")
+    else:
+        counted, every = events.where(since), events.select("series").distinct()
+    sums = counted.groupBy("series").agg(*[F.sum(F.when(F.col("counter") == c, F.col("amount"))).alias(c) for c in names])
+    return every.join(sums, "series", "left").select("series", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names])
+
+
 def deciles(value: Column, most: int) -> Column:
     """Bin 0 to 9 of a size from 1 to most."""
     width = max(1, most // 10)

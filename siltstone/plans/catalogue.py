@@ -94,9 +94,9 @@ LAID = KV + """, sized AS (SELECT *, 16 + strlen(key) + strlen(value) AS size, r
  laid AS (SELECT p.seq, p.key, p.value, p.size, t.sector, t.off, c.seq IS NOT NULL AS live FROM sized p JOIN steps t USING (i) LEFT JOIN cur c ON c.seq = p.seq),
  bytes AS (SELECT sector, sum(CASE WHEN live THEN size ELSE 0 END)::BIGINT AS live_bytes, sum(CASE WHEN live THEN 0 ELSE size END)::BIGINT AS garbage_bytes, max(off + size)::BIGINT AS write_off FROM laid GROUP BY sector),
  sec AS (SELECT sector::INT AS sector, CASE WHEN sector % 11 = 5 THEN 'ERASED' WHEN sector = 0 THEN 'ACTIVE' ELSE 'SEALED' END AS status, CASE WHEN sector % 11 = 5 THEN 16 ELSE write_off END AS write_off, CASE WHEN sector % 11 = 5 THEN 0 ELSE garbage_bytes END AS garbage_bytes, (sector * 37) % 113 AS erase_cnt FROM bytes)"""
-CAND = LAID + """, tot AS (SELECT count(*) FILTER (status = 'ERASED') AS erased, min(erase_cnt) AS min_ec, max(erase_cnt) AS max_ec, coalesce(max(CASE WHEN sector = 0 AND status = 'ACTIVE' THEN 4096 - write_off END), 0) AS room FROM sec),
+CAND = LAID + """, tot AS (SELECT count(*) FILTER (status = 'ERASED') AS erased, min(erase_cnt) AS min_ec, max(erase_cnt) AS max_ec, coalesce(min(erase_cnt) FILTER (status <> 'ERASED'), 0) AS used_min, coalesce(max(erase_cnt) FILTER (status <> 'ERASED'), 0) AS used_max, coalesce(max(CASE WHEN sector = 0 AND status = 'ACTIVE' THEN 4096 - write_off END), 0) AS room FROM sec),
  c0 AS (SELECT *, CASE WHEN status = 'ERASED' THEN 0 ELSE greatest(write_off - 16, 0) END AS used, sector <> 0 AND status IN ('ACTIVE', 'SEALED') AS mine, room + 4080 * erased AS avail FROM sec, tot),
- c1 AS (SELECT *, greatest(used - garbage_bytes, 0) AS live, CASE WHEN used > 0 THEN garbage_bytes * 100 // used ELSE 0 END AS gpct, (erase_cnt - min_ec) * 100 // (CASE WHEN max_ec > min_ec THEN max_ec - min_ec ELSE 1 END) AS wpct FROM c0),
+ c1 AS (SELECT *, greatest(used - garbage_bytes, 0) AS live, CASE WHEN used > 0 THEN garbage_bytes * 100 // used ELSE 0 END AS gpct, (erase_cnt - used_min) * 100 // (CASE WHEN used_max > used_min THEN used_max - used_min ELSE 1 END) AS wpct FROM c0),
  cand AS (SELECT *, 7 * gpct + 3 * wpct + CASE WHEN live = 0 THEN 100 ELSE 100 - least(live * 100 // 4080, 100) END AS score, CASE WHEN erased > 2 THEN 20 WHEN erased = 2 THEN 5 ELSE 1 END AS threshold FROM c1)"""
 
 
@@ -323,11 +323,11 @@ def kv_runtime_stats(spark, sf_dir):
     return ops.agg(F.count(F.when(F.col("op") == "set", 1)).alias("write_ops"), F.count(F.when(F.col("op") == "delete", 1)).alias("delete_ops"))
 
 
-@query()
+@query(f"WITH {KV}, o AS (SELECT cast(cast(key AS INT) // 10 AS VARCHAR) AS series, op, lag(op) OVER (PARTITION BY key ORDER BY seq) AS last FROM kv) SELECT series, CASE WHEN op = 'delete' AND (last IS NULL OR last = 'delete') THEN 'NOT_FOUND' ELSE 'OK' END AS status, count(*) AS n FROM o GROUP BY 1, 2")
 def kv_admission(spark, sf_dir):
-    """Status of each operation under the store's capacity, one store for each event type: an ordered fold."""
-    ops = kv_ops(spark, sf_dir).withColumn("series", F.lit("all"))
-    return kv.admit(ops).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """Status of each operation under the store's capacity, one store for each ten users: ordered folds, side by side."""
+    ops = kv_ops(spark, sf_dir).withColumn("series", F.expr("cast(cast(decode(key, 'utf-8') AS int) div 10 AS string)"))
+    return kv.admit(ops).groupBy("series", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- compaction

@@ -16,6 +16,13 @@ KV_RECORD_MAGIC, TS_RECORD_MAGIC = 0xA5, 0xB6
 KV_SECTOR_HEADER, TS_SECTOR_HEADER, KV_RECORD_HEADER, TS_RECORD_HEADER = 16, 20, 16, 12
 KEY_MAX, VALUE_MAX = 32, 4095
 
+#: Fixed values by name, as the engine's configuration gives them.
+CONSTANTS = {
+    "MAX_KEY_LEN": KEY_MAX, "MAX_VAL_LEN": VALUE_MAX, "STATE_WRITING": WRITING, "STATE_VALID": VALID, "STATE_DEAD": DEAD, "TIME_INVALID": INVALID32, "TIME_MAX": TIME_MAX, "SEQ_INVALID": INVALID32, "ADDR_INVALID": INVALID32,
+    "KV_SECTOR_MAGIC": KV_SECTOR_MAGIC, "KV_RECORD_MAGIC": KV_RECORD_MAGIC, "KV_VERSION": 2, "TS_SECTOR_MAGIC": TS_SECTOR_MAGIC, "TS_RECORD_MAGIC": TS_RECORD_MAGIC, "MIN_SECTOR_SIZE": 4096, "MAX_SECTORS": 255,
+    "KV_MIN_SECTORS": 3, "TS_MIN_SECTORS": 2, "WRITE_GRAN_MAX": 3, "GC_GARBAGE_PCT": 20, "GC_WEAR_THRESHOLD": 100, "GC_W_GARBAGE": 7, "GC_W_WEAR": 3, "GC_W_CAPACITY": 1, "STACK_BUF_SIZE": 64,
+}
+
 KV_OPS = "series string, seq long, op string, key binary, value binary"
 TS_OPS = "series string, arrival long, op string, req_time long, data binary"
 KV_LOG = "sector int, offset long, state int, state_name string, key_len int, value_len int, key_hash int, seq long, data_crc int, data_crc_calc int, crc_ok boolean, key binary, value binary, record_size int"

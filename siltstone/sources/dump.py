@@ -61,7 +61,7 @@ def sectors(spark: SparkSession, image: Image) -> DataFrame:
     n = F.floor(total / image.sector_size)
     piece = lambda i: F.struct(i.cast("int").alias("sector"), F.substring("content", (i * image.sector_size + 1).cast("int"), F.lit(image.sector_size)).alias("raw"))
     cut = raw.select(F.transform(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>")), piece).alias("cut"))
-    return cut.select(F.inline("cut")).repartition("sector")
+    return cut.select(F.inline("cut")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sector")
 
 
 def checked_size(spark: SparkSession, image: Image, size: int) -> Image:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schema import KV_OPS, TS_OPS
 
@@ -53,3 +54,28 @@ def read(spark: SparkSession, path: str, kind: int) -> DataFrame:
                     yield pd.DataFrame([(name, k, "append", t, d) for k, t, d in rows], columns=["series", "arrival", "op", "req_time", "data"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, KV_OPS if kind == 1 else TS_OPS)
+
+
+def encoded(ops: DataFrame, kind: int) -> DataFrame:
+    """(place, entry) of operations (seq, op, key, value) or appends (arrival, req_time, data): the bytes of each entry, made in the JVM."""
+    number = lambda c, size: F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(c, 8 * k).bitwiseAND(F.lit(0xFF))), 2, "0") for k in range(size)]))
+    if kind == 1:
+        code = F.when(F.col("op") == "set", 1).when(F.col("op") == "delete", 2).otherwise(3).cast("long")
+        value = F.when(F.col("op") == "set", F.coalesce("value", F.lit(b""))).otherwise(F.lit(b""))
+        return ops.select(F.col("seq").alias("place"), F.concat(number(code, 1), number(F.length("key").cast("long"), 1), number(F.length(value).cast("long"), 2), "key", value).alias("entry"))
+    return ops.where("op = 'append'").select(F.col("arrival").alias("place"), F.concat(number(F.col("req_time").cast("long"), 4), number(F.length("data").cast("long"), 2), "data").alias("entry"))
+
+
+def write(ops: DataFrame, path: str, kind: int) -> None:
+    """One replay file of a log, in its order; entries stream through the driver, as a file has one writer."""
+    spark = ops.sparkSession
+    rows = encoded(ops, kind).persist()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(struct.pack("<IHHI", MAGIC, 1, kind, rows.count()))
+        for row in rows.orderBy("place").toLocalIterator():
+            out.write(bytes(row["entry"]))
+    finally:
+        out.close()
+        rows.unpersist()

@@ -101,3 +101,59 @@ def test_wear_and_geometry(spark):
         Geometry(sector_size=65536).check_ts()
     with pytest.raises(ValueError):
         Geometry(sectors=2).check_kv()
+
+
+def test_two_stores_stay_apart(spark):
+    rows = [("a", 1, "set", bytearray(b"k"), bytearray(b"1")), ("b", 2, "set", bytearray(b"k"), bytearray(b"2")), ("b", 3, "set", bytearray(b"j"), bytearray(b"3"))]
+    now = kv.current(spark.createDataFrame(rows, "series string, seq long, op string, key binary, value binary"))
+    keys = spark.createDataFrame([("a", bytearray(b"k")), ("a", bytearray(b"j")), ("b", bytearray(b"k"))], "series string, key binary")
+    assert sorted((r["series"], r["status"], bytes(r["value"] or b"")) for r in kv.multi_get(now, keys).collect()) == [("a", "NOT_FOUND", b""), ("a", "OK", b"1"), ("b", "OK", b"2")]
+    assert kv.exists(now, keys).count() == 2 and kv.get(now.where("series = 'b'"), b"k").count() == 1
+
+
+def test_records_never_cross_a_sector(spark):
+    rng = random.Random(7)
+    log = ops(spark, [("set", b"k%d" % (k % 9), bytes(rng.randrange(0, 3000))) for k in range(120)])
+    at = 0
+    for r in kv.place(log, chunk=16).orderBy("sector", "offset").collect():
+        assert r["offset"] + r["record_size"] <= 4096 and r["seq"] == at
+        at += 1
+
+
+def test_an_iterator_notices_changes(spark):
+    log = ops(spark, [("set", b"k%d" % k, b"v") for k in range(4)])
+    placed = kv.place(log)
+    noted = kv.generation(log).first()["generation"]
+    assert kv.next_page(log, placed, noted, None, 3)[0] == "OK" and kv.next_page(log, placed, noted, (0, 4000), 3)[0] == "ITER_END"
+    assert kv.next_page(log.union(log.limit(1)), placed, noted, None, 3)[0] == "BUSY"
+
+
+def test_collection_keeps_what_is_visible(spark):
+    rng = random.Random(3)
+    rows = [("set", b"k%02d" % rng.randrange(60), bytes(rng.randrange(50, 900))) for _ in range(90)]
+    log = ops(spark, rows)
+    laid = kv.place(log).join(kv.versions(log).select("series", "seq", "live"), ["series", "seq"]).selectExpr("series", "cast(sector AS int) AS sector", "offset", "seq", "key", "live", "seq <> 70 AS crc_ok", "record_size")
+    tops = {}
+    for r in laid.collect():
+        tops[r["sector"]] = max(tops.get(r["sector"], 0), r["offset"] + r["record_size"])
+    used = len(tops)
+    sectors_ = spark.createDataFrame([("s", k, "ACTIVE" if k == used - 1 else "SEALED", int(w), 5 + k) for k, w in tops.items()] + [("s", used, "ERASED", 16, 1)], "series string, sector int, status string, write_off long, erase_cnt long")
+    got = gc.ensure_space(laid, sectors_, Geometry(sectors=16)).collect()
+    want = {(bytes(r["key"]), r["seq"]) for r in laid.where("live AND crc_ok").collect()}
+    records = [r for r in got if r["type"] == "record"]
+    assert {(bytes(r["key"]), r["old_seq"]) for r in records} == want and len({(r["sector"], r["offset"]) for r in records}) == len(want)
+    after = {r["sector"]: r for r in got if r["type"] == "sector"}
+    stats = next(r for r in got if r["type"] == "stats")
+    erased = sum(r["status"] == "ERASED" for r in after.values())
+    assert stats["gc_runs"] >= 1 and stats["gc_reclaimed_bytes"] == 4080 * stats["gc_runs"] and sum(r["status"] == "ACTIVE" for r in after.values()) == 1
+    assert erased >= 1 and stats["gc_migrated_recs"] == sum(r["seq"] != r["old_seq"] for r in records)
+    assert sum(r["erase_cnt"] for r in after.values()) == sum(5 + k for k in tops) + 1 + stats["gc_runs"]
+    assert all(r["sector"] in after and after[r["sector"]]["status"] != "ERASED" for r in records)
+
+
+def test_counters_start_anew_after_a_reset(spark):
+    from siltstone.operators import metrics
+
+    rows = [("a", 1, "write_ops", 1), ("a", 2, "reset", 1), ("a", 3, "write_ops", 1), ("a", 4, "gc_reclaimed_bytes", 4080), ("b", 1, "read_ops", 1), ("c", 1, "reset", 1)]
+    got = {r["series"]: r for r in metrics.counters(spark.createDataFrame(rows, "series string, at long, counter string, amount long"), metrics.KV_COUNTERS).collect()}
+    assert (got["a"]["write_ops"], got["a"]["gc_reclaimed_bytes"], got["b"]["read_ops"], got["c"]["write_ops"]) == (1, 4080, 1, 0)

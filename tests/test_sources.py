@@ -118,3 +118,36 @@ def test_streamed_upserts(spark, tmp_path):
     stateful.upsert(stream, str(tmp_path / "table"), str(tmp_path / "c2")).awaitTermination()
     now = stateful.read_current(df, str(tmp_path / "table"))
     assert {bytes(r["key"]): r["seq"] for r in now.collect()} == {bytes(r["key"]): r["seq"] for r in kv.current(df).collect()}
+
+
+def test_faults_are_seen(spark, tmp_path):
+    from siltstone.sources import layout
+
+    raw, _ = kv_image()
+    hurt = layout.flipped(raw, 69 + 16 + 4, 1, 0x20)  # a byte of the value of the record at 69
+    d = opened(spark, tmp_path, hurt)
+    assert [(r["message"], r["offset"]) for r in d.anomalies.collect()] == [("KVDB VALID record CRC mismatch", 69)] and dump.verify(d) == "FAILED"
+    whole = kv_record(b"wifi", b"new", 7, 0xFF)
+    cut = layout.cut_write(raw, 121, whole, 18)
+    assert cut[121:139] == whole[:18] and cut[139] == 0xFF
+    with pytest.raises(ValueError):
+        layout.programmed(raw, 16, b"\xff")
+    assert layout.programmed(raw, 17, b"\xfc")[17] == 0xFC
+
+
+def test_a_made_sector_reads_back(spark, tmp_path):
+    from siltstone.sources import layout
+
+    made = layout.kv_sector(4, 9, [(254, b"key", b"value", 7, 11, 0), (252, b"k", b"", 8, 12, 0)], 4096, 4)
+    d = opened(spark, tmp_path, made, write_gran=2)
+    assert [(r["key"], r["seq"], r["state_name"], r["record_size"], r["crc_ok"]) for r in d.records.orderBy("offset").collect()] == [("key", 11, "VALID", 28, True), ("k", 12, "DEAD", 20, True)]
+    head = d.rows.where("type = 'sector_header'").first()
+    assert head["hdr_crc_ok"] and (head["erase_cnt"], head["create_seq"]) == (4, 9)
+    with pytest.raises(ValueError):
+        dump.checked_size(spark, dump.Image(str(tmp_path / "image.bin")), 8192)
+
+
+def test_an_image_is_read_by_many_tasks(spark, tmp_path):
+    (tmp_path / "image.bin").write_bytes(ts_image() * 8)
+    cut = dump.sectors(spark, dump.Image(str(tmp_path / "image.bin")))
+    assert cut.count() == 64 and cut.rdd.getNumPartitions() > 1 and all(len(r["raw"]) == 4096 for r in cut.collect())
