@@ -48,10 +48,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/siltstone-{spark.sparkContext.applicationId}"
 
 
-def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: the lineage ends there."""
+def stage(df: DataFrame, label: str, narrow: bool = False, **options: str) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: the lineage ends there.
+
+    narrow: a table of a few numbers for each row goes to an eighth of the shuffle's tasks, so that it is not many tiny files.
+    """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    out = df.coalesce(max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)) if narrow else df
+    out.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return df.sparkSession.read.options(**READ).schema(df.schema).parquet(path)
 
 

@@ -14,8 +14,8 @@ with 100 * |A & B| >= 75 * |A | B| are linked; classes are the connected compone
      only if it shares two buckets with other components, and if enough of its shingles stand in other components at all
      (an exact bound: a link needs 0.75 / 1.75 of both sizes together in common).  A heavily edited copy falls out here by
      itself, without being held against the thousands of its group.
-  6. Open members are compared across components within buckets, in cells of at most CELL x CELL members, with the same
-     bounds for each pair; longer signatures (WIDE minima, in the same batches) prune again; the likeliest are verified.  This repeats until no
+  6. Open members are compared across components within buckets, in cells of at most CELL x CELL members, each pair in the
+     first bucket that it shares, with the same bounds for the pair; longer signatures (WIDE minima, in the same batches) prune again; the likeliest are verified.  This repeats until no
      untested candidate joins two components.  So no link between components is lost, and a large group of
      near copies is linked by about as many pairs as it has members.
 Classes and links stay in tables; the driver sees counts only.
@@ -146,18 +146,21 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, words binary, sig binary")
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A bucket for each band of each signature."""
+    bands = sig[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
+    mixed = mix64(bands[:, :, 0].astype(np.uint64) + (np.arange(BANDS, dtype=np.uint64) << np.uint64(40)))
+    for k in range(1, ROWS):
+        mixed = mix64(mixed ^ (bands[:, :, k].astype(np.uint64) + np.uint64(k)))
+    return mixed
+
+
 def buckets(reps: DataFrame) -> DataFrame:
     """(bucket, rep) for each band of each representative."""
 
     def run(batches):
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS)
-            keys = np.empty(sig.shape[:2], np.uint64)
-            for band in range(BANDS):
-                mixed = mix64(sig[:, band, 0].astype(np.uint64) + np.uint64(band << 40))
-                for k in range(1, ROWS):
-                    mixed = mix64(mixed ^ (sig[:, band, k].astype(np.uint64) + np.uint64(k)))
-                keys[:, band] = mixed
+            keys = band_keys(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, -1))
             ids = batch.column("rep").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, BANDS))], ["bucket", "rep"])
 
@@ -246,7 +249,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     linked.append(100 * both >= SHARE * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked)], ["a", "b", "linked"])
 
-    some = small(stage(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "needed"))
+    some = small(stage(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "needed", narrow=True))
     texts = texts.join(some, "rep", "left_semi")
     both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("blob").alias("ta")), "a").join(texts.select(F.col("rep").alias("b"), F.col("blob").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean")
@@ -254,7 +257,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of edges (a, b): label is the smallest node reachable.  Alternating large and small stars."""
-    now = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
+    now = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars", narrow=True)
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -262,7 +265,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small_ = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = stage(small_, "stars")
+        now = stage(small_, "stars", narrow=True)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (seen["n"], seen["h"]) == mark:
             break
@@ -274,7 +277,7 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (node, label) after further links (a, b): only the components that the links touch are settled anew."""
     of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
     edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    new = stage(components(edges), "relabel")
+    new = stage(components(edges), "relabel", narrow=True)
     moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
     return moved.unionByName(new.join(labels.select("node"), "node", "left_anti"))
 
@@ -289,7 +292,7 @@ def several(members: DataFrame) -> DataFrame:
 
 
 def open_members(members: DataFrame, texts: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of members (bucket, rep, label): (bucket, rep, n, shared) of those that may be linked across components, and their (rep, wide) signatures."""
+    """Of members (bucket, rep, label): (bucket, rep, n, shared) of those that may be linked across components, and their (rep, wide, keys): long signatures and buckets."""
 
     def spread(batches):
         opens = zstandard.ZstdDecompressor()
@@ -310,11 +313,12 @@ def open_members(members: DataFrame, texts: DataFrame, reps: DataFrame) -> tuple
             upto = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
             data = np.frombuffer(b"".join(raw), np.uint8)
             for i, j in chunks(upto):
-                sig = (signatures(*shingles(data[upto[i] : upto[j]], upto[i : j + 1] - upto[i]), WIDE) & 0xFFFF).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), pa.array([r.tobytes() for r in sig], pa.binary())], ["rep", "wide"])
+                sig = signatures(*shingles(data[upto[i] : upto[j]], upto[i : j + 1] - upto[i]), WIDE)
+                wide, keys = (sig & 0xFFFF).astype(np.uint16), band_keys(sig)
+                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), pa.array([r.tobytes() for r in wide], pa.binary()), pa.array([r.tobytes() for r in keys], pa.binary())], ["rep", "wide", "keys"])
 
     meeting = stage(members.join(several(members), "bucket"), "meeting")
-    some = stage(meeting.groupBy("rep", "label").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rep", "label"), "meet")
+    some = stage(meeting.groupBy("rep", "label").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rep", "label"), "meet", narrow=True)
     own = stage(texts.join(some, "rep"), "open_texts")
     spread_ = stage(own.select("rep", "label", "blob").mapInArrow(spread, "rep long, label long, shingle long"), "shingles")
     common = spread_.groupBy("shingle").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("shingle")
@@ -323,7 +327,7 @@ def open_members(members: DataFrame, texts: DataFrame, reps: DataFrame) -> tuple
     left = meeting.join(bound, "rep")
     least = left.groupBy("bucket").agg(F.min("n").alias("least"), F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("bucket", "least")
     left = stage(left.join(least, "bucket").where(possible(F.col("n"), F.col("least"), F.col("shared"))).select("bucket", "rep", "n", "shared"), "open")
-    wide = own.join(left.select("rep").distinct(), "rep", "left_semi").select("rep", "blob").mapInArrow(widen, "rep long, wide binary")
+    wide = own.join(left.select("rep").distinct(), "rep", "left_semi").select("rep", "blob").mapInArrow(widen, "rep long, wide binary, keys binary")
     return left, stage(wide, "wide")
 
 
@@ -337,7 +341,8 @@ def proposals(members: DataFrame, wide: DataFrame, tested: DataFrame, each: int)
         """Proposals of whole cells, sorted by cell and then role: pairs of many cells are compared together."""
         column = lambda c: rows.column(c).to_numpy()
         role, rep, label, n, shared = (column(c) for c in ("role", "rep", "label", "n", "shared"))
-        sig = as_bytes(rows.column("wide"))[0].view(np.uint16).reshape(-1, WIDE)
+        sig, keys = as_bytes(rows.column("wide"))[0].view(np.uint16).reshape(-1, WIDE), as_bytes(rows.column("keys"))[0].view(np.uint64).reshape(-1, BANDS)
+        bucket = column("bucket").view(np.uint64)
         cell = np.cumsum(np.concatenate([[True], (column("bucket")[1:] != column("bucket")[:-1]) | (column("i")[1:] != column("i")[:-1]) | (column("j")[1:] != column("j")[:-1])])) - 1
         lines = np.flatnonzero(role == 0)
         begin = np.searchsorted(2 * cell + role, 2 * cell[lines] + 1)
@@ -347,6 +352,9 @@ def proposals(members: DataFrame, wide: DataFrame, tested: DataFrame, each: int)
             a, b = np.repeat(lines[x:y], count[x:y]), gather_ranges(begin[x:y], count[x:y])
             some = (label[a] != label[b]) & possible(n[a], n[b], np.minimum(shared[a], shared[b]))
             a, b = a[some], b[some]
+            # a pair is looked at in the first bucket that it shares
+            some = keys[a, (keys[a] == keys[b]).argmax(1)] == bucket[a]
+            a, b = a[some], b[some]
             own = done.take(pa.array(lines[x:y]))
             if own.null_count < len(own):
                 known = own.flatten().to_numpy(zero_copy_only=False)
@@ -386,7 +394,7 @@ def proposals(members: DataFrame, wide: DataFrame, tested: DataFrame, each: int)
     done = tested.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(tested.select(F.col("b").alias("rep"), F.col("a").alias("other"))).groupBy("rep").agg(F.collect_set("other").alias("tested"))
     lines = lines.join(done, "rep", "left")
     cells = columns.withColumn("tested", F.lit(None).cast("array<bigint>")).unionByName(lines).join(wide, "rep")
-    dealt = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "role").select("bucket", "i", "j", "role", "rep", "label", "n", "shared", "wide", "tested")
+    dealt = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "role").select("bucket", "i", "j", "role", "rep", "label", "n", "shared", "wide", "keys", "tested")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -403,7 +411,7 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = stage(packed(docs).join(known, "words").groupBy("rep").agg(F.min("blob").alias("blob")), "texts")
     pairs = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     tested = stage(verify(stage(prune(pairs, reps), "pruned"), texts), "tested")
-    labels = stage(components(tested.where("linked").select("a", "b")), "labels")
+    labels = stage(components(tested.where("linked").select("a", "b")), "labels", narrow=True)
     left, wide = open_members(relabel(members.select("bucket", "rep"), labels), texts, reps)
     each = PROPOSALS
     while True:
@@ -412,7 +420,9 @@ def classes(docs: DataFrame) -> DataFrame:
         if more.isEmpty():
             break
         new = stage(verify(more, texts), "tested")
-        labels = stage(joined(labels, new.where("linked").select("a", "b")), "labels")
+        links = new.where("linked").select("a", "b")
+        if not links.isEmpty():
+            labels = stage(joined(labels, links), "labels", narrow=True)
         tested = tested.unionByName(new)
     named = relabel(reps.select("words", "rep", "least"), labels)
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
