@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding (operator 3), and the word-piece encoder of operator 8.
 
 Both run the tokenizers library over Arrow batches.  A text is first cut where ASCII white
-space follows another ASCII character and where an ASCII mark follows a Latin letter: no match of either
+space follows another ASCII character or a Latin letter and where an ASCII mark follows a Latin letter: no match of either
 pre-tokenizer's pattern crosses such a place, so each piece can be encoded by itself.  The pieces of a batch are
 dictionary-encoded and the library sees every distinct piece once for as long as the worker
 remembers it (CACHE_BYTES), the rest being array work.
@@ -36,13 +36,12 @@ class Memory(dict):
 
     held = 0
 
-    def learn(self, piece: bytes, ids: bytes) -> bytes:
-        self.held += len(piece) + len(ids) + 200
+    def learn(self, pieces: list[bytes], ids: list[bytes]) -> None:
+        self.held += sum(map(len, pieces)) + sum(map(len, ids)) + 200 * len(pieces)
         if self.held > CACHE_BYTES:
             self.clear()
             self.held = 0
-        self[piece] = ids
-        return ids
+        self.update(zip(pieces, ids))
 
 
 def _library():
@@ -94,6 +93,7 @@ def _merges(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 #: A space or line end, Latin letters (the Latin-1 ones as UTF-8), ASCII marks without the apostrophe.
 PLAIN = re.compile(rb"([ \n]?)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 SHOWN = dict(enumerate(byte_alphabet()))
+SHOWN_WORDS = {k: v for k, v in SHOWN.items() if k != 0x0A}
 
 
 class ByteBpe:
@@ -130,7 +130,7 @@ class ByteBpe:
                     out[i] = self._ids(piece)
                     continue
                 keys = (b" " + word, marks) if lead == b" " else (lead, word, marks)
-                out[i] = b"".join([parts.get(k) or parts.learn(k, self._ids(k)) for k in keys if k])
+                out[i] = b"".join([parts.get(k) or self._remembered(k) for k in keys if k])
             else:
                 rest.append(i)
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False), strict=True):
@@ -140,6 +140,11 @@ class ByteBpe:
     def _ids(self, part: bytes) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(part.decode("latin-1").translate(SHOWN))]).tobytes()
 
+    def _remembered(self, part: bytes) -> bytes:
+        ids = self._ids(part)
+        self.parts.learn([part], [ids])
+        return ids
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the ids.  A character split over several ids comes whole, as bytes are joined first."""
         return self.flat[gather_ranges(self.begins[ids], self.lengths[ids])]
@@ -165,19 +170,35 @@ class WordBpe:
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece, as native uint32 bytes.  Letters and the marks after them are words of their own to the pattern."""
-        out, rest, parts = [b""] * len(pieces), [], self.parts
+        out, rest, jobs, words = [b""] * len(pieces), [], [], []
+        known, parts = self.cache.get, self.parts
         for i, piece in enumerate(pieces):
             if (m := PLAIN(piece.lstrip())) and b"<|" not in piece:
-                out[i] = b"".join([parts.get(k) or parts.learn(k, self._ids(k)) for k in m.groups() if k])
+                _, word, marks = m.groups()
+                ids = known(b" " + word) if marks else None
+                jobs.append((i, ids, len(words), marks))
+                if ids is None:
+                    words.append(word)
             else:
                 rest.append(i)
+        coded = self._ids(words)
+        for i, ids, k, marks in jobs:
+            ids = coded[k] if ids is None else ids
+            if marks and (more := parts.get(marks)) is None:
+                more = self._ids([marks])[0]
+                parts.learn([marks], [more])
+            out[i] = ids + more if marks else ids
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False), strict=True):
             out[i] = array("I", e.ids).tobytes()
         return out
 
-    def _ids(self, part: bytes) -> bytes:
-        shown = part.decode().lower().encode().decode("latin-1").translate(SHOWN)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words without white space: all are lower-cased and mapped to the vocabulary's characters at once."""
+        if not words:
+            return []
+        shown = b"\n".join(words).decode().lower().encode().decode("latin-1").translate(SHOWN_WORDS).split("\n")
+        tokenize = self.model.tokenize
+        return [array("I", [t.id for t in tokenize(x)]).tobytes() for x in shown]
 
 
 def loaded(kind: type, *args: str):
@@ -196,19 +217,18 @@ SECOND[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
 
 
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where pieces begin: at each row, at white space after an ASCII character that is none, and at an ASCII mark after a letter.
+    """Where pieces begin: at each row, at white space after a Latin letter or an ASCII character that is none, and at an ASCII mark after a letter.
 
     The separators 1C-1F count as white space to some patterns, so no cut follows one.  If the text
     may hold a special token's string, marks are no places to cut.
     """
     cut = np.zeros(len(data), bool)
     if len(data):
-        space = IS_SPACE[data]
+        space, letter = IS_SPACE[data], LETTER[data]
         last = data[:-1]
-        cut[1:] = space[1:] & ~space[:-1] & (last < 0x80) & (last > 0x1F)
+        letter[1:] |= (last == 0xC3) & SECOND[data[1:]]
+        cut[1:] = space[1:] & ~space[:-1] & ((last < 0x80) & (last > 0x1F) | letter[:-1])
         if b"<|" not in data.tobytes():
-            letter = LETTER[data]
-            letter[1:] |= (last == 0xC3) & SECOND[data[1:]]
             cut[1:] |= letter[:-1] & MARK[data[1:]]
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
     return np.flatnonzero(cut)
@@ -231,8 +251,11 @@ def encode_rows(bpe, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     codes, distinct, cache = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), bpe.cache
     values = [cache.get(p) for p in distinct]
     if missing := [i for i, v in enumerate(values) if v is None]:
-        for i, ids in zip(missing, bpe.encode_pieces([distinct[i] for i in missing])):
-            values[i] = cache.learn(distinct[i], ids)
+        new = [distinct[i] for i in missing]
+        ids = bpe.encode_pieces(new)
+        for i, v in zip(missing, ids):
+            values[i] = v
+        cache.learn(new, ids)
     lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
     flat = np.frombuffer(b"".join(values), np.uint32)
     begins = np.cumsum(lengths) - lengths
