@@ -5,14 +5,15 @@
    characters with gaps, letters repeated three times or more - become lattices: each symbol may be one of the letters
    it is used for or nothing, each repetition one letter or two, each gap nothing or a word boundary.  Viterbi decoding
    under the character model picks the likeliest words.  Restored words are scored beside the words as written.
-3. A word's evidence is that of its most telling form (the word, or its first 4, 5 or 6 bytes), hashed to a fixed table.
-   The weight of a form is the log odds of the Wilson lower bound of its toxic share, so rare forms say little.
+3. A word's evidence is that of its most telling form (the word, or its first 4, 5 or 6 bytes).  Forms that LEAST toxic documents hold
+   are counted, each by itself, over all labelled documents.  The weight of a form is the log odds of the Wilson lower bound of
+   its toxic share, so rare forms say little.
 4. A document is described by its strongest word, the sum over its telling words and their number; a logistic fit on
    labelled rows that the word weights have not seen turns these into a score.
 
 Labels: rows whose crc32 of the id modulo 4 is 0 or 1 teach the weights, 3 the fit, 2 are held out.  The fit uses at most
 FIT_ROWS of its rows (those with the smallest hash of the id); the weights and the character counts use all.  What is
-broadcast has a fixed size: CLASSES^4 and BUCKETS numbers.
+broadcast is bounded: CLASSES^4 numbers, and FORMS forms (those that the most toxic documents hold).
 
 Cases: a null or empty text has no words and gets the score of no evidence; repeated rows get equal scores; without
 labels, or with labels of one kind, the score is the share of toxic rows (0 without labels); several labels of a
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import IS_SPACE, as_bytes, chunks, mix64, range_hashes, stage
 
-CLASSES, BUCKETS = 28, 1 << 20
+CLASSES = 28
+#: Toxic documents that must hold a form, and the forms that are weighed at most.
+LEAST, FORMS = 3, 1 << 20
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
 #: The letters that symbols stand for.
@@ -219,13 +222,13 @@ def hidden_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def word_forms(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Buckets of the forms of each word, shape (4, words); -1 where the word is too short for a form."""
-    out = np.full((4, len(starts)), -1, np.int64)
-    out[0] = (range_hashes(data, starts, ends) % np.uint64(BUCKETS)).astype(np.int64)
+    """64-bit hashes of the forms of each word, shape (4, words); the word's own again where it is too short for a form."""
+    out = np.empty((4, len(starts)), np.uint64)
+    out[:] = range_hashes(data, starts, ends)
     for row, k in enumerate((4, 5, 6), 1):
         enough = ends - starts > k
-        out[row, enough] = (mix64(range_hashes(data, starts[enough], starts[enough] + k) + np.uint64(k)) % np.uint64(BUCKETS)).astype(np.int64)
-    return out
+        out[row, enough] = mix64(range_hashes(data, starts[enough], starts[enough] + k) + np.uint64(k))
+    return out.view(np.int64)
 
 
 def words_with_restored(data: np.ndarray, offsets: np.ndarray, decoder: Decoder) -> tuple[np.ndarray, np.ndarray]:
@@ -252,26 +255,35 @@ def part_of(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def form_counts(rows: DataFrame, model) -> DataFrame:
-    """(bucket, toxic, clean): documents that hold a form, over rows of (text, toxic)."""
+def form_counts(rows: DataFrame, model, among=None) -> DataFrame:
+    """(form, n): documents that hold a form, over rows of (text); among: a broadcast sorted array of the forms to count."""
 
     def run(batches):
         decoder = Decoder(model.value)
-        seen = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             data, offsets = as_bytes(batch.column("text"))
-            toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
             for i, j in chunks(offsets):
-                rows, forms = words_with_restored(fold(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i], decoder)
-                keys = (rows[None] * BUCKETS + forms)[forms >= 0]
-                keys = np.unique(keys)
-                kind = (toxic[i:j] > 0).astype(np.int64)[keys // BUCKETS]
-                for k in (0, 1):
-                    seen[k] += np.bincount(keys[kind == k] % BUCKETS, minlength=BUCKETS)
-        some = np.flatnonzero(seen.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[1, some]), pa.array(seen[0, some])], ["bucket", "toxic", "clean"])
+                own, forms = words_with_restored(fold(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i], decoder)
+                own, forms = np.broadcast_to(own, forms.shape).reshape(-1), forms.reshape(-1)
+                if among is not None:
+                    hit = found_in(among.value, forms) >= 0
+                    own, forms = own[hit], forms[hit]
+                order = np.lexsort((own, forms))
+                own, forms = own[order], forms[order]
+                new = np.ones(len(forms), bool)
+                new[1:] = (forms[1:] != forms[:-1]) | (own[1:] != own[:-1])
+                kinds, n = np.unique(forms[new], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n.astype(np.int64))], ["form", "n"])
+
+    return rows.select("text").mapInArrow(run, "form long, n long").groupBy("form").agg(F.sum("n").alias("n"))
+
 
-    return rows.select("text", "toxic").mapInArrow(run, "bucket int, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+def found_in(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Where each value stands in a sorted table, or -1."""
+    if not len(table):
+        return np.full(values.shape, -1, np.int64)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return np.where(table[at] == values, at, -1)
 
 
 def weights_of(toxic: np.ndarray, clean: np.ndarray, share: float, z: float = 3.0) -> np.ndarray:
@@ -287,16 +299,20 @@ def digests(docs: DataFrame, model, weights, keep: tuple[str, ...] = ()) -> Data
     """(doc_id, top, total, telling, and what to keep): each text's strongest word, the sum over its distinct telling words, their number."""
 
     def run(batches):
-        decoder, table = Decoder(model.value), np.append(weights.value, 0.0)
+        (known, w_of), decoder = weights.value, Decoder(model.value)
+        w_of = np.append(w_of, 0.0)
         for batch in batches:
             data, offsets = as_bytes(batch.column("text"))
             for i, j in chunks(offsets):
                 n = j - i
                 rows, forms = words_with_restored(fold(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i], decoder)
-                w = table[forms].max(0) if forms.shape[1] else np.zeros(0)
+                w = w_of[found_in(known, forms)].max(0) if forms.shape[1] else np.zeros(0)
                 some = w > 0
                 rows, words, w = rows[some], forms[0, some], w[some]
-                _, first = np.unique(rows * BUCKETS + words, return_index=True)
+                order = np.lexsort((words, rows))
+                rows, words, w = rows[order], words[order], w[order]
+                first = np.ones(len(rows), bool)
+                first[1:] = (rows[1:] != rows[:-1]) | (words[1:] != words[:-1])
                 rows, w = rows[first], w[first]
                 top = np.zeros(n)
                 np.maximum.at(top, rows, w)
@@ -328,12 +344,17 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> Dat
     taught = docs.select("doc_id", "text").where(part_of(F.col("doc_id")) < 2).join(known.where("part < 2").hint("shuffle_merge"), "doc_id")
     kinds = {r["toxic"] > 0: r["n"] for r in known.where("part <> 2").groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     share = kinds.get(True, 0) / max(1, sum(kinds.values()))
-    table = np.zeros(BUCKETS)
+    known_forms, weights = np.zeros(0, np.int64), np.zeros(0)
     if kinds.get(True) and kinds.get(False):
-        forms = form_counts(taught, model).where("toxic >= 3 AND toxic > clean").toPandas()  # BUCKETS rows at most
-        if len(forms):
-            table[forms["bucket"].to_numpy()] = weights_of(forms["toxic"].to_numpy(np.float64), forms["clean"].to_numpy(np.float64), share)
-    described = stage(digests(docs, model, spark.sparkContext.broadcast(table), keep), "digests")
+        often = form_counts(taught.where("toxic > 0"), model).where(F.col("n") >= LEAST)
+        often = often.orderBy(F.desc("n"), "form").limit(FORMS).toPandas().sort_values("form")  # FORMS rows at most
+        known_forms, toxic = often["form"].to_numpy(np.int64), often["n"].to_numpy(np.float64)
+        rest = form_counts(taught.where("toxic <= 0"), model, spark.sparkContext.broadcast(known_forms)).toPandas()
+        clean = np.zeros(len(known_forms))
+        clean[found_in(known_forms, rest["form"].to_numpy(np.int64))] = rest["n"].to_numpy(np.float64)
+        weights = weights_of(toxic, clean, share) if len(toxic) else weights
+        known_forms, weights = known_forms[weights > 0], weights[weights > 0]
+    described = stage(digests(docs, model, spark.sparkContext.broadcast((known_forms, weights)), keep), "digests")
     x = [F.col("top"), F.log1p("total"), F.log1p("telling")]
     sample = described.where(part_of(F.col("doc_id")) == 3).join(known.where("part = 3"), "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", *[c.alias(f"x{k}") for k, c in enumerate(x)], (F.col("toxic") > 0).cast("int").alias("y")).orderBy("h", "doc_id").limit(FIT_ROWS).toPandas()
     if sample["y"].nunique() == 2:
