@@ -86,17 +86,22 @@ def pack(payload: bytes, codec: str) -> bytes:
 
 
 def unpack(media: bytes) -> tuple[str, memoryview] | None:
-    """Codec and sample bytes of a WAV file, by its chunks; None if it is not one of CODECS."""
+    """Codec and sample bytes of a WAV file, by its chunks; None if it is not one of CODECS with one channel, or is cut short."""
     view = memoryview(media)
     if len(view) < 12 or bytes(view[:4]) != b"RIFF" or bytes(view[8:12]) != b"WAVE":
         return None
     at, codec = 12, None
     while at + 8 <= len(view):
         kind, n = bytes(view[at : at + 4]), struct.unpack_from("<I", view, at + 4)[0]
-        if kind == b"fmt ":
-            codec = {v: k for k, v in CODECS.items()}.get(struct.unpack_from("<H", view, at + 8)[0])
+        if at + 8 + n > len(view):
+            return None
+        if kind == b"fmt " and n >= 16:
+            code, channels, _, _, align = struct.unpack_from("<HHIIH", view, at + 8)
+            codec = {v: k for k, v in CODECS.items()}.get(code) if channels == 1 else None
+            if codec == "adpcm" and align != BLOCK:
+                codec = None
         if kind == b"data":
-            return (codec, view[at + 8 : at + 8 + n]) if codec else None
+            return (codec, view[at + 8 : at + 8 + n]) if codec and (codec != "adpcm" or n % BLOCK == 0) else None
         at += 8 + n + (n & 1)
     return None
 
@@ -183,7 +188,7 @@ def features(pcm: np.ndarray, double: np.ndarray, codec: str) -> str:
     wide = pcm.astype(np.int32)
     size = np.abs(wide)
     signs = int(np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0)))
-    return f"{codec}:{len(pcm)}:{int(size.max())}:{int(size.sum(dtype=np.int64)) // len(pcm)}:{signs}:{zlib.crc32(double.astype('<i2').tobytes()):08x}"
+    return f"{codec}:{len(pcm)}:{int(size.max(initial=0))}:{int(size.sum(dtype=np.int64)) // max(1, len(pcm))}:{signs}:{zlib.crc32(double.astype('<i2').tobytes()):08x}"
 
 
 def digests(media: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0), total:
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     if weight is not None:
         expected = F.when(F.col("heavy") > 0, F.least(F.col("target") * F.col("weight") / F.col("heavy"), F.lit(float(cap)))).otherwise(0.0)
-    rows = sizes.join(small(facts), F.col("source").eqNullSafe(F.col("of"))).drop("of", "heavy", "weight").withColumn("ratio", expected)
+    rows = sizes.join(small(facts), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("ratio", expected).drop("heavy", "weight")
     rows = rows.withColumn("whole", F.floor("ratio")).withColumn("p", F.col("ratio") - F.col("whole"))
     u = F.col("u")
     odds = F.when((F.col("p") > 0) & (F.col("p") < 1), (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))

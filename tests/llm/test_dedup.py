@@ -262,7 +262,8 @@ def test_balanced_parts():
 def test_pipeline_stages(spark, docs, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     df, rows = docs
-    df = df.drop("key")
+    for name in ("row", "copy", "gone", "kept", "copies", "class", "odds"):
+        df = df.withColumn(name, F.concat(F.lit(name), F.col("doc_id")))
     labels = spark.createDataFrame([(k, 1, 0) for k in range(50)], "doc_id long, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     df.write.parquet(str(tmp_path / "documents.parquet"))
@@ -274,7 +275,8 @@ def test_pipeline_stages(spark, docs, tmp_path):
         now = spark.read.parquet(str(tmp_path / name))
         sizes.append(now.count())
         if name != "encode":
-            assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            assert now.columns == df.columns
+            assert all(r[c] == f"{c}{r['doc_id']}" for r in now.collect() for c in ("row", "copy", "gone", "kept", "copies", "class", "odds"))
     classes = {r["component_id"] for r in neardup.classes(df).collect()}
     assert sizes[0] == len(rows) and len(classes) <= sizes[1] <= len(classes) + 2 and sizes[2] <= sizes[1]
     assert pipeline.run(spark, str(tmp_path)).count() == sizes[-1]
