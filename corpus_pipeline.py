@@ -26,12 +26,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class stays: that with the smallest id, null ids last, then the first row.  A row without words
-    is a copy only of rows without words that share its id."""
+    is a copy only of rows without words that share its id, and of none without an id."""
     rows = numbered(docs)
     classes = neardup.classes(rows.select(F.col(ROW).alias("doc_id"), "text")).withColumnRenamed("doc_id", ROW)
     members = classes.join(rows.select(ROW, "doc_id"), ROW)
     empty = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
-    kept = members.groupBy((F.col("n_shingles") == 0).alias("none"), empty.alias("empty"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("class"))
+    kept = members.groupBy((F.col("n_shingles") == 0).alias("none"), empty.alias("empty"), F.when((F.col("n_shingles") > 0) | F.col("doc_id").isNull(), F.col("component_id")).alias("class"))
     kept = kept.agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW)).alias("least")).select(f"least.{ROW}")
     return rows.join(kept, ROW, "left_semi").select(docs.columns)
 
