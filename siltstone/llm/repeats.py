@@ -19,8 +19,8 @@ A text that equals another as a whole needs no search: its weight says that each
 Equality is never left to a hash that can be made to collide: fragments are equal by a cryptographic digest of 128 bits (of
 the bytes, or of the words with one space between), in an index words are numbered by their bytes and common prefixes are compared symbol by symbol.
 
-Nothing is capped: a shard works through its anchors in batches of about BATCH symbols, and an anchor with more texts than that
-is one larger batch.
+Nothing is capped: a shard works through its anchors in batches of about BATCH symbols.  An anchor with more than LARGEST times that (a
+passage that very many documents share, each in its own surroundings) is settled exactly by its windows, one by one, in all tasks.
 
 Cases: null and empty texts, and texts shorter than a window, lose nothing; repeated rows are documents of their own, so
 a repeated text of at least L symbols goes whole; rows that share a doc_id are kept apart by their text or number; an
@@ -42,6 +42,8 @@ from .common import as_bytes, chunks, load8, mix64, powers, range_hashes, single
 WORDS, BYTES = ("words", 35, 8), ("bytes", 400, 200)
 #: Symbols that a shard indexes at once, at least.
 BATCH = {"words": 1_000_000, "bytes": 2_000_000}
+#: An anchor whose different texts hold more than so many batches is not indexed at once but settled window by window.
+LARGEST = 2
 #: Bytes of text whose hashes are worked out at once: their arrays stay near the processor.
 NEAR = 500_000
 #: Windows of a fragment, at most.
@@ -426,6 +428,37 @@ def search_shards(texts: DataFrame, unit: str, length: int) -> DataFrame:
     return texts.mapInArrow(run, "anchor long, f1 long, f2 long, spans array<int>")
 
 
+def window_spans(texts: DataFrame, unit: str, length: int) -> DataFrame:
+    """The same as search_shards for anchors that are too large for an index: each window by itself, by its digest.
+
+    A window is a row, so an anchor of any size is dealt to all tasks, and equal windows are counted before they are moved.
+    """
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("anchor", "f1", "f2", "n", "text")]
+            last = None
+            for anchor, f1, f2, n, text in zip(*columns):
+                if (anchor, f1, f2) == last:
+                    continue  # see search_shards
+                last = (anchor, f1, f2)
+                data = np.frombuffer(text, np.uint8)
+                if unit == "bytes":
+                    content, starts = text, np.arange(len(data) - length + 1)
+                    ends = starts + length
+                else:
+                    _, starts, ends = layout(unit, data, np.array([0, len(data)]))
+                    content, starts, ends = single_spaced(data, starts, ends)
+                    starts, ends = starts[: len(starts) - length + 1], ends[length - 1 :]
+                d, k = digests_of(content, starts, ends), len(starts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, v, np.int64)) for v in (anchor, f1, f2, n)] + [pa.array(np.arange(k, dtype=np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])], ["anchor", "f1", "f2", "n", "at", "d1", "d2"])
+
+    rows = stage(texts.mapInArrow(run, "anchor long, f1 long, f2 long, n long, at int, d1 long, d2 long"), "windows")
+    twice = rows.groupBy("d1", "d2").agg(F.sum("n").alias("c")).where("c > 1").select("d1", "d2")
+    found = rows.join(twice, ["d1", "d2"]).groupBy("anchor", "f1", "f2").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    return found.select("anchor", "f1", "f2", F.flatten(F.transform("at", lambda x: F.array(x, x + F.lit(length)))).alias("spans"))
+
+
 # ---- the whole plan
 
 
@@ -508,13 +541,20 @@ def repeated_spans(docs: DataFrame, own: DataFrame, kind: tuple[str, int, int])
     twice = fragments_.groupBy("anchor").agg(F.sum("seen").alias("c")).where("c > 1").select("anchor")
     live = stage(fragments_.select("key", "anchor", "f1", "f2", "start", "size").join(twice, "anchor"), "live")
     each = live.groupBy("anchor", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start", "size")).alias("at"))
-    kinds = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    kinds = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("at.size").alias("held"))
     each = stage(each.join(kinds, "anchor"), "texts")
     # an anchor with one text: its weight alone says that all of it is repeated
     whole = (F.col("kinds") == 1) & (F.col("n") > 1)
-    wanted = each.where(~whole).groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("anchor", "f1", "f2", "n", F.col("at.start").alias("start"), F.col("at.size").alias("size"))).alias("wanted"))
-    texts = cut_texts(own, wanted, unit).repartition("anchor").sortWithinPartitions("anchor", "f1", "f2")
-    reported = search_shards(texts, unit, length)
+    huge = F.col("held") > LARGEST * BATCH[unit]
+
+    def texts_of(some) -> DataFrame:
+        wanted = each.where(~whole & some).groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("anchor", "f1", "f2", "n", F.col("at.start").alias("start"), F.col("at.size").alias("size"))).alias("wanted"))
+        return cut_texts(own, wanted, unit)
+
+    reported = search_shards(texts_of(~huge).repartition("anchor").sortWithinPartitions("anchor", "f1", "f2"), unit, length)
+    if not each.where(~whole & huge).isEmpty():
+        rest = texts_of(huge).repartition("anchor", "f1", "f2").sortWithinPartitions("anchor", "f1", "f2")
+        reported = reported.unionByName(window_spans(rest, unit, length))
     reported = reported.unionByName(each.where(whole).select("anchor", "f1", "f2", F.array(F.lit(0), F.col("at.size")).alias("spans")))
     hits = live.select("key", "anchor", "f1", "f2", "start").join(reported, ["anchor", "f1", "f2"])
     return hits.select("key", F.transform("spans", lambda s: s + F.col("start")).alias("spans")).groupBy("key").agg(F.collect_list("spans").alias("spans"))

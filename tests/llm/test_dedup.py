@@ -62,6 +62,15 @@ def test_repeats_equal_brute_force(spark, docs, kind):
     assert got == want
 
 
+@pytest.mark.parametrize("kind", [("words", 6, 3), ("bytes", 20, 7)])
+def test_large_anchors_are_settled_by_their_windows(spark, docs, kind, monkeypatch):
+    monkeypatch.setattr(repeats, "LARGEST", 0.00002)
+    df, rows = docs
+    want = sorted((r[0], *x) for r, x in zip(rows, removed([r[1] for r in rows], kind[1], kind[0] == "words")))
+    got = sorted((r["doc_id"], r["n"], r["n_removed"], r["kept_sha256"]) for r in repeats.dedup(df, kind).collect())
+    assert got == want
+
+
 @given(st.lists(st.lists(st.integers(0, 2), max_size=25), min_size=1, max_size=6), st.integers(2, 5), st.booleans(), st.lists(st.integers(1, 3), min_size=6, max_size=6))
 @settings(max_examples=200, deadline=None)
 def test_indexes_find_every_window(texts, length, run_length, weights):
@@ -253,6 +262,16 @@ def test_neighbours(spark, n, common):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_few_parts_are_probed_where_the_vectors_cluster():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 48))[rng.integers(0, 200, 4000)] + 0.4 * rng.standard_normal((4000, 48))
+    router, probes = ann.fit(x, 32)
+    assert probes <= 4
+    near, best = ann.neighbour_graph(x), np.argsort(-router(x), axis=1)
+    hits = (best[:, None, :probes] == best[near, 0][:, :, None]).any(2)
+    assert hits.mean() >= 0.9
+
+
 def test_balanced_parts():
     x = np.random.default_rng(4).standard_normal((500, 8))
     sizes = np.bincount(ann.partition(ann.neighbour_graph(x), 8))
