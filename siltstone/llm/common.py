@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import tempfile
 import uuid
@@ -48,12 +49,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/siltstone-{spark.sparkContext.applicationId}"
 
 
+_SCOPE: list[str] = []
+
+
+@contextlib.contextmanager
+def scope(name: str) -> Iterator[str]:
+    """What is staged inside goes to a folder of its own, by which it can be dropped."""
+    _SCOPE.append(name)
+    try:
+        yield name
+    finally:
+        _SCOPE.pop()
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stage(df: DataFrame, label: str, narrow: bool = False, **options: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage ends there.
 
     narrow: a table of a few numbers for each row goes to an eighth of the shuffle's tasks, so that it is not many tiny files.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = "/".join([shared_dir(df.sparkSession), *_SCOPE, f"{label}-{uuid.uuid4().hex}"])
     out = df.coalesce(max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)) if narrow else df
     out.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return df.sparkSession.read.options(**READ).schema(df.schema).parquet(path)
@@ -66,8 +85,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def drop_stages(spark: SparkSession) -> None:
     """Delete every staged table of this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_path(spark, shared_dir(spark))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_bytes, chunks, load8, mix64, powers, range_hashes, single_spaced, stage, word_numbers, words_of
 
@@ -482,11 +483,15 @@ def cut_texts(docs: DataFrame, wanted: DataFrame, unit: str) -> DataFrame:
                 raw = part.tobytes()
                 yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in ("anchor", "f1", "f2", "n")), pa.array([raw[x:y] for x, y in zip(a, b)], pa.binary()), pa.array(size.astype(np.int32))], ["anchor", "f1", "f2", "n", "text", "size"])
 
-    return docs.join(wanted, "key").select("text", "wanted").mapInArrow(run, "anchor long, f1 long, f2 long, n long, text binary, size int")
+    # every column goes on, so that Spark deals the texts once for this and for `remove`
+    return docs.join(wanted, "key").mapInArrow(run, "anchor long, f1 long, f2 long, n long, text binary, size int")
 
 
-def remove(docs: DataFrame, spans_of: DataFrame, unit: str, keep_text: bool = False) -> DataFrame:
-    """doc_id, n, n_removed, n_spans, kept_sha256 (and the kept text as bytes) of docs (doc_id, key, text) without the spans."""
+def remove(docs: DataFrame, spans_of: DataFrame, unit: str, keep_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n, n_removed, n_spans, kept_sha256 of docs (doc_id, key, text) without the spans, and the columns to keep.
+
+    keep_text: also `kept`, the text that is left as bytes: as it was (null included) where nothing goes.
+    """
 
     def run(batches):
         for batch in batches:
@@ -521,17 +526,23 @@ def remove(docs: DataFrame, spans_of: DataFrame, unit: str, keep_text: bool = Fa
                 columns = [batch.column("doc_id").slice(i, j - i), pa.array(np.diff(bounds).astype(np.int64)), pa.array((upto[bounds[1:]] - upto[bounds[:-1]]).astype(np.int64)), pa.array((runs[bounds[1:]] - runs[bounds[:-1]]).astype(np.int64)), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
                 names = ["doc_id", "n", "n_removed", "n_spans", "kept_sha256"]
                 if keep_text:
-                    columns, names = [*columns, pa.array(kept, pa.binary()), batch.column("key").slice(i, j - i)], [*names, "kept", "key"]
+                    gone_in = upto[bounds[1:]] > upto[bounds[:-1]]
+                    was = batch.column("text").slice(i, j - i)
+                    left = [k if g else raw[a:b] if v else None for k, g, a, b, v in zip(kept, gone_in, own[:-1].tolist(), own[1:].tolist(), was.is_valid().to_pylist())]
+                    columns, names = [*columns, pa.array(left, pa.binary())], [*names, "kept"]
+                columns, names = [*columns, *(batch.column(c).slice(i, j - i) for c in keep)], [*names, *keep]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    joined = docs.join(spans_of, "key", "left").select("doc_id", "key", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, key long" * keep_text)
+    joined = docs.join(spans_of, "key", "left").select("doc_id", "key", "text", "spans", *keep)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
+    schema = schema.add("kept", T.BinaryType()) if keep_text else schema
+    return joined.mapInArrow(run, T.StructType([*schema.fields, *(docs.schema[c] for c in keep)]))
 
 
-def keyed(docs: DataFrame, number: str | None = None) -> DataFrame:
-    """(doc_id, key, text): the key is the row's number, or made of the id and a digest of the text."""
+def keyed(docs: DataFrame, number: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, key, text, and what to keep): the key is the row's number, or made of the id and a digest of the text."""
     key = F.col(number) if number else F.xxhash64("doc_id", F.sha2("text", 256))
-    return docs.select("doc_id", key.alias("key"), "text")
+    return docs.select("doc_id", key.alias("key"), "text", *keep)
 
 
 def repeated_spans(docs: DataFrame, own: DataFrame, kind: tuple[str, int, int]) -> DataFrame:
@@ -560,8 +571,7 @@ def repeated_spans(docs: DataFrame, own: DataFrame, kind: tuple[str, int, int])
     return hits.select("key", F.transform("spans", lambda s: s + F.col("start")).alias("spans")).groupBy("key").agg(F.collect_list("spans").alias("spans"))
 
 
-def dedup(docs: DataFrame, kind: tuple[str, int, int], keep_text: bool = False, number: str | None = None) -> DataFrame:
-    """doc_id, n, n_removed, n_spans, kept_sha256 of every row (and key and kept text); number: a column that numbers the rows."""
-    rows = keyed(docs, number)
-    own = rows.repartition("key")  # every later use reads these columns, so Spark deals them once
-    return remove(own, repeated_spans(rows, own, kind), kind[0], keep_text)
+def dedup(docs: DataFrame, kind: tuple[str, int, int], keep_text: bool = False, number: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n, n_removed, n_spans, kept_sha256 of every row (see `remove`); number: a column that numbers the rows."""
+    own = keyed(docs, number, keep).repartition("key")  # every later use reads these columns, so Spark deals them once
+    return remove(own, repeated_spans(keyed(docs, number), own, kind), kind[0], keep_text, keep)
