@@ -10,11 +10,13 @@ through every stage; an empty table passes through as one; ties are settled by i
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, mixing, neardup, repeats, toxicity
-from siltstone.llm.common import ROW, numbered, stage, table
+from siltstone.llm.common import ROW, drop_path, numbered, scope, shared_dir, stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +41,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated windows go.  A text that loses words becomes the kept words joined by one space, n_chars its new
     length; the others stay as they are, and a document that loses every word goes."""
-    rows = numbered(docs)
-    cut = repeats.dedup(rows, repeats.WORDS, keep_text=True, number=ROW).where("n_removed > 0")
-    cut = cut.select(F.col("key").alias(ROW), F.col("kept").cast("string").alias(f"{ROW}_text"), (F.col("n_removed") == F.col("n")).alias(f"{ROW}_gone"))
-    rows = rows.join(cut, ROW, "left").where(f"{ROW}_gone IS NULL OR NOT {ROW}_gone")
-    new = F.col(f"{ROW}_text")
-    changed = {"text": F.coalesce(new, F.col("text")), "n_chars": F.when(new.isNull(), F.col("n_chars")).otherwise(F.length(new).cast("long"))}
-    return rows.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    rest = f"{ROW}_rest"  # the other columns travel as one
+    rows = numbered(docs.withColumn(rest, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])).select("doc_id", "text", rest))
+    cut = repeats.dedup(rows, repeats.WORDS, keep_text=True, number=ROW, keep=(rest,)).where("n_removed = 0 OR n_removed < n")
+    text = F.col("kept").cast("string")
+    changed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col(f"{rest}.n_chars")) if "n_chars" in docs.columns else None}
+    return cut.select(*[changed[c].alias(c) if c in changed else F.col(rest)[c].alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +63,26 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("n_bytes")
 
 
-STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("substring_dedup", drop_passages), ("mix", mix_sources), ("encode", encode)]
+_TABLES: list[str] = []
+
+
+def staged(name: str, function):
+    """The stage, with its tables in a folder of their own.  Those of the stages before go when it begins, as their results have been written;
+    they stay if the documents given still read them."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _TABLES else []
+        for path in [p for p in _TABLES if not any(p in file for file in read)]:
+            drop_path(spark, f"{shared_dir(spark)}/{path}")
+            _TABLES.remove(path)
+        with scope(f"pipeline-{name}-{uuid.uuid4().hex}") as own:
+            _TABLES.append(own)
+            return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, staged(name, function)) for name, function in (("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("substring_dedup", drop_passages), ("mix", mix_sources), ("encode", encode))]
 
 #: The score, the matching index and the tokenizer have no SQL form: tests hold the stages against brute force.
 ORACLE_SQL = None
