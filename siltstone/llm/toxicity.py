@@ -279,11 +279,16 @@ def form_counts(rows: DataFrame, model, among=None) -> DataFrame:
 
 
 def found_in(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Where each value stands in a sorted table, or -1."""
-    if not len(table):
-        return np.full(values.shape, -1, np.int64)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return np.where(table[at] == values, at, -1)
+    """Where each value stands in a sorted table of hashes, or -1; most values fail at a look at their low bits."""
+    out = np.full(values.size, -1, np.int64)
+    if len(table):
+        low, flat = np.int64((1 << 22) - 1), values.reshape(-1)
+        bits = np.zeros(1 << 22, bool)
+        bits[table & low] = True
+        some = np.flatnonzero(bits[flat & low])
+        at = np.minimum(np.searchsorted(table, flat[some]), len(table) - 1)
+        out[some] = np.where(table[at] == flat[some], at, -1)
+    return out.reshape(values.shape)
 
 
 def weights_of(toxic: np.ndarray, clean: np.ndarray, share: float, z: float = 3.0) -> np.ndarray:
