@@ -14,10 +14,14 @@ with 100 * |A & B| >= 75 * |A | B| are linked; classes are the connected compone
      only if it shares two buckets with other components, and if enough of its shingles stand in other components at all
      (an exact bound: a link needs 0.75 / 1.75 of both sizes together in common).  A heavily edited copy falls out here by
      itself, without being held against the thousands of its group.
-  6. Open members are compared across components within buckets, in cells of at most CELL x CELL members, each pair in the
-     first bucket that it shares, with the same bounds for the pair; longer signatures (WIDE minima, in the same batches) prune again; the likeliest are verified.  This repeats until no
-     untested candidate joins two components.  So no link between components is lost, and a large group of
-     near copies is linked by about as many pairs as it has members.
+  6. Second round: in each bucket every open member is paired with the bucket's most central one only, that with the largest
+     share of its shingles in other components.  This links most of what the first members, edited themselves, left apart.
+  7. Further rounds go by the first common shingle of a pair, rarest first: from there on both must hold enough shingles for a
+     link, so a member stands only at the few rare shingles where a member of another component and of a fitting size may begin
+     a link with it (exact; members that differ at rare places never meet at the frequent shingles of their group).
+     Pairs are made there in cells of at most CELL x CELL members and compared as above, until no untested pair joins two
+     components.  So no link between components is lost, and a large group of near copies is linked by about as many pairs
+     as it has members.
 Classes and links stay in tables; the driver sees counts only.
 
 Cases: a null or empty text has no shingles and is its own class; repeated rows are copies; a null doc_id belongs to the
@@ -29,13 +33,14 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, chunks, gather_ranges, lowered, mix64, range_hashes, small, stage, words_of
@@ -46,7 +51,9 @@ WIDE = 768
 SHARE = 75
 MISS = 1e-7
 CELL = 512
-#: Untested pairs that a member proposes in the first round, and how many times as many in each later one.
+#: Sizes of sets are taken together in classes of a twentieth of their logarithm.
+SIZES = 20
+#: Untested pairs that a member proposes at a shingle in the first of the further rounds, and how many times as many in each later one.
 PROPOSALS, MORE = 16, 8
 #: Pairs of signatures that a worker compares at once.
 PAIRS = 50_000
@@ -173,8 +180,8 @@ def least_matches(n_minima: int) -> list[int]:
     out = []
     for n in range(STEP, n_minima + 1, STEP):
         # with a uniform prior the similarity is Beta(m + 1, n - m + 1): its upper tail is a binomial sum
-        tail = lambda m, n=n: sum(math.comb(n + 1, k) * 3**k for k in range(m + 1)) / 4 ** (n + 1)
-        out.append(next(m for m in range(n + 1) if tail(m) >= MISS))
+        tails = itertools.accumulate(math.comb(n + 1, k) * 3**k for k in range(n + 1))
+        out.append(next(m for m, tail in enumerate(tails) if tail / 4 ** (n + 1) >= MISS))
     return out
 
 
@@ -202,14 +209,14 @@ def among(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndar
     return np.isin(a * len(names) + b, c * len(names) + d)
 
 
-def prune(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose sizes allow a link and whose signatures survive."""
+def prune(pairs: DataFrame, reps: DataFrame, kind: type = np.uint32) -> DataFrame:
+    """Those of pairs (a, b) whose sizes allow a link and whose signatures (minima of that kind) survive."""
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, PAIRS):
                 part = batch.slice(i, PAIRS)
-                sigs = [np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32).reshape(part.num_rows, -1) for c in ("sa", "sb")]
+                sigs = [np.frombuffer(b"".join(part.column(c).to_pylist()), kind).reshape(part.num_rows, -1) for c in ("sa", "sb")]
                 every = np.arange(part.num_rows)
                 at, _ = surviving(sigs[0], every, sigs[1], every)
                 yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(at)) for c in ("a", "b")], ["a", "b"])
@@ -255,6 +262,12 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean")
 
 
+def judge(pairs: DataFrame, wide: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, linked) of all pairs (a, b), staged ones of open members; those that the long signatures forbid are not linked."""
+    sure = verify(stage(prune(pairs, wide, np.uint16), "pruned"), texts)
+    return pairs.join(sure, ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of edges (a, b): label is the smallest node reachable.  Alternating large and small stars."""
     now = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars", narrow=True)
@@ -291,8 +304,8 @@ def several(members: DataFrame) -> DataFrame:
     return members.groupBy("bucket").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("bucket")
 
 
-def open_members(members: DataFrame, texts: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of members (bucket, rep, label): (bucket, rep, n, shared) of those that may be linked across components, and their (rep, wide, keys): long signatures and buckets."""
+def open_members(members: DataFrame, texts: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of members (bucket, rep, label): (bucket, rep, n, shared) of those that may be linked across components, their (rep, n, sig), long signatures, and the (rep, shingle) of all looked at."""
 
     def spread(batches):
         opens = zstandard.ZstdDecompressor()
@@ -314,8 +327,8 @@ def open_members(members: DataFrame, texts: DataFrame, reps: DataFrame) -> tuple
             data = np.frombuffer(b"".join(raw), np.uint8)
             for i, j in chunks(upto):
                 sig = signatures(*shingles(data[upto[i] : upto[j]], upto[i : j + 1] - upto[i]), WIDE)
-                wide, keys = (sig & 0xFFFF).astype(np.uint16), band_keys(sig)
-                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), pa.array([r.tobytes() for r in wide], pa.binary()), pa.array([r.tobytes() for r in keys], pa.binary())], ["rep", "wide", "keys"])
+                wide = (sig & 0xFFFF).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), batch.column("n").slice(i, j - i), pa.array([r.tobytes() for r in wide], pa.binary())], ["rep", "n", "sig"])
 
     meeting = stage(members.join(several(members), "bucket"), "meeting")
     some = stage(meeting.groupBy("rep", "label").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rep", "label"), "meet", narrow=True)
@@ -327,33 +340,56 @@ def open_members(members: DataFrame, texts: DataFrame, reps: DataFrame) -> tuple
     left = meeting.join(bound, "rep")
     least = left.groupBy("bucket").agg(F.min("n").alias("least"), F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("bucket", "least")
     left = stage(left.join(least, "bucket").where(possible(F.col("n"), F.col("least"), F.col("shared"))).select("bucket", "rep", "n", "shared"), "open")
-    wide = own.join(left.select("rep").distinct(), "rep", "left_semi").select("rep", "blob").mapInArrow(widen, "rep long, wide binary, keys binary")
-    return left, stage(wide, "wide")
+    wide = own.join(left.select("rep", "n").distinct(), "rep").select("rep", "n", "blob").mapInArrow(widen, "rep long, n long, sig binary")
+    return left, stage(wide, "wide"), spread_.select("rep", "shingle")
+
 
+def central(members: DataFrame, tested: DataFrame) -> DataFrame:
+    """Untested pairs (a, b) of each of members (bucket, rep, label, n, shared) and the bucket's most central one, if of another component."""
+    lead = members.groupBy("bucket").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("part"), "n", "shared", "rep", "label")).alias("lead"))
+    pairs = members.join(lead, "bucket").where(F.col("label") != F.col("lead.label")).where(possible(F.col("n"), F.col("lead.n"), F.least("shared", "lead.shared")))
+    return pairs.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
 
-def proposals(members: DataFrame, wide: DataFrame, tested: DataFrame, each: int) -> DataFrame:
-    """Untested pairs (a, b) across components within buckets, by cells of bounded size; the `each` likeliest of each member in a cell.
 
-    members: (bucket, rep, label, n, shared).
+def firsts(shingles_: DataFrame, members: DataFrame) -> DataFrame:
+    """(shingle, rep, label, n, rest, fit) of members (rep, label, n): the shingles at which a link may begin, rarest first.
+
+    rest: how many of the member's shingles from there on stand in other components; fit: the largest set that may be linked with so many.
+    """
+    rows = stage(shingles_.join(members, "rep"), "open_shingles")
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"), F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("shingle", "often")
+    rarest_last = Window.partitionBy("rep").orderBy(F.desc("often"), F.desc("shingle"))
+    rows = rows.join(often, "shingle").withColumn("rest", F.row_number().over(rarest_last).cast("long"))
+    fit = F.floor(((100 + SHARE) * F.col("rest") - SHARE * F.col("n")) / SHARE)
+    return rows.withColumn("fit", fit).where(100 * F.col("fit") >= SHARE * F.col("n")).select("shingle", "rep", "label", "n", "rest", "fit")
+
+
+def meeting_firsts(rows: DataFrame) -> DataFrame:
+    """Those of rows (shingle, rep, label, n, rest, fit) at whose shingle another component has a size that fits."""
+    kinds = rows.groupBy("shingle", F.floor(F.log("n") * SIZES).alias("size")).agg(F.min("n").alias("least"), F.max("fit").alias("most"), F.min("label").alias("_a"), F.max("label").alias("_b"))
+    kinds = kinds.groupBy("shingle").agg(F.collect_list(F.struct("least", "most", "_a", "_b")).alias("kinds"))
+    fits = F.exists("kinds", lambda k: ((k["_a"] != F.col("label")) | (k["_b"] != F.col("label"))) & (k["least"] <= F.col("fit")) & (F.col("n") <= k["most"]))
+    return rows.join(kinds, "shingle").where(fits).drop("kinds")
+
+
+def proposals(rows: DataFrame, tested: DataFrame, each: int) -> DataFrame:
+    """Untested pairs (a, b) across components that may begin at a shingle, by cells of bounded size; the `each` likeliest of each member in a cell.
+
+    rows: (shingle, rep, label, n, rest).
     """
 
     def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         """Proposals of whole cells, sorted by cell and then role: pairs of many cells are compared together."""
         column = lambda c: rows.column(c).to_numpy()
-        role, rep, label, n, shared = (column(c) for c in ("role", "rep", "label", "n", "shared"))
-        sig, keys = as_bytes(rows.column("wide"))[0].view(np.uint16).reshape(-1, WIDE), as_bytes(rows.column("keys"))[0].view(np.uint64).reshape(-1, BANDS)
-        bucket = column("bucket").view(np.uint64)
-        cell = np.cumsum(np.concatenate([[True], (column("bucket")[1:] != column("bucket")[:-1]) | (column("i")[1:] != column("i")[:-1]) | (column("j")[1:] != column("j")[:-1])])) - 1
+        role, rep, label, n, rest = (column(c) for c in ("role", "rep", "label", "n", "rest"))
+        cell = np.cumsum(np.concatenate([[True], (column("shingle")[1:] != column("shingle")[:-1]) | (column("i")[1:] != column("i")[:-1]) | (column("j")[1:] != column("j")[:-1])])) - 1
         lines = np.flatnonzero(role == 0)
         begin = np.searchsorted(2 * cell + role, 2 * cell[lines] + 1)
         count = np.searchsorted(2 * cell + role, 2 * cell[lines] + 2) - begin
         done = rows.column("tested").combine_chunks() if isinstance(rows.column("tested"), pa.ChunkedArray) else rows.column("tested")
         for x, y in chunks(np.concatenate([[0], np.cumsum(count)]), PAIRS):
             a, b = np.repeat(lines[x:y], count[x:y]), gather_ranges(begin[x:y], count[x:y])
-            some = (label[a] != label[b]) & possible(n[a], n[b], np.minimum(shared[a], shared[b]))
-            a, b = a[some], b[some]
-            # a pair is looked at in the first bucket that it shares
-            some = keys[a, (keys[a] == keys[b]).argmax(1)] == bucket[a]
+            some = (label[a] != label[b]) & possible(n[a], n[b], np.minimum(rest[a], rest[b]))
             a, b = a[some], b[some]
             own = done.take(pa.array(lines[x:y]))
             if own.null_count < len(own):
@@ -361,21 +397,20 @@ def proposals(members: DataFrame, wide: DataFrame, tested: DataFrame, each: int)
                 by = np.repeat(rep[lines[x:y]], np.diff(own.offsets.to_numpy()))
                 fresh = ~among(rep[a], rep[b], by, known)
                 a, b = a[fresh], b[fresh]
-            at, matches = surviving(sig, a, sig, b)
-            a, b = a[at], b[at]
-            order = np.lexsort((b, -matches, a))
+            order = np.lexsort((b, -np.minimum(rest[a], rest[b]), a))
             a, b = a[order], b[order]
             place = np.arange(len(a)) - np.searchsorted(a, a)
             a, b = rep[a[place < each]], rep[b[place < each]]
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     def run(batches):
         held = None
         for batch in batches:
             now = pa.Table.from_batches([batch])
             held = now if held is None else pa.concat_tables([held, now])
-            keys = [held.column(c).to_numpy() for c in ("bucket", "i", "j")]
+            keys = [held.column(c).to_numpy() for c in ("shingle", "i", "j")]
             # the last cell may go on in the next batch
             whole = int(np.flatnonzero(np.logical_and.reduce([k == k[-1] for k in keys]))[0]) if held.num_rows else 0
             if whole:
@@ -384,17 +419,17 @@ def proposals(members: DataFrame, wide: DataFrame, tested: DataFrame, each: int)
         if held is not None and held.num_rows:
             yield from settle(held.combine_chunks())
 
-    sizes = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
-    per = sizes.groupBy("bucket").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    per = per.select("bucket", F.col("top.label").alias("most"), F.ceil(F.col("all") / CELL).cast("int").alias("columns"), F.ceil((F.col("all") - F.col("top.c")) / CELL).cast("int").alias("lines"))
-    open_ = members.join(per, "bucket").withColumn("h", F.xxhash64("rep"))
-    # a column cell for every member; a line for those outside the bucket's largest component
-    columns = open_.select("bucket", "rep", "label", "n", "shared", F.lit(1).alias("role"), F.pmod("h", "columns").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("j"))
-    lines = open_.where("label <> most").select("bucket", "rep", "label", "n", "shared", F.lit(0).alias("role"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("i"), F.pmod("h", "lines").cast("int").alias("j"))
+    sizes = rows.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c"))
+    per = sizes.groupBy("shingle").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    per = per.select("shingle", F.col("top.label").alias("most"), F.ceil(F.col("all") / CELL).cast("int").alias("columns"), F.ceil((F.col("all") - F.col("top.c")) / CELL).cast("int").alias("lines"))
+    open_ = rows.join(per, "shingle").withColumn("h", F.xxhash64("rep"))
+    # a column cell for every member; a line for those outside the shingle's largest component
+    columns = open_.select("shingle", "rep", "label", "n", "rest", F.lit(1).alias("role"), F.pmod("h", "columns").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("j"))
+    lines = open_.where("label <> most").select("shingle", "rep", "label", "n", "rest", F.lit(0).alias("role"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("i"), F.pmod("h", "lines").cast("int").alias("j"))
     done = tested.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(tested.select(F.col("b").alias("rep"), F.col("a").alias("other"))).groupBy("rep").agg(F.collect_set("other").alias("tested"))
     lines = lines.join(done, "rep", "left")
-    cells = columns.withColumn("tested", F.lit(None).cast("array<bigint>")).unionByName(lines).join(wide, "rep")
-    dealt = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "role").select("bucket", "i", "j", "role", "rep", "label", "n", "shared", "wide", "keys", "tested")
+    cells = columns.withColumn("tested", F.lit(None).cast("array<bigint>")).unionByName(lines)
+    dealt = cells.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "role").select("shingle", "i", "j", "role", "rep", "label", "n", "rest", "tested")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -412,18 +447,27 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     tested = stage(verify(stage(prune(pairs, reps), "pruned"), texts), "tested")
     labels = stage(components(tested.where("linked").select("a", "b")), "labels", narrow=True)
-    left, wide = open_members(relabel(members.select("bucket", "rep"), labels), texts, reps)
+    left, wide, shingles_ = open_members(relabel(members.select("bucket", "rep"), labels), texts, reps)
+
+    def learn(pairs: DataFrame) -> None:
+        nonlocal tested, labels
+        new = stage(judge(pairs, wide, texts), "tested")
+        links = new.where("linked").select("a", "b")
+        if not links.isEmpty():
+            labels = stage(joined(labels, links), "labels", narrow=True)
+        tested = tested.unionByName(new)
+
+    learn(stage(central(relabel(left, labels), tested.select("a", "b")), "central"))
+    rows = stage(firsts(shingles_, relabel(wide.select("rep", "n"), labels)), "firsts")
+    rows = stage(meeting_firsts(rows), "firsts")
     each = PROPOSALS
     while True:
-        more = stage(proposals(relabel(left, labels), wide, tested.select("a", "b"), each), "proposed")
+        rows = stage(meeting_firsts(relabel(rows.drop("label"), labels)), "firsts")
+        more = stage(proposals(rows, tested.select("a", "b"), each), "proposed")
         each *= MORE
         if more.isEmpty():
             break
-        new = stage(verify(more, texts), "tested")
-        links = new.where("linked").select("a", "b")
-        if not links.isEmpty():
-            labels = stage(joined(labels, links), "labels", narrow=True)
-        tested = tested.unionByName(new)
+        learn(more)
     named = relabel(reps.select("words", "rep", "least"), labels)
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     out = described.select("doc_id", "n_shingles", "words").join(named.select("words", "label").join(least, "label"), "words", "left")

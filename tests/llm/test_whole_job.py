@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import quality, toxicity
+from siltstone.llm import neardup, quality, toxicity
 
 
 def passages(n, words, seed):
@@ -199,3 +199,32 @@ def test_foreign_and_cut_audio_gives_null(spark):
     df = spark.createDataFrame([(k, 128, None if f is None else bytearray(f)) for k, f in enumerate(files)], "doc_id long, n_bytes long, media binary")
     assert {r["doc_id"] for r in audio.pcm_column(df).collect() if r["pcm"] is not None} == {0}
     assert {r["doc_id"] for r in audio.digests(df).collect() if r["feature"] is not None} == {0}
+
+
+def test_a_large_group_of_near_copies_proposes_few_pairs(spark, monkeypatch):
+    """Edits that several copies share keep all of them open; they are linked as by brute force, by few proposals for each."""
+    rng = random.Random(1)
+    base, proposed = passages(1, 150, 1)[0].split(), []
+
+    def edited(words, n):
+        at = set(rng.sample(range(len(words)), n))
+        return [rng.choice("klmnopqr") if k in at else w for k, w in enumerate(words)]
+
+    copies = [edited(base, rng.randint(1, 7)) for _ in range(600)]
+    copies += [edited(c, rng.randint(1, 4)) for c in copies[:60]] + [c[: rng.randint(110, 149)] for c in copies[60:90]]
+    rng.shuffle(copies)
+    sets, root = [{tuple(c[i : i + 5]) for i in range(len(c) - 4)} for c in copies], list(range(len(copies)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if root[i] != root[j] and 100 * len(a & b) >= 75 * len(a | b):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    proposals = neardup.proposals
+
+    def counted(*given):
+        proposed.append((more := proposals(*given)).count())
+        return more
+
+    monkeypatch.setattr(neardup, "proposals", counted)
+    got = neardup.classes(spark.createDataFrame([(k, " ".join(c)) for k, c in enumerate(copies)], "doc_id long, text string").repartition(4)).collect()
+    assert [r["component_id"] for r in sorted(got)] == root
+    assert sum(proposed) < 10 * len(copies)
