@@ -1,15 +1,16 @@
 """Raw storage images as DataFrames: sectors, records, current state and anomalies.
 
-An image is read by Spark's binaryFile source, so any path that Spark reads will do, and is cut into sectors that are dealt to
-all tasks; records are chained only within a sector.  The one Python step finds where records begin and end (`layout.spans`) and sums
+An image is a file, or a folder of pieces that follow each other by name (`pieces`).  It is read by Spark's binaryFile source, so any path
+that Spark reads will do, and is cut into sectors that are dealt to all tasks; records are chained only within a sector.  The one Python step finds where records begin and end (`layout.spans`) and sums
 their payloads up; every field, status, check and anomaly is a Column expression over the header's bytes.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
@@ -18,9 +19,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import crc16_many, hex_prefix, little_endian, lower_hex, state_name
 from ..schema import INVALID32, VALID, VALUE_MAX
+from . import pieces
 from .layout import LAYOUTS, TS, Layout, checked, spans
 
-SPANS = "sector int, type string, at int, until int, head binary, first binary, second binary, calc int, blank boolean"
+SPANS = "sector int, type string, at int, until int, head binary, first binary, second binary, calc int, blank boolean, base long"
+
+#: Sectors that a task gives on at once.
+SECTORS = 256
 
 
 @dataclass(frozen=True)
@@ -52,36 +57,73 @@ def from_manifest(spark: SparkSession, manifest: str, **overrides) -> Image:
 
 
 def sectors(spark: SparkSession, image: Image) -> DataFrame:
-    """(sector, raw): the image cut into sectors, as many as its total size says, dealt to as many tasks as Spark shuffles to.
+    """(sector, raw): the image cut into sectors, as many as its total size says, in many tasks.
+
+    Pieces are cut where they are read, a view of their bytes for each sector (a substring in the JVM would copy the piece each time); a
+    single file's sectors are dealt to as many tasks as Spark shuffles to.
+    """
+    held = pieces.lengths(spark, image.path)
+    total, size = sum(n for _, n in held) if image.total_size is None else image.total_size, image.sector_size
+    if odd := [path for path, n in held[:-1] if n % size]:
+        raise ValueError(f"{odd[0]} is not the last piece and does not end with a sector")
+    firsts = [*itertools.accumulate((n // size for _, n in held[:-1]), initial=0), total // size]
+    firsts = [min(first, total // size) for first in firsts]  # the last piece has what is missing of the total, as short sectors
+    places = {path: (first, until) for (path, _), first, until in zip(held, firsts, firsts[1:])}  # a few bytes for each piece
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                (first, until), raw = places[path], memoryview(content.as_buffer())
+                for k in range(first, until, SECTORS):
+                    some = range(k, min(k + SECTORS, until))
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([bytes(raw[(i - first) * size : (i - first + 1) * size]) for i in some], pa.binary())], ["sector", "raw"])
+
+    cut = spark.read.format("binaryFile").load(image.path).select("path", "content").mapInArrow(run, "sector int, raw binary")
+    return cut if len(held) > 1 else cut.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sector")
+
 
-    The file's bytes are cut in one projection and dropped before rows are made, so what is copied grows with the image alone.
+def made(rows: DataFrame, payload: tuple[str, ...], build: Callable[[int, list[dict]], bytes]) -> DataFrame:
+    """(sector, raw) of records (sector, offset, ...): build makes a sector's bytes from its number and its records by offset.
+
+    Each record also has `crc`, the checksum of its payload columns.  Sectors stream through their tasks one after another.
     """
-    raw = spark.read.format("binaryFile").load(image.path).select("content", "length")
-    total = F.lit(image.total_size).cast("long") if image.total_size is not None else F.col("length")
-    n = F.floor(total / image.sector_size)
-    piece = lambda i: F.struct(i.cast("int").alias("sector"), F.substring("content", (i * image.sector_size + 1).cast("int"), F.lit(image.sector_size)).alias("raw"))
-    cut = raw.select(F.transform(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>")), piece).alias("cut"))
-    return cut.select(F.inline("cut")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sector")
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            held = batch.to_pylist()
+            for row, crc in zip(held, crc16_many([b"".join(row[c] for c in payload) for row in held]).tolist()):
+                row["crc"] = crc
+                yield row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = ((sector, build(sector, list(group))) for sector, group in itertools.groupby(records(batches), key=lambda row: row["sector"]))
+        for some in itertools.batched(each, SECTORS):
+            sector, raw = zip(*some)
+            yield pa.RecordBatch.from_arrays([pa.array(sector, pa.int32()), pa.array(raw, pa.binary())], ["sector", "raw"])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "sector").sortWithinPartitions("sector", "offset").mapInArrow(run, "sector int, raw binary")
+
+
+def total_size(spark: SparkSession, path: str) -> int:
+    """Bytes of an image, all pieces."""
+    return spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]  # Spark lists no empty file
 
 
 def checked_size(spark: SparkSession, image: Image, size: int) -> Image:
     """The image, if it is exactly as large as the partition that it is loaded into; else an error."""
-    found = spark.read.format("binaryFile").load(image.path).agg(F.sum("length")).first()[0]
+    found = total_size(spark, image.path)
     if found != size:
         raise ValueError(f"{image.path} holds {found} bytes, the partition {size}")
     return image
 
 
-def save(cut: DataFrame, path: str) -> None:
-    """Write sectors (sector, raw) as one image file; sectors stream through the driver in order, a few at a time."""
-    spark = cut.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-    try:
-        for row in cut.orderBy("sector").toLocalIterator():
-            out.write(bytes(row["raw"]))
-    finally:
-        out.close()
+def save(cut: DataFrame, path: str, sector_size: int = 4096) -> None:
+    """Write sectors (sector, raw) as an image in pieces, by all tasks; sectors are numbered from 0 on."""
+    each = max(1, pieces.PIECE // sector_size)
+    part = F.coalesce(F.expr(f"sector div {each}"), F.lit(0)).cast("long")
+    dealt = cut.withColumn("part", part).repartition(int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part", "sector")
+    pieces.save(dealt.select("part", "raw"), path)
 
 
 def kinds(cut: DataFrame) -> DataFrame:
@@ -103,14 +145,15 @@ def detect(spark: SparkSession, image: Image) -> str:
 def find_spans(cut: DataFrame, layout: Layout, sector_size: int, gran: int, engine: bool = False) -> DataFrame:
     """SPANS of every sector (sector, raw): its header and what stands in it."""
     wanted = layout.least_header or sector_size
-    count_at, end_at = (layout.positions("header").get(c, (0, 0))[0] for c in ("count", "end_off"))
+    count_at, end_at, base_at = (layout.positions("header").get(c, (0, 0))[0] for c in ("count", "end_off", "time_base"))
 
     def of_sector(sector: int, raw: bytes, header_crc: int) -> Iterator[tuple]:
         if len(raw) < wanted:
-            yield sector, "short", 0, len(raw), b"", b"", b"", b"", False
+            yield sector, "short", 0, len(raw), b"", b"", b"", b"", False, None
             return
+        base = struct.unpack_from("<I", raw, base_at)[0] if layout is TS else None  # a record's time counts from its sector's
         blank = not raw.strip(b"\xff")
-        yield sector, "sector_header", 0, layout.header_size, raw[: layout.header_size], b"", b"", checked(raw, layout), blank
+        yield sector, "sector_header", 0, layout.header_size, raw[: layout.header_size], b"", b"", checked(raw, layout), blank, base
         if blank or struct.unpack_from("<I", raw)[0] != layout.magic:
             return
         stop = min(sector_size, len(raw))
@@ -120,16 +163,16 @@ def find_spans(cut: DataFrame, layout: Layout, sector_size: int, gran: int, engi
                 stop = min(stop, end)
         for what, begin, until, parts in spans(raw, layout, gran, sector_size, stop, engine):
             first, second = (*parts, b"", b"")[:2]
-            yield sector, what, begin, until, raw[begin:until][: 64 if what != "record" else None], first, second, first + second, False
+            yield sector, what, begin, until, raw[begin:until][: 64 if what != "record" else None], first, second, first + second, False, base
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = [bytes(r) if r is not None else b"" for r in batch.column("raw").to_pylist()]
             crcs = crc16_many([checked(r, layout) for r in raws])
             rows = [row for sector, raw, crc in zip(batch.column("sector").to_pylist(), raws, crcs) for row in of_sector(sector, raw, int(crc))]
-            columns = [list(c) for c in zip(*rows)] or [[] for _ in range(9)]
+            columns = [list(c) for c in zip(*rows)] or [[] for _ in range(10)]
             columns[7] = crc16_many(columns[7]).tolist()
-            kinds_ = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.bool_())
+            kinds_ = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.bool_(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds_)], [c.split()[0] for c in SPANS.split(", ")])
 
     return cut.select("sector", "raw").mapInArrow(run, SPANS)
@@ -147,7 +190,7 @@ def parse(cut: DataFrame, kind: str, sector_size: int = 4096, write_gran: int =
         return F.when(where, little_endian(F.col("head"), *at[of, name])).cast(kind_) if (of, name) in at else F.lit(None).cast(kind_)
 
     header_crc, data_crc, state = field("header", "hdr_crc", "int"), field("record", "data_crc", "int"), field("record", "state", "int")
-    magic, calc, base = field("header", "magic"), F.col("calc"), F.when(is_header, field("header", "time_base")).otherwise(F.lit(None).cast("long"))
+    magic, calc, base = field("header", "magic"), F.col("calc"), F.when(is_header | is_record, F.col("base"))
     if kind == "kvdb":
         status = F.when(F.col("blank"), "ERASED").when(magic == layout.magic, "KVDB").otherwise("CORRUPT")
         engine_ok = field("record", "key_len").between(1, 32) & (field("record", "value_len") <= VALUE_MAX) & state.isin(0xFF, 0xFE, 0xFC)
@@ -168,10 +211,7 @@ def parse(cut: DataFrame, kind: str, sector_size: int = 4096, write_gran: int =
     )
     if kind == "kvdb":
         return rows.withColumn("time", F.lit(None).cast("long"))
-    # a record's time needs its sector's base: one row for each sector
-    bases = rows.where(is_header).select("sector", F.col("time_base").alias("_base"))
-    rows = rows.join(bases, "sector", "left").withColumn("time_base", F.when(is_header | is_record, F.col("_base")))
-    return rows.withColumn("time", F.when(is_record & (F.col("_base") != INVALID32), (F.col("_base") + F.col("time_delta")).bitwiseAND(F.lit(0xFFFFFFFF)))).drop("_base")
+    return rows.withColumn("time", F.when(is_record & (F.col("time_base") != INVALID32), (F.col("time_base") + F.col("time_delta")).bitwiseAND(F.lit(0xFFFFFFFF))))
 
 
 def anomalies_of(rows: DataFrame, kind: str) -> DataFrame:

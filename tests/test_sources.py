@@ -151,3 +151,33 @@ def test_an_image_is_read_by_many_tasks(spark, tmp_path):
     (tmp_path / "image.bin").write_bytes(ts_image() * 8)
     cut = dump.sectors(spark, dump.Image(str(tmp_path / "image.bin")))
     assert cut.count() == 64 and cut.rdd.getNumPartitions() > 1 and all(len(r["raw"]) == 4096 for r in cut.collect())
+
+
+def test_an_image_in_pieces(spark, tmp_path, monkeypatch):
+    from siltstone.sources import pieces
+
+    monkeypatch.setattr(pieces, "PIECE", 3 * 4096)
+    raw = kv_image(kv_record(b"bad", b"v", 7, 0xFE, crc=1))[0][: 7 * 4096] + kv_image()[0][:4096]
+    cut = spark.createDataFrame([(k, bytearray(raw[k * 4096 : (k + 1) * 4096])) for k in range(8)], "sector int, raw binary").repartition(4)
+    dump.save(cut, str(tmp_path / "image"))
+    names = sorted(p.name for p in (tmp_path / "image").iterdir() if p.name[0] not in "._")
+    assert len(names) == 3 and b"".join((tmp_path / "image" / n).read_bytes() for n in names) == raw
+    (tmp_path / "one.bin").write_bytes(raw)
+    one, many = (dump.Image(str(tmp_path / n)) for n in ("one.bin", "image"))
+    for total in (None, 5 * 4096, 10 * 4096):
+        views = [dump.parse(dump.sectors(spark, dump.replace(i, total_size=total)), "kvdb") for i in (one, many)]
+        assert views[0].exceptAll(views[1]).isEmpty() and views[1].exceptAll(views[0]).isEmpty() and views[1].select("sector").distinct().count() == (total or len(raw)) // 4096
+    assert dump.checked_size(spark, many, len(raw)) == many and dump.open_image(spark, many).summary.first() == ("kvdb", 8, 9, 2, 1)
+
+
+def test_an_empty_image_is_a_file(spark, tmp_path):
+    dump.save(spark.createDataFrame([], "sector int, raw binary"), str(tmp_path / "image"))
+    assert dump.total_size(spark, str(tmp_path / "image")) == 0 and dump.sectors(spark, dump.Image(str(tmp_path / "image"))).count() == 0
+
+
+def test_pieces_where_arrow_has_no_file_system(spark, tmp_path, monkeypatch):
+    from siltstone.sources import pieces
+
+    monkeypatch.setattr(pieces, "_arrow", lambda where: None)
+    dump.save(spark.createDataFrame([(0, bytearray(kv_image()[0]))], "sector int, raw binary"), str(tmp_path / "image"))
+    assert dump.total_size(spark, str(tmp_path / "image")) == 8 * 4096
