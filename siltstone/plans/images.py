@@ -177,15 +177,15 @@ def image_ts_scan_stop(spark, sf_dir):
 
 @query(f"WITH {KV} SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, op, key, CASE WHEN op = 'set' THEN value END AS value FROM kv")
 def replay_kv(spark, sf_dir):
-    """The operation log written as a replay file and read back."""
+    """The operation log written as replay files and read back."""
     vectors.write(kv_ops(spark, sf_dir), path := new_path(spark, "kv.rdbt"), 1)
-    return vectors.read(spark, path, 1).select("seq", "op", text("key").alias("key"), text("value").alias("value"))
+    return vectors.read(spark, path, 1, whole=True).select("seq", "op", text("key").alias("key"), text("value").alias("value"))
 
 
 @query(f"WITH {OPS} SELECT row_number() OVER (ORDER BY arrival) - 1 AS arrival, req_time, props AS data FROM ops")
 def replay_ts(spark, sf_dir):
     vectors.write(ts_ops(spark, sf_dir), path := new_path(spark, "ts.rdbt"), 2)
-    return vectors.read(spark, path, 2).select("arrival", "req_time", text("data").alias("data"))
+    return vectors.read(spark, path, 2, whole=True).select("arrival", "req_time", text("data").alias("data"))
 
 
 # ---- functions over bytes

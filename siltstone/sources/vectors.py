@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import KV_OPS, TS_OPS
+from . import pieces
 
 #: Fixed value: the file's magic number.
 MAGIC = 0x54424452
+#: Entries of a file that are made rows at once.
+ENTRIES = 1 << 16
 _OPS = {1: "set", 2: "delete", 3: "get"}
 
 
@@ -41,19 +46,33 @@ def entries(data: bytes) -> Iterator[tuple]:
             at += 6 + size
 
 
-def read(spark: SparkSession, path: str, kind: int) -> DataFrame:
-    """The operations of replay files of a kind; each file is a series, read whole (its entries are chained)."""
+def read(spark: SparkSession, path: str, kind: int, whole: bool = False) -> DataFrame:
+    """The operations of replay files of a kind.  Each file is a series and read by one task, as its entries are chained.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                rows = list(entries(bytes(content)))
-                if kind == 1:
-                    yield pd.DataFrame([(name, k, op, key, value) for k, op, key, value in rows], columns=["series", "seq", "op", "key", "value"])
-                else:
-                    yield pd.DataFrame([(name, k, "append", t, d) for k, t, d in rows], columns=["series", "arrival", "op", "req_time", "data"])
+    whole: the files follow each other by name and are one series, that of the path; places are counted on from file to file.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    if whole:
+        heads = sorted(tuple(r) for r in files.select("path", F.substring("content", 1, 12)).collect())  # a row for each file
+        firsts = itertools.accumulate((header(bytes(h))[1] for _, h in heads), initial=0)
+        files = files.join(F.broadcast(spark.createDataFrame([(name, path, first) for (name, _), first in zip(heads, firsts)], "path string, series string, first long")), "path")
+    else:
+        files = files.select(F.col("path").alias("series"), F.lit(0).cast("long").alias("first"), "content")
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, KV_OPS if kind == 1 else TS_OPS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, first, content in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                for some in itertools.batched(entries(content), ENTRIES):
+                    columns = [list(c) for c in zip(*some)]
+                    place = pa.array(columns[0], pa.int64())
+                    place = pc.add(place, first)
+                    series = pa.repeat(pa.scalar(name), len(place))
+                    if kind == 1:
+                        yield pa.RecordBatch.from_arrays([series, place, pa.array(columns[1]), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], ["series", "seq", "op", "key", "value"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([series, place, pa.repeat(pa.scalar("append"), len(place)), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["series", "arrival", "op", "req_time", "data"])
+
+    return files.select("series", "first", "content").mapInArrow(run, KV_OPS if kind == 1 else TS_OPS)
 
 
 def encoded(ops: DataFrame, kind: int) -> DataFrame:
@@ -67,15 +86,7 @@ def encoded(ops: DataFrame, kind: int) -> DataFrame:
 
 
 def write(ops: DataFrame, path: str, kind: int) -> None:
-    """One replay file of a log, in its order; entries stream through the driver, as a file has one writer."""
+    """The replay files of a log, in its order, written by all tasks; `read` with `whole` makes one log of them again."""
     spark = ops.sparkSession
-    rows = encoded(ops, kind).persist()
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-    try:
-        out.write(struct.pack("<IHHI", MAGIC, 1, kind, rows.count()))
-        for row in rows.orderBy("place").toLocalIterator():
-            out.write(bytes(row["entry"]))
-    finally:
-        out.close()
-        rows.unpersist()
+    rows = encoded(ops, kind).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "place").sortWithinPartitions("place")
+    pieces.save(rows.select(F.spark_partition_id().cast("long").alias("part"), "entry"), path, lambda n: struct.pack("<IHHI", MAGIC, 1, kind, n))

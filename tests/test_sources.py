@@ -181,3 +181,13 @@ def test_pieces_where_arrow_has_no_file_system(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(pieces, "_arrow", lambda where: None)
     dump.save(spark.createDataFrame([(0, bytearray(kv_image()[0]))], "sector int, raw binary"), str(tmp_path / "image"))
     assert dump.total_size(spark, str(tmp_path / "image")) == 8 * 4096
+
+
+def test_a_log_in_several_replay_files(spark, tmp_path):
+    rows = [("s", 5 * k, ("set", "delete")[k % 3 == 2], bytearray(b"k%d" % (k % 7)), None if k % 3 == 2 else bytearray(b"v%d" % k)) for k in range(1, 90)]
+    vectors.write(spark.createDataFrame(rows, "series string, seq long, op string, key binary, value binary").repartition(5), str(tmp_path / "log"), 1)
+    files = [p for p in (tmp_path / "log").iterdir() if p.name[0] not in "._"]
+    assert len(files) > 1 and sum(vectors.header(p.read_bytes())[1] for p in files) == 89
+    back = vectors.read(spark, str(tmp_path / "log"), 1, whole=True).orderBy("seq").collect()
+    assert [(r["seq"], r["op"], r["key"], r["value"]) for r in back] == [(k, op, key, value) for k, (_, _, op, key, value) in enumerate(rows)]
+    assert {r["series"] for r in back} == {str(tmp_path / "log")} and vectors.read(spark, str(tmp_path / "log"), 1).select("series").distinct().count() == len(files)
