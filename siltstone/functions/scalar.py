@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,6 +152,27 @@ def bloom_maybe(positions: Column, h: Column) -> Column:
     return F.forall(bloom_bits(h), lambda bit: F.array_contains(positions, bit))
 
 
+def bloom_weights(hashes: DataFrame) -> np.ndarray:
+    """How many of hashes (h) ask for each pair of positions: 256 by 256, whatever the number of hashes."""
+    two, out = bloom_bits(F.col("h")), np.zeros((256, 256))
+    for low, high, n in hashes.where("h IS NOT NULL").groupBy(two[0], two[1]).agg(F.count(F.lit(1))).collect():
+        out[low, high] = n
+    return out
+
+
+def bloom_maybes(positions: Column, weights: np.ndarray) -> Column:
+    """For how many of the weighted hashes a filter answers maybe: the sum over pairs of its positions.  Doubles are exact up to 2^53."""
+
+    @F.pandas_udf(T.LongType())
+    def count(bits: pd.Series) -> pd.Series:
+        held = np.zeros((len(bits), 256))
+        for row, some in zip(held, bits):
+            row[some] = 1
+        return pd.Series(((held @ weights) * held).sum(axis=1).astype(np.int64), bits.index)
+
+    return count(positions)
+
+
 def ring_next(sector: Column, sectors: Column | int) -> Column:
     return F.pmod(sector + 1, sectors if isinstance(sectors, Column) else F.lit(sectors))
 

@@ -198,12 +198,9 @@ _FNV = f"list_reduce(list_concat([2166136261::BIGINT], {_HASH}), lambda h, b: (x
 def fn_bloom(spark, sf_dir):
     """Each sector's filter: bits set, and for how many customer numbers it answers maybe."""
     filters = kv_laid(spark, sf_dir).select("sector", S.hash16(F.col("key")).alias("h")).groupBy("sector").agg(S.bloom_filter(F.col("h")).alias("bits"))
-    asked = _wanted(spark, sf_dir).select(S.hash16(F.col("key")).alias("h"))
-    # a filter has 256 bits at most: asked keys meet it by their two bits
-    bits = filters.select("sector", F.posexplode("bits").alias("_p", "bit"))
-    asked = asked.groupBy("h").agg(F.count(F.lit(1)).alias("c")).withColumn("two", F.array_distinct(S.bloom_bits(F.col("h"))))
-    hits = asked.select("h", "c", F.size("two").alias("need"), F.explode("two").alias("bit")).join(bits, "bit").groupBy("sector", "h", "c", "need").agg(F.count(F.lit(1)).alias("got")).where("got = need")
-    return filters.join(hits.groupBy("sector").agg(F.sum("c").alias("maybe")), "sector", "left").select("sector", F.size("bits").alias("n_bits"), F.coalesce("maybe", F.lit(0)).alias("maybe"))
+    # sectors never meet keys: keys are counted by their two bits, 65,536 pairs at most
+    weights = S.bloom_weights(_wanted(spark, sf_dir).select(S.hash16(F.col("key")).alias("h")))
+    return filters.select("sector", F.size("bits").alias("n_bits"), S.bloom_maybes(F.col("bits"), weights).alias("maybe"))
 
 
 @query("WITH e AS (SELECT event_id, hex(encode(props)) AS x FROM events) SELECT event_id, ('0x' || substr(x, 3, 2) || substr(x, 1, 2))::BIGINT AS u16, ('0x' || substr(x, 9, 2) || substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2))::BIGINT AS u32 FROM e")

@@ -42,3 +42,13 @@ def test_small_functions(spark):
         S.bloom_bits(F.lit(0x4325)).alias("b"),
     ).first()
     assert (row["up"], row["le"], row["t"], row["p"], row["s"], row["b"]) == (16, 0x0302, 3, 15, "WRITING", [0x25, 0x43])
+
+
+def test_filters_are_asked_by_pairs_of_bits(spark):
+    hashes = [(k * 7919 + k * k) & 0xFFFF for k in range(400)] + [0x0505, 0x0505, 0x1234, None]
+    asked = spark.createDataFrame([(h,) for h in hashes], "h int")
+    weights = S.bloom_weights(asked)
+    assert weights.shape == (256, 256) and weights.sum() == 403 and weights[5, 5] == 2
+    filters = spark.createDataFrame([(k, h) for k in range(9) for h in hashes[k * 40 : k * 40 + 1 + 5 * k] + [0x0505]], "sector int, h int").groupBy("sector").agg(S.bloom_filter(F.col("h")).alias("bits"))
+    got = {r["sector"]: r["n"] for r in filters.select("sector", S.bloom_maybes(F.col("bits"), weights).alias("n")).collect()}
+    assert got == {r["sector"]: sum(h is not None and {h & 255, h >> 8} <= set(r["bits"]) for h in hashes) for r in filters.collect()}
