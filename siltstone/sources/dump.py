@@ -291,7 +291,14 @@ def shown(view: DataFrame) -> DataFrame:
 
 
 def export(dump: Dump, out: str) -> None:
-    """Every view as JSON lines, the tables as CSV too (with the columns that occur); one folder for each."""
+    """Every view as JSON lines, the tables as CSV too (with the columns that occur); one folder for each.
+
+    The image is read and parsed once: its rows are kept as a table beside the views until these are written.
+    """
+    spark = dump.rows.sparkSession
+    held = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/_rows")
+    dump.rows.write.mode("overwrite").parquet(held.toString())
+    dump = replace(dump, rows=spark.read.parquet(held.toString()))
     views = {"summary": dump.summary, "anomalies": dump.anomalies, "observable_dataset": dump.observable, "valid_dataset": dump.valid, ("kv_records" if dump.kind == "kvdb" else "ts_records"): dump.records}
     if dump.kind == "kvdb":
         views["kv_current"] = dump.valid
@@ -300,3 +307,4 @@ def export(dump: Dump, out: str) -> None:
             view.write.mode("overwrite").json(f"{out}/{name}.json")
         if name not in ("summary", "anomalies", "kv_current"):
             shown(view).write.mode("overwrite").csv(f"{out}/{name}.csv", header=True)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)

@@ -191,3 +191,18 @@ def test_a_log_in_several_replay_files(spark, tmp_path):
     back = vectors.read(spark, str(tmp_path / "log"), 1, whole=True).orderBy("seq").collect()
     assert [(r["seq"], r["op"], r["key"], r["value"]) for r in back] == [(k, op, key, value) for k, (_, _, op, key, value) in enumerate(rows)]
     assert {r["series"] for r in back} == {str(tmp_path / "log")} and vectors.read(spark, str(tmp_path / "log"), 1).select("series").distinct().count() == len(files)
+
+
+def test_an_export_parses_the_image_once(spark, tmp_path):
+    d = opened(spark, tmp_path, kv_image()[0])
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for pdf in frames:
+            made.add(len(pdf))
+            yield pdf
+
+    rows = d.rows.count()
+    dump.export(dump.Dump(d.kind, d.rows.mapInPandas(counted, d.rows.schema)), str(tmp_path / "out"))
+    assert made.value == rows and not (tmp_path / "out" / "_rows").exists()
+    assert spark.read.json(str(tmp_path / "out/observable_dataset.json")).count() == 13 and spark.read.csv(str(tmp_path / "out/valid_dataset.csv"), header=True).columns == ["key", "value_hex", "value_len", "seq", "sector", "offset"]
