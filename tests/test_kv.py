@@ -157,3 +157,46 @@ def test_counters_start_anew_after_a_reset(spark):
     rows = [("a", 1, "write_ops", 1), ("a", 2, "reset", 1), ("a", 3, "write_ops", 1), ("a", 4, "gc_reclaimed_bytes", 4080), ("b", 1, "read_ops", 1), ("c", 1, "reset", 1)]
     got = {r["series"]: r for r in metrics.counters(spark.createDataFrame(rows, "series string, at long, counter string, amount long"), metrics.KV_COUNTERS).collect()}
     assert (got["a"]["write_ops"], got["a"]["gc_reclaimed_bytes"], got["b"]["read_ops"], got["c"]["write_ops"]) == (1, 4080, 1, 0)
+
+
+def test_many_collections_equal_a_plain_model(spark):
+    """250 nearly full sectors: each collection wins two records' room, and what it costs follows the sector, not the store."""
+    import time
+
+    size, per, n = 40, 102, 250
+    rows = [("s", s, 16 + size * k, s * per + k, bytearray(b"%d" % (s * per + k)), (s * per + k) % 51 != 7, (s * per + k) % 997 != 0, size) for s in range(n) for k in range(per)]
+    heads = [("s", s, "ACTIVE" if s == n - 1 else "SEALED", 16 + size * per, s * 37 % 90) for s in range(n)] + [("s", n, "ERASED", 16, 50)]
+    log = spark.createDataFrame(rows, "series string, sector int, offset long, seq long, key binary, live boolean, crc_ok boolean, record_size int")
+    done = gc.ensure_space(log, spark.createDataFrame(heads, "series string, sector int, status string, write_off long, erase_cnt long"), Geometry(sectors=16))
+    done.count()  # compiles code and starts Python workers
+    began = time.perf_counter()
+    got = done.collect()
+    took = time.perf_counter() - began
+
+    at = {s: [(q, q, ok) for _, sec, _, q, _, live, ok, _ in rows[s * per : (s + 1) * per] if live] for s in range(n)} | {n: []}
+    dead = {s: sum(not r[5] for r in rows[s * per : (s + 1) * per]) for s in range(n)} | {n: 0}
+    state, wear, fill, active, top, runs = {s: h[2] for s, h in enumerate(heads)}, {s: h[4] for s, h in enumerate(heads)}, {s: (h[3] - 16) // size for s, h in enumerate(heads)}, n - 1, n * per - 1, 0
+    while (free := [s for s in state if state[s] == "ERASED"]) and len(free) < 3:
+        mine = [s for s in state if s != active and state[s] != "ERASED"]
+        used = [wear[s] for s in state if state[s] != "ERASED"]
+        live = {s: (fill[s] - dead[s]) * size for s in mine}
+        room, limit = 4080 - fill[active] * size + 4080 * len(free), 1 if len(free) < 2 else 5
+        fit = [s for s in mine if dead[s] and live[s] <= room]
+        share = {s: dead[s] * size * 100 // (fill[s] * size) for s in fit}
+        score = {s: 7 * share[s] + 3 * ((wear[s] - min(used)) * 100 // max(1, max(used) - min(used))) + 100 - min(100, live[s] * 100 // 4080) for s in fit}
+        phases = [[(wear[s], s) for s in mine if dead[s] and not live[s]], [(-score[s], s) for s in fit if share[s] >= limit], [(-dead[s], s) for s in fit]]
+        if (victim := next((min(p)[1] for p in phases if p), None)) is None:
+            break
+        runs += 1
+        for _, old, ok in [r for r in at[victim] if r[2]]:
+            if fill[active] == per:
+                state[active] = "SEALED"
+                active = min((wear[s], s) for s in state if state[s] == "ERASED")[1]
+                state[active], fill[active] = "ACTIVE", 0
+            top, fill[active] = top + 1, fill[active] + 1
+            at[active].append((top, old, ok))
+        at[victim], dead[victim], fill[victim], state[victim], wear[victim] = [], 0, 0, "ERASED", wear[victim] + 1
+    assert runs > 20 and next(r["gc_runs"] for r in got if r["type"] == "stats") == runs
+    assert {(r["sector"], r["seq"], r["old_seq"], bytes(r["key"])) for r in got if r["type"] == "record"} == {(s, q, old, b"%d" % old) for s in at for q, old, ok in at[s] if ok}
+    assert {r["sector"]: (r["status"], r["write_off"], r["erase_cnt"]) for r in got if r["type"] == "sector"} == {s: (state[s], 16 + fill[s] * size, wear[s]) for s in state}
+    assert took < 6, took
